@@ -19,12 +19,15 @@ def _block(order: str, block: int) -> Column:
 
 
 def with_position(df: DataFrame, keys: list[str], order: str,
-                  name: str = "pos", block: int = BLOCK) -> DataFrame:
-    """0-based dense position of each row inside its key, by an integer order."""
+                  name: str = "pos", block: int = BLOCK, ties: tuple = ()) -> DataFrame:
+    """0-based dense position of each row inside its key, by an integer order.
+
+    ``ties`` order the rows that share an order value.
+    """
     cut = df.withColumn("_blk", _block(order, block))
     by = [*keys, "_blk"]
     local = cut.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy(order, *ties)) - 1)
     sizes = cut.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -100,6 +100,47 @@ def _cut(arrays: DataFrame, starts: Column, size: int, joined) -> DataFrame:
         joined(F.col("sents")).alias("sentence"))
 
 
+# -- spans ------------------------------------------------------------------
+
+def boundaries(sents: Column, doc_id: Column) -> Column:
+    """[start, end) of each sentence inside the joined window text."""
+    lengths = F.transform(sents, lambda s: F.length(_one_line(s["text"])))
+    return F.transform(sents, lambda s, i: _bound(s, F.aggregate(
+        F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n + 1), F.get(lengths, i), doc_id))
+
+
+def _bound(s: Column, start: Column, n: Column, doc_id: Column) -> Column:
+    return F.struct(start.alias("start"), (start + n).alias("end"),
+                    sentence_id(doc_id, s["idx"]).alias("sentence_id"))
+
+
+def to_sentence(start: Column, end: Column, bounds: Column, fallback: bool = True) -> Column:
+    """Sentence and local span of a window span; the end is clamped to the sentence.
+
+    A start between sentences falls back to the last one, or gives null.
+    """
+    hit = F.get(F.filter(bounds, lambda b: (start >= b["start"]) & (start < b["end"])), 0)
+    b = F.coalesce(hit, F.element_at(bounds, -1)) if fallback else hit
+    return F.when(b.isNotNull(), F.struct(
+        b["sentence_id"].alias("sentence_id"), (start - b["start"]).alias("local_start"),
+        (F.least(end, b["end"]) - b["start"]).alias("local_end")))
+
+
+def token_offsets(tokens: Column, text: Column) -> Column:
+    """(start, end) of every token, searched from the end of the previous one; a
+    token that is not found is placed after the blanks at the cursor."""
+    def step(acc, token):
+        at = F.position(token, text, acc["pos"] + 1) - 1
+        blanks = F.length(F.regexp_extract(F.substring(text, acc["pos"] + 1, F.length(text)), "^ *", 0))
+        start = F.when(at >= 0, at).otherwise(acc["pos"] + blanks)
+        end = start + F.length(token)
+        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(
+            start.alias("start"), end.alias("end"))).alias("out"))
+
+    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.aggregate(tokens, empty, step, lambda acc: acc["out"])
+
+
 # -- one row per sentence ---------------------------------------------------
 
 def drop_repeats_rows(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries and the SQL each is compared with."""
 
-from . import text_queries, text_sql
+from . import space_queries, text_queries, text_sql
 
-QUERIES = {**text_queries.QUERIES}
+QUERIES = {**text_queries.QUERIES, **space_queries.QUERIES}
 SQL = {**text_sql.SQL}
