@@ -112,11 +112,13 @@ def surface(c: Column | str) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Upper-case each letter that does not follow a letter (input is lower case)."""
+    """Capitalise each letter that does not follow a letter (input is lower case)."""
     chars = F.split(col(c), "")
     after_letter = lambda i: F.get(chars, i - 1).rlike(r"^\p{L}$")
+    # a letter may have a two-letter capital form, of which only the first stays upper
+    capital = lambda ch: F.concat(F.substring(F.upper(ch), 1, 1), F.lower(F.substring(F.upper(ch), 2, 9)))
     return F.array_join(
-        F.transform(chars, lambda ch, i: F.when((i > 0) & after_letter(i), ch).otherwise(F.upper(ch))),
+        F.transform(chars, lambda ch, i: F.when((i > 0) & after_letter(i), ch).otherwise(capital(ch))),
         "",
     )
 

@@ -50,12 +50,12 @@ def _binned(draws: DataFrame, bins: int) -> DataFrame:
     cell = lambda v, lo, hi: F.when(F.col(hi) == F.col(lo), F.lit(0)).otherwise(F.least(
         F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins), F.lit(bins - 1)))
     return draws.join(span, "entity_id").select(
-        "entity_id", cell("x", "x0", "x1").cast("long").alias("bx"), cell("y", "y0", "y1").cast("long").alias("by"))
+        "entity_id", cell("x", "x0", "x1").cast("long").alias("cell_x"), cell("y", "y0", "y1").cast("long").alias("cell_y"))
 
 
 def density(draws: DataFrame, bins: int = 20) -> DataFrame:
     """Counts per grid cell over each entity's own range (heat-map input)."""
-    return _binned(draws, bins).groupBy("entity_id", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    return _binned(draws, bins).groupBy("entity_id", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def entropy(draws: DataFrame, bins: int = 20) -> DataFrame:

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions.arrays import elements
 from ..functions.text import SPACE, col, strip, strip_licence, tidy
 from .ordering import with_position, with_previous
 
+OFFSETS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
+
 MIN_SENTENCE = 10     # characters a sentence needs to be kept
 MIN_WINDOWED = 20     # characters a sentence needs to enter a window
 
@@ -126,19 +129,28 @@ def to_sentence(start: Column, end: Column, bounds: Column, fallback: bool = Tru
         (F.least(end, b["end"]) - b["start"]).alias("local_end")))
 
 
+@F.pandas_udf(OFFSETS)
+def _cursor(tokens: pd.Series, text: pd.Series) -> pd.Series:
+    def one(words, body):
+        at, out = 0, []
+        for word in words:
+            hit = body.find(word, at)
+            if hit < 0:
+                hit = len(body) - len(body[at:].lstrip(" "))
+            at = hit + len(word)
+            out.append({"start": hit, "end": at})
+        return out
+    return pd.Series([one(w, b) for w, b in zip(tokens, text)])
+
+
 def token_offsets(tokens: Column, text: Column) -> Column:
     """(start, end) of every token, searched from the end of the previous one; a
-    token that is not found is placed after the blanks at the cursor."""
-    def step(acc, token):
-        at = F.position(token, text, acc["pos"] + 1) - 1
-        blanks = F.length(F.regexp_extract(F.substring(text, acc["pos"] + 1, F.length(text)), "^ *", 0))
-        start = F.when(at >= 0, at).otherwise(acc["pos"] + blanks)
-        end = start + F.length(token)
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(
-            start.alias("start"), end.alias("end"))).alias("out"))
-
-    empty = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(tokens, empty, step, lambda acc: acc["out"])
+    token that is not found is placed after the blanks at the cursor.
+
+    The cursor makes this a true left-to-right fold over one sentence, which an
+    array expression can only do in quadratic time, hence the Arrow helper.
+    """
+    return _cursor(tokens, text)
 
 
 # -- one row per sentence ---------------------------------------------------

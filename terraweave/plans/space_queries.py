@@ -17,14 +17,19 @@ def r4(c):
     return F.round(c if not isinstance(c, str) else F.col(c), 4)
 
 
+def half_up(c):
+    """Four decimals by plain arithmetic: exact ties fall the same way everywhere."""
+    return F.floor(F.col(c) * 10000 + 0.5) / 10000
+
+
 # -- spans and parsing --------------------------------------------------------
 
 def span_to_sentence(spark, sf):
     wins = tb.document_windows(spark, sf)
     p = extract.cue_pattern()
     scan = "(?i)(?<!\\p{L})" + p.removeprefix("(?i)")
-    rows = wins.select("doc_id", "window_id", "sentence", segment.boundaries(F.col("sents"), F.col("doc_id")).alias("b"),
-                       F.posexplode(extract.elements(F.regexp_extract_all("sentence", F.lit(scan), 0))).alias("ord", "m"))
+    wins = wins.select("doc_id", "window_id", "sentence", segment.boundaries(F.col("sents"), F.col("doc_id")).alias("b"))
+    rows = wins.select("doc_id", "window_id", "sentence", "b", F.posexplode(extract.elements(F.regexp_extract_all("sentence", F.lit(scan), 0))).alias("ord", "m"))
     at = F.position(F.col("m"), F.col("sentence")) - 1
     placed = rows.select("doc_id", "window_id", F.col("ord").cast("long").alias("ord"), "m",
                          at.alias("start"), segment.to_sentence(at, at + F.length("m"), F.col("b")).alias("s"))
@@ -48,7 +53,7 @@ def _responses(spark, sf):
     obj = lambda t: F.to_json(F.struct(
         F.upper(t["location_1"]).alias("location_1"), t["location_2"].alias("location_2"),
         F.concat(F.lit(" "), t["spatial_indicator"]).alias("spatial_indicator"),
-        F.element_at(t["semantic_type"], 1).alias("semantic_type")))
+        F.get(t["semantic_type"], 0).alias("semantic_type")))
     body = F.concat(F.lit('{"location_relations": ['), F.array_join(F.transform("location_relations", obj), ", "), F.lit("]}"))
     shape = F.pmod("window_id", F.lit(4))
     raw = F.when(shape == 0, body).when(shape == 1, F.concat(F.lit("Sure:\n"), body, F.lit("\nDone."))).when(
@@ -255,7 +260,7 @@ def _positions(spark, sf):
 
 def penalties(spark, sf):
     e = cn.energies(_specs(spark, sf), _positions(spark, sf))
-    return e.select("constraint_id", "type", r4("penalty").alias("penalty"), r4("energy").alias("energy"))
+    return e.select("constraint_id", "type", half_up("penalty").alias("penalty"), half_up("energy").alias("energy"))
 
 
 def total_energy(spark, sf):

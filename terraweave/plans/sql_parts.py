@@ -139,7 +139,7 @@ def canonical(x: str) -> str:
     name = surface_lookup(strip(x))
     return (f"(SELECT CASE WHEN nm = lower(nm) AND length(nm) > 2 THEN array_to_string(list_transform(range(1, length(nm) + 1), "
             rf"lambda i: CASE WHEN i > 1 AND regexp_matches(substr(nm, i - 1, 1), '^\p{{L}}$') THEN substr(nm, i, 1) "
-            f"ELSE upper(substr(nm, i, 1)) END), '') ELSE nm END FROM (SELECT {name} AS nm))")
+            f"WHEN substr(nm, i, 1) = 'ß' THEN 'Ss' ELSE upper(substr(nm, i, 1)) END), '') ELSE nm END FROM (SELECT {name} AS nm))")
 
 
 EDGES = f"""{windows(3, 3)},
