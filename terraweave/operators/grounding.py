@@ -100,11 +100,11 @@ def ground(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None =
         centers = sums.select(order, (F.col("s_lat") / F.nullif("s_n", F.lit(0.0))).alias("c_lat"),
                               (F.col("s_lon") / F.nullif("s_n", F.lit(0.0))).alias("c_lon"))
         nxt = disambiguate(options.join(centers, order), [order], bias, (F.col("c_lat"), F.col("c_lon")))
-        nxt = cut(fixed.unionByName(nxt))
-        moved = nxt.join(chosen.select(order, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), order).where(
-            ~F.col("lat").eqNullSafe(F.col("p_lat")) | ~F.col("lon").eqNullSafe(F.col("p_lon")))
-        chosen = nxt
-        if moved.isEmpty():
+        before = chosen.select(order, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+        moved = ~F.col("lat").eqNullSafe(F.col("p_lat")) | ~F.col("lon").eqNullSafe(F.col("p_lon"))
+        nxt = cut(fixed.unionByName(nxt).join(before, order).withColumn("_moved", moved).drop("p_lat", "p_lon"))
+        chosen = nxt.drop("_moved")
+        if nxt.where("_moved").isEmpty():
             break
     out = entities.drop("latitude", "longitude", "confidence", "type").join(chosen, order, "left")
     return out.select(

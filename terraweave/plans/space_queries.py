@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, lexicon as lx, names as nm, text as tx
 from ..operators import (constraints as cn, diagnostics as dg, entities as en, extract, graph, grounding,
-                         progress, relations as rl, scoring, segment)
+                         progress, relations as rl, sampling as sm, scoring, segment)
 from . import tables as tb
+from ..session import cut
 from .tables import table
 
 LAT0, LON0 = 40.7128, -74.0060
@@ -375,6 +376,28 @@ def posterior_summary(spark, sf):
     return dg.posterior_summary(d, names, _scores(spark, sf), modes=False)
 
 
+# -- sampling ------------------------------------------------------------------------
+
+def _model(spark, sf):
+    ents = tb.geo_entities(spark, sf)
+    latent, kept = cn.prune(cn.latent_entities(ents), cut(_specs(spark, sf)))
+    return kept, latent, cn.fixed_entities(ents)
+
+
+def metropolis(spark, sf):
+    """Four chains over every customer, a few sweeps."""
+    return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=3, burn_in=1, thin=1, radius=300.0))
+
+
+def ensemble(spark, sf):
+    """Walkers over the suppliers without coordinates, tied to the others by their line items."""
+    ents = tb.geo_entities(spark, sf).where(F.col("type") == "real")
+    rel = rl.dedup(tb.geo_relations(spark, sf).where(F.col("entity_1").startswith("Supplier")), ["rel_ord", "relation_id"])
+    spec = cn.specs(rel.drop("first_seen"), ents)
+    return sm.ensemble(spec, cn.latent_entities(ents), cn.fixed_entities(ents),
+                       sm.Settings(sweeps=1, burn_in=0, thin=1, radius=300.0))
+
+
 # -- scoring ---------------------------------------------------------------------------
 
 def _matched(spark, sf, scheme):
@@ -480,6 +503,8 @@ QUERIES = {
     "v03_map_overlay": map_overlay,
     "a19_mode_count": mode_count,
     "i14_posterior_summary": posterior_summary,
+    "i03_metropolis": metropolis,
+    "i05_ensemble": ensemble,
     "a10_score_strict": _score("strict"),
     "a10_score_lenient": _score("lenient"),
     "a11_score_per_type": score_per_type,

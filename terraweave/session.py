@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,13 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and drop its lineage.
+    """Write ``df`` to the shared folder and go on from the written table.
 
-    Used by iterative jobs (sampler sweeps, fixed points) so the plan does not
-    grow with the number of rounds and a lost executor replays one round only.
+    Used by iterative jobs (sampler sweeps, fixed points) and before results
+    that are read more than once: the plan stops growing, a lost executor
+    replays one round only, and the table's size is known to the planner, so
+    small states are broadcast and large ones are not.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(shared_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_dir(df.sparkSession), "lineage", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
