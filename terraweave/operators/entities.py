@@ -57,6 +57,7 @@ def mention_table(found: DataFrame) -> DataFrame:
 def registry(found: DataFrame, fictional: list[str] = FICTIONAL) -> DataFrame:
     """One row per canonical name; ids follow the sorted names, so dropping
     never-mentioned entities afterwards leaves gaps."""
+    found = cut(found)  # spans only; three aggregates read them
     first = F.struct("doc_id", "chunk")
     merged = found.groupBy(F.col("canon").alias("canonical_name")).agg(
         F.min_by(F.struct("ner_label", "hint"), first).alias("f"))

@@ -135,7 +135,7 @@ def match_mentions(spark, sf):
 
 def coref_mentions(spark, sf):
     """Spans of a window whose words share a first letter stand for one cluster."""
-    t = tb.window_triples(spark, sf)
+    t = cut(tb.window_triples(spark, sf).drop("sentence", "semantic_type"))  # spans, matches and owners read it
     spans = t.select("doc_id", "window_id", "sentence_id", "ord", F.posexplode(
         F.array("location_1", "location_2")).alias("side", "mention"))
     bare = F.regexp_replace(F.lower("mention"), "^(the|an|a) ", "")

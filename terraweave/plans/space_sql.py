@@ -499,7 +499,7 @@ SQL = {
       x AS (SELECT *, (total - done) * avg_s AS eta_s FROM d, m),
       y AS (SELECT *, floor(eta_s)::BIGINT AS s FROM x)
       SELECT total, done, errors, relations, round(avg_s, 4) AS avg_s, round(60.0 / avg_s, 4) AS rate_min, round(eta_s, 2) AS eta_s,
-        CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS eta,
+        CASE WHEN s >= 360000 THEN (s // 3600) || ':' WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, 2, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS eta,
         floor(relations / (done / total))::BIGINT AS projected FROM y""",
     "a25_window_stats": f"""WITH {TRIPS}, c AS (SELECT doc_id, window_id, count(*) AS n FROM trips GROUP BY 1, 2)
       SELECT (SELECT count(*) FROM wins) AS windows, count(*) AS windows_with_relations, sum(n)::BIGINT AS relations, 0::BIGINT AS errors FROM c""",

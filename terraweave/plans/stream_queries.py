@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..operators import extract
 from ..sources import readers, writers
 from ..streaming import incremental as inc
@@ -57,7 +57,7 @@ def stream_triples(spark, sf):
 
 def _graph(spark, sf):
     from ..operators import graph
-    e = graph.edges(tq.window_triples(spark, sf).drop("sentence"))
+    e = cut(graph.edges(tq.window_triples(spark, sf).drop("sentence")))  # nodes and edges both read it
     return graph.nodes(e), e
 
 

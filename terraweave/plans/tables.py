@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import canonical
 from ..operators import extract, segment
+from ..session import cut
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -149,8 +150,8 @@ def word_registry(spark: SparkSession, sf: str) -> DataFrame:
 def gold_and_pred(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Windows as gold (spans without articles) and as two models' answers."""
     wins = document_windows(spark, sf).withColumn("annotation_id", F.concat_ws("_", "doc_id", "window_id"))
-    gold = extract.CueExtractor(bare=True).attach(wins).select("annotation_id", "location_relations")
-    full = extract.CueExtractor().attach(wins).select("annotation_id", "location_relations")
+    answer = lambda e: cut(e.attach(wins).select("annotation_id", "location_relations"))  # read once per model
+    gold, full = answer(extract.CueExtractor(bare=True)), answer(extract.CueExtractor())
     narrow = full.withColumn("location_relations", F.filter(
         "location_relations", lambda t: ~t["location_1"].rlike("(?i)^(the|an|a) ")))
     return gold, {"full": full, "narrow": narrow}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx, text as tx
 from ..operators import extract, graph, segment
-from .tables import document_windows, documents, sentence_arrays, table, window_triples
+from ..session import cut
+from .tables import document_windows, documents, sentence_arrays, spread, table, window_triples
 
 # An e-book wrapped around each document, so the licence rules have work to do.
 HEAD = "Title page\n*** START OF THE PROJECT GUTENBERG EBOOK %d ***\n\n\n\n"
@@ -148,7 +149,7 @@ def graph_summary(spark, sf):
 
 
 def two_hop(spark, sf):
-    e = _edges(spark, sf)
+    e = cut(_edges(spark, sf).select("location_1", "location_2"))  # read once per hop
     roots = graph.top_connected(graph.nodes(e, tag=False), 3).select("entity")
     return graph.neighbourhood(e, roots, 2)
 
@@ -169,7 +170,8 @@ def cue_texts(items):
 
 
 def cue_mapping(spark, sf):
-    cues = cue_texts(table(spark, sf, "lineitem"))
+    cues = cue_texts(spread(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey"))
     m = lx.map_cue("cue")
     out = cues.select("l_orderkey", "l_linenumber", "cue", *[c.alias(n) for n, c in m.items()],
                       lx.infer_type("cue").alias("semantic_type"))
