@@ -184,6 +184,7 @@ def windows_rows(rows: DataFrame, key: str, order: str, text: str, size: int = 3
     return grouped.select(
         key, F.col("window_id").cast("long").alias("window_id"),
         F.transform("p", lambda s: s["ord"]).alias("members"),
+        F.transform("p", lambda s: F.struct(s["ord"].alias("idx"), s["t"].alias("text"))).alias("sents"),
         strip(F.array_join(F.transform("p", lambda s: s["t"]), " ")).alias("sentence"))
 
 
