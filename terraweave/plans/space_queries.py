@@ -398,6 +398,13 @@ def ensemble(spark, sf):
                        sm.Settings(sweeps=1, burn_in=0, thin=1, radius=300.0))
 
 
+def sample_energies(spark, sf):
+    """Energy of every draw under the constraints of the parts."""
+    d = tb.draws(spark, sf)
+    e = sm.sample_energies(tb.part_constraints(spark, sf), d.select("entity_id").distinct(), tb.nation_points(spark, sf), d)
+    return e.select("sample_id", F.round("energy", 2).alias("energy"))
+
+
 # -- scoring ---------------------------------------------------------------------------
 
 def _matched(spark, sf, scheme):
@@ -503,6 +510,7 @@ QUERIES = {
     "v03_map_overlay": map_overlay,
     "a19_mode_count": mode_count,
     "i14_posterior_summary": posterior_summary,
+    "i07_sample_energies": sample_energies,
     "i03_metropolis": metropolis,
     "i05_ensemble": ensemble,
     "a10_score_strict": _score("strict"),

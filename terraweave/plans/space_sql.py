@@ -482,6 +482,13 @@ SQL = {
         round(ess_x, 1) AS ess_x, round(ess_y, 1) AS ess_y,
         (SELECT round(avg(score), 4) FROM sc) AS constraint_satisfaction_mean, (SELECT round(stddev_pop(score), 4) FROM sc) AS constraint_satisfaction_std
       FROM mom JOIN ell USING (entity_id) JOIN ent USING (entity_id) JOIN rhat USING (entity_id) JOIN ess USING (entity_id)""",
+    "i07_sample_energies": f"""WITH {DRAWS}, {PARTC}, ids AS (SELECT DISTINCT sample_id FROM draws),
+      r AS (SELECT s.sample_id, c.*, coalesce(d1.x, f1.x) AS x1, coalesce(d1.y, f1.y) AS y1, coalesce(d2.x, f2.x) AS x2, coalesce(d2.y, f2.y) AS y2
+        FROM ids s CROSS JOIN pc c LEFT JOIN draws d1 ON d1.sample_id = s.sample_id AND d1.entity_id = c.e1
+        LEFT JOIN draws d2 ON d2.sample_id = s.sample_id AND d2.entity_id = c.e2
+        LEFT JOIN fx f1 ON f1.entity_id = c.e1 LEFT JOIN fx f2 ON f2.entity_id = c.e2
+        WHERE c.type IN ({lst(INFERABLE)}) AND (c.e1 LIKE 'v%' OR c.e2 LIKE 'v%'))
+      SELECT sample_id, round(sum({penalty(True)}), 2) AS energy FROM r WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY 1""",
     "a10_score_strict": overall_sql(False),
     "a10_score_lenient": overall_sql(True),
     "a11_score_per_type": f"""WITH {match_sql(True)}, c AS (SELECT model, st AS semantic_type, {_cnt} FROM marks GROUP BY 1, 2), s AS (SELECT *, {_prf} FROM c)

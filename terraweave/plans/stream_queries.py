@@ -66,8 +66,7 @@ def dot_lines(spark, sf):
 
 
 def graphml_lines(spark, sf):
-    return writers.graphml_lines(*_graph(spark, sf)).groupBy("section").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))
+    return writers.graphml_lines(*_graph(spark, sf)).groupBy("section", "key", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def html_lines(spark, sf):

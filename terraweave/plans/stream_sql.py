@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from . import sql_parts as P
-from ..sources.writers import KIND_FILL, LINK_COLOR
+from ..sources.writers import EDGE_KEYS, KIND_FILL, LINK_COLOR, NODE_KEYS
 
 _dot_label = "coalesce(nullif(concat_ws(' / ', rcc8, cdc), ''), indicator)"
 
+_data = lambda key, x: f"""'<data key="{key}">' || coalesce(({x})::VARCHAR, '') || '</data>'"""
+_node_cols = {"iso_space_type": "'SpatialEntity'", "mention_count": "mention_count", "entity_kind": "entity_kind"}
+_edge_cols = {**{k: k for k in EDGE_KEYS}, "iso_space_link": "CASE WHEN cdc IS NULL THEN 'QSLINK' ELSE 'OLINK' END",
+              "semantic_type": f"coalesce({P.infer_type('indicator')}, '')"}
+_head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+         *[f'  <key id="n_{k}" for="node" attr.name="{k}" attr.type="{t}"/>' for k, t in NODE_KEYS.items()],
+         *[f'  <key id="e_{k}" for="edge" attr.name="{k}" attr.type="{t}"/>' for k, t in EDGE_KEYS.items()],
+         '  <graph edgedefault="directed">']
+_fixed_rows = " ".join(f"UNION ALL SELECT {s}, '{i:04d}', {P.q(line)}" for s, rows in ((0, _head), (3, ["  </graph>", "</graphml>"]))
+                       for i, line in enumerate(rows))
+
 SQL = {
+    "s14_graphml_lines": f"""WITH {P.EDGES}, l AS (
+      SELECT 1 AS section, entity AS key, '    <node id="' || entity || '">' ||
+        {' || '.join(_data(f'n_{k}', v) for k, v in _node_cols.items())} || '</node>' AS line FROM nd
+      UNION ALL SELECT 2, concat_ws(chr(1), location_1, location_2, sentence_id, indicator), '    <edge source="' || location_1 ||
+        '" target="' || location_2 || '">' || {' || '.join(_data(f'e_{k}', v) for k, v in _edge_cols.items())} || '</edge>' FROM ed
+      {_fixed_rows})
+      SELECT section, key, line, count(*) AS n FROM l GROUP BY 1, 2, 3""",
     "t04_stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "t03_stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "t06_stream_recent": "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
