@@ -96,32 +96,38 @@ def lookup_keys(entities: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("canonical", "o").alias("canonical"), F.min("o").alias("ord"))
 
 
-def _substrings(c: Column, lo: Column, hi: Column) -> Column:
-    """Distinct substrings of ``c`` with a length in [lo, hi]."""
+def _substrings(c: Column, lengths: Column) -> Column:
+    """Distinct substrings of ``c`` that have one of the given lengths."""
     n = F.length(c)
-    top = F.least(n, hi)
-    sizes = F.when(top >= lo, F.sequence(lo, top))
-    return F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(
+    fitting = F.filter(lengths, lambda k: k <= n)
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(
         F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))))
 
 
+def _lengths(rows: DataFrame) -> Column:
+    """The distinct key lengths of a table: at most as many as its longest name has characters."""
+    return F.coalesce(rows.select(F.length("key").alias("n")).agg(F.collect_set("n")).scalar(), F.array().cast("array<int>"))
+
+
 def resolve(names: DataFrame, keys: DataFrame) -> DataFrame:
     """name -> canonical: exact key, else the first key that contains the name or
     is contained in it.
 
     ``contains`` in a join condition would compare every name with every key.
-    Instead each side is expanded to its substrings and joined by equality: a
-    name is at most a few hundred characters, so the expansion is bounded per
-    row and the join is hash-partitioned. Names are made distinct first, so a
-    frequent name is resolved once.
+    Instead each side is expanded to those of its substrings that have the
+    length of some name on the other side, and joined by equality: names are
+    short, so the expansion is bounded per row and the join is hash-partitioned.
+    Names are made distinct first, so a frequent name is resolved once.
     """
-    todo = names.select("name").where(F.col("name") != "").distinct().withColumn("key", fold("name"))
+    # written once: exact hits, open names, their lengths and substrings all read them
+    todo = cut(names.select("name").where(F.col("name") != "").distinct().withColumn("key", fold("name")))
+    keys = cut(keys)
     exact = todo.join(keys.select("key", "canonical"), "key").select("name", "canonical")
     open_ = todo.join(keys.select("key"), "key", "left_anti")
-    one, far = F.lit(1), F.lit(2**31 - 1)
-    inside = open_.select("name", F.explode(elements(_substrings(F.col("key"), one, far))).alias("key")).join(
+    keys_, open_ = keys.withColumn("_n", _lengths(open_)), open_.withColumn("_n", _lengths(keys))
+    inside = open_.select("name", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).join(
         keys, "key").select("name", "canonical", "ord")
-    around = keys.select("canonical", "ord", F.explode(elements(_substrings(F.col("key"), one, far))).alias("key")).join(
+    around = keys_.select("canonical", "ord", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).join(
         open_, "key").select("name", "canonical", "ord")
     loose = inside.unionByName(around).groupBy("name").agg(F.min_by("canonical", "ord").alias("canonical"))
     return exact.unionByName(loose)
@@ -141,8 +147,8 @@ def match_mentions(mentions: DataFrame, entities: DataFrame, order: str) -> Data
     direct = todo.select("mention", F.inline(tries)).join(keys, "key").select(
         "mention", "canonical", F.struct("level", F.lit(0).cast("long").alias("ord")).alias("rank"))
     long_keys = keys.where(F.length("key") >= 4)
-    inside = todo.select("mention", F.explode(elements(_substrings(
-        F.col("low"), F.lit(4), F.lit(2**31 - 1)))).alias("key")).join(long_keys, "key").select(
+    inside = todo.withColumn("_n", _lengths(long_keys)).select("mention", F.explode(elements(_substrings(
+        F.col("low"), F.col("_n")))).alias("key")).join(long_keys, "key").select(
         "mention", "canonical", F.struct(F.lit(2).alias("level"), F.col("ord").cast("long").alias("ord")).alias("rank"))
     return direct.unionByName(inside).groupBy("mention").agg(F.min_by("canonical", "rank").alias("canonical"))
 
