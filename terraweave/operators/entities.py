@@ -177,3 +177,40 @@ def propagate_coref(clusters: DataFrame, entities: DataFrame, existing: DataFram
 
 def without_coref(mentions: DataFrame) -> DataFrame:
     return mentions.where(~F.contains("source_text", F.lit("[coref")))
+
+
+# -- registry from annotated spans --------------------------------------------
+
+CAPITALISED = r"(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+
+
+def capitalised_spans(sentences: DataFrame) -> DataFrame:
+    """Default span annotator: runs of capitalised words, wherever they occur.
+
+    Stands in for a model that labels spans; any table of the same shape does.
+    """
+    found = sentences.select("doc_id", "sent_idx", "sentence_id", "text", F.explode(elements(F.array_distinct(
+        F.regexp_extract_all("text", F.lit(CAPITALISED), 1)))).alias("surface"))
+    placed = found.select("doc_id", "sent_idx", "sentence_id", "surface", F.explode(elements(
+        occurrences(F.col("text"), F.col("surface")))).alias("char_start"))
+    return placed.withColumn("char_end", F.col("char_start") + F.length("surface")).withColumn("label", F.lit("LOC"))
+
+
+def span_registry(spans: DataFrame, labels: tuple = ("GPE", "LOC", "FAC"), min_mentions: int = 2,
+                  blocked: list[str] | None = None, fictional: list[str] | None = None) -> DataFrame:
+    """Entities of annotated spans: normalised surface, filtered by name and mention
+    count, classified, numbered in the order of their first span."""
+    from ..functions import names as nm
+    from ..functions.text import surface
+    more = sorted(set(FICTIONAL) | set(fictional or []))
+    named = spans.where(F.col("label").isin(*labels)).withColumn("canonical_name", surface("surface"))
+    first = F.struct("doc_id", "sent_idx", "char_start")
+    merged = named.groupBy("canonical_name").agg(
+        F.count(F.lit(1)).alias("mention_count"), F.min_by("label", first).alias("ner_label"), F.min(first).alias("f"))
+    kept = merged.where(nm.plausible(F.col("canonical_name"), F.col("mention_count"), min_mentions,
+                                     sorted(set(nm.BLOCKED) | set(blocked or [])), more))
+    flat = cut(kept.select("canonical_name", "mention_count", "ner_label", "f.*"))
+    placed = with_global_position(flat, ["doc_id", "sent_idx", "char_start", "canonical_name"], "_n")
+    return placed.select(
+        F.format_string("e_%04d", "_n").alias("entity_id"), "canonical_name",
+        nm.entity_class_wide(F.col("canonical_name"), more).alias("type"), "ner_label", "mention_count")

@@ -258,3 +258,54 @@ _RELATION_COLUMNS = {
 def pending(windows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Windows without a finished record; failed ones count as finished."""
     return windows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+# -- span annotators --------------------------------------------------------
+
+SPAN = "array<struct<cluster:int,label:string,mention:string,start:int,end:int>>"
+
+
+@dataclass
+class SpanAnnotator:
+    """Entity spans and coreference clusters of a window, from a model loaded once per task.
+
+    The model maps a text to dictionaries with ``mention, start, end`` and, where
+    known, ``label`` and ``cluster``. A window it fails on keeps its error.
+    """
+
+    make_model: Callable[[], Callable[[str], list[dict]]]
+
+    def attach(self, windows: DataFrame, text: str = "sentence") -> DataFrame:
+        make = self.make_model
+
+        def annotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = make()
+            for batch in batches:
+                spans, errors = [], []
+                for body in batch[text]:
+                    try:
+                        spans.append([{k: s.get(k) for k in ("cluster", "label", "mention", "start", "end")} for s in model(body)])
+                        errors.append(None)
+                    except Exception as exc:  # kept with the row, not fatal
+                        spans.append([])
+                        errors.append(repr(exc))
+                yield batch.assign(spans=spans, _error=errors)
+
+        from pyspark.sql.types import StringType, StructField, StructType
+        span = StructType.fromDDL(f"spans {SPAN}").fields[0]
+        return windows.mapInPandas(annotate, StructType([*windows.schema.fields, span, StructField("_error", StringType())]))
+
+
+def annotated_spans(annotated: DataFrame, fallback: bool = True) -> DataFrame:
+    """One row per span, mapped from its window to its sentence.
+
+    Spans that start between sentences go to the last one, or are dropped without ``fallback``.
+    """
+    from .segment import boundaries, to_sentence
+    bounded = annotated.withColumn("_b", boundaries(F.col("sents"), F.col("doc_id")))
+    rows = bounded.select("doc_id", "window_id", "_b", F.posexplode(elements("spans")).alias("pos", "s"))
+    placed = rows.withColumn("at", to_sentence(F.col("s.start"), F.col("s.end"), F.col("_b"), fallback))
+    return placed.where(F.col("at").isNotNull()).select(
+        "doc_id", "window_id", F.col("pos").cast("long").alias("pos"), "s.cluster", "s.label", F.col("s.mention").alias("mention"),
+        F.regexp_extract("at.sentence_id", r"(\d+)$", 1).cast("long").alias("sent_idx"), "at.sentence_id",
+        F.col("at.local_start").alias("char_start"), F.col("at.local_end").alias("char_end"))

@@ -118,6 +118,10 @@ def mention_positions(spark, sf):
                     F.col("char_end").cast("long").alias("char_end"), "source_text")
 
 
+def span_registry(spark, sf):
+    return en.span_registry(en.capitalised_spans(segment.sentences(tb.sentence_arrays(spark, sf))))
+
+
 def _endpoints(spark, sf):
     t = tb.window_triples(spark, sf)
     return t.select(F.explode(F.array("location_1", "location_2")).alias("name"))
@@ -477,6 +481,7 @@ QUERIES = {
     "d04_relation_candidates": relation_candidates,
     "a06_entity_registry": entity_registry,
     "j08_mention_positions": mention_positions,
+    "i10_span_registry": span_registry,
     "m11_canonical_resolve": canonical_resolve,
     "m12_match_mentions": match_mentions,
     "i09_coref_mentions": coref_mentions,

@@ -378,6 +378,15 @@ SQL = {
       SELECT 'e_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS entity_id, canonical_name,
         {CLASS_HINT('canonical_name', "''")} AS type, 'LOC' AS ner_label, mention_count, doc_count FROM n JOIN c USING (canonical_name)""",
     "j08_mention_positions": f"WITH {JOINT} SELECT * FROM jm",
+    "i10_span_registry": f"""WITH {P.SENTS},
+      c0 AS (SELECT doc_id, sent_idx, text, unnest(list_distinct(regexp_extract_all(text, '(\\p{{Lu}}\\p{{L}}*(?: \\p{{Lu}}\\p{{L}}*)*)', 1))) AS s FROM sents),
+      c1 AS (SELECT doc_id, sent_idx, s, unnest(list_filter(range(0, length(text)), lambda i: substr(text, (i + 1)::INT, length(s)) = s)) AS p FROM c0),
+      c2 AS (SELECT {P.surface_lookup(P.strip(f"regexp_replace(s, '{P.SPACE}+', ' ', 'g')"))} AS canonical_name, doc_id, sent_idx, p FROM c1),
+      c3 AS (SELECT canonical_name, count(*) AS mention_count, min((doc_id, sent_idx, p)) AS f FROM c2 GROUP BY 1),
+      c4 AS (SELECT *, row_number() OVER (ORDER BY f, canonical_name) - 1 AS i FROM c3 WHERE canonical_name NOT IN ({lst(nm.BLOCKED)})
+        AND NOT {SCAN('canonical_name')} AND NOT {NOPLACE('canonical_name')} AND (mention_count >= 2 OR canonical_name IN ({lst(nm.FICTIONAL)})))
+      SELECT 'e_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS entity_id, canonical_name,
+        {CLASS_WIDE('canonical_name')} AS type, 'LOC' AS ner_label, mention_count FROM c4""",
     "m11_canonical_resolve": f"""WITH {TRIPS}, {ENDS}, {WORDS},
       kr AS (SELECT {P.fold('canonical_name')} AS key, canonical_name AS canonical, ord * 2 AS o FROM reg
              UNION ALL SELECT {P.fold('name')}, canonical_name, ord * 2 + 1 FROM reg),

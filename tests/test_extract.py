@@ -131,3 +131,34 @@ def test_greedy_matching(spark):
     assert types == {"REGION": (1, 0, 1), "UNTYPED": (1, 1, 0), "DISTANCE": (0, 1, 0)}
     c = scoring.outcomes(lenient).first()
     assert (c["correct_empty_tp"], c["missed_empty"], c["halluc_on_empty"]) == (0, 1, 1)
+
+
+def test_annotated_spans_feed_registry_and_coreference(spark):
+    from terraweave.operators import entities as en, segment
+    rows = [("d", [(0, "We reached Lake Avon by noon."), (1, "It was cold at Lake Avon then.")])]
+    arrays = spark.createDataFrame(rows, "doc_id string, sents array<struct<idx:int,text:string>>")
+    wins = segment.chunks(arrays)
+
+    def make():
+        def model(text):
+            if "fail" in text:
+                raise ValueError("no")
+            out = [{"mention": "Lake Avon", "start": i, "end": i + 9, "label": "LOC", "cluster": 0}
+                   for i in range(len(text)) if text.startswith("Lake Avon", i)]
+            at = text.index("It")
+            return out + [{"mention": "It", "start": at, "end": at + 2, "label": "PRON", "cluster": 0}]
+        return model
+
+    spans = extract.annotated_spans(extract.SpanAnnotator(make).attach(wins))
+    got = {(r["mention"], r["sentence_id"], r["char_start"], r["char_end"]) for r in spans.collect()}
+    assert got == {("Lake Avon", "d_sent_0", 11, 20), ("Lake Avon", "d_sent_1", 15, 24), ("It", "d_sent_1", 0, 2)}
+    reg = en.span_registry(spans.withColumnRenamed("mention", "surface")).collect()
+    assert [(r["entity_id"], r["canonical_name"], r["type"], r["mention_count"]) for r in reg] == [("e_0000", "Lake Avon", "real", 2)]
+    ents = spark.createDataFrame([("Lake Avon", 0)], "canonical_name string, ord long")
+    known = spark.createDataFrame([("Lake Avon", "d_sent_0")], "canonical_name string, sentence_id string")
+    clusters = spans.withColumn("window", F.concat_ws("_", "doc_id", "window_id"))
+    # the first mention of sentence 1 in cluster order is the name itself, so nothing is added
+    assert en.propagate_coref(clusters, ents, known, "ord").count() == 0
+    flipped = clusters.withColumn("pos", -F.col("pos"))
+    new = en.propagate_coref(flipped, ents, known, "ord").collect()
+    assert [(r["mention"], r["sentence_id"]) for r in new] == [("It", "d_sent_1")]
