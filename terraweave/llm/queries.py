@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import line_dedup, quality
-from terraweave.llm.common import table
+from terraweave.llm import line_dedup, quality, warc
+from terraweave.llm.common import new_folder, table
+from terraweave.session import cut
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +29,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup)}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = new_folder(spark, "warc")
+    cut(warc.write_archives(pages, warc.resolve(warc.headers(pages)), folder))
+    found = cut(warc.read_archives(spark, folder).drop("payload"))
+    return warc.link_revisits(found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op6_warc)}
 SQL: dict[str, str] = {}
