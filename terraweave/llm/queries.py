@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import line_dedup, quality, warc
+from terraweave.llm import line_dedup, quality, token_store, warc
 from terraweave.llm.common import new_folder, table
 from terraweave.session import cut
 
@@ -38,5 +39,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_line_dedup, op6_warc)}
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, manifest = token_store.store(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    found = token_store.digests(token_store.read_documents(spark, folder))
+    return token_store.with_global_start(found, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_store, op4_line_dedup, op6_warc)}
 SQL: dict[str, str] = {}
