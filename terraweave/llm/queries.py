@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import line_dedup, quality, token_store, warc
+from terraweave.llm import line_dedup, quality, sentence_pieces, token_store, warc
 from terraweave.llm.common import new_folder, table
 from terraweave.session import cut
 
@@ -46,5 +46,16 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.with_global_start(found, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_store, op4_line_dedup, op6_warc)}
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.md5("decoded").alias("decoded_md5"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+OPERATORS = (op1_quality_rules, op2_token_store, op4_line_dedup, op6_warc, op7_sentence_pieces)
+QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {}
