@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import line_dedup, quality, sentence_pieces, token_store, warc
+from terraweave.llm import line_dedup, ngram_join, quality, sentence_pieces, token_store, warc
 from terraweave.llm.common import new_folder, table
 from terraweave.session import cut
 
@@ -30,6 +30,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = new_folder(spark, "warc")
@@ -56,6 +61,6 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-OPERATORS = (op1_quality_rules, op2_token_store, op4_line_dedup, op6_warc, op7_sentence_pieces)
+OPERATORS = (op1_quality_rules, op2_token_store, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces)
 QUERIES = {f.__name__: f for f in OPERATORS}
 SQL: dict[str, str] = {}
