@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,16 @@ BLOCK = 512  # bits per entry of a rank directory
 FILE_IDS = 1 << 20
 CACHE_UNITS = 800_000
 
-# A unit is a run of non-spaces with the one space before it, or a run of white space: the places where byte-level
-# pre-tokenization always cuts. Texts with rarer white space are encoded in one piece.
-UNITS = re.compile(r" ?\S+|\s+(?=\s\S)|\s+")
+# Units: places where byte-level pre-tokenization always cuts. A Latin word before white space or ASCII punctuation,
+# such punctuation before white space or a Latin letter, else a run of non-spaces, each with the one space before it;
+# or a run of white space. Texts with rarer white space or with added tokens are encoded in one piece.
+_LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,!?;:"()|*$%&#<>/=\-'
+UNITS = re.compile(rf" ?[{_LATIN}]++(?=[{_MARKS}\s]|\Z)| ?[{_MARKS}]++(?=[{_LATIN}\s]|\Z)| ?\S+|\s+(?=\s\S)|\s+")
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
 class Encoder:
-    """Whole texts to little-endian id bytes, with the ids of repeated units remembered."""
+    """Whole texts to little-endian ids of 2 bytes, or 4 for large vocabularies; ids of repeated units are remembered."""
 
     def __init__(self, path: str, cache_units: int = CACHE_UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,6 +52,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_unit = self._cuts_at_units()
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark = special[0] if special else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.cache_units = cache_units
 
@@ -58,29 +65,39 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        gaps = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
-                   for t in spec.get("added_tokens", []))
-        return bool(plain and not spec.get("normalizer") and not gaps)
+        return bool(plain and not spec.get("normalizer"))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        """Ids of each text; short texts share calls, held apart by a special token."""
+        if self.mark is None or any(self.mark[0] in t for t in texts):
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        if not texts:
+            return []
+        joined = self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, dtype=self.dtype)
+        cuts, width = np.flatnonzero(ids == self.mark[1]), self.dtype.itemsize
+        raw = ids.tobytes()
+        return [raw[lo:hi] for lo, hi in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, in ``dtype``."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_unit or RARE_SPACE.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
+        whole = [i for i, t in enumerate(texts) if not self.by_unit or RARE_SPACE.search(t) or any(a in t for a in self.added)]
+        for i in whole:
+            out[i] = self._ids([texts[i]])[0]
         rest = sorted(set(range(len(texts))) - set(whole))
         units = [UNITS.findall(texts[i]) for i in rest]
-        needed = set().union(*units)
-        if len(self.cache) + len(needed) > self.cache_units:
-            self.cache = {}
-        new = [u for u in needed if u not in self.cache]
-        self.cache.update(zip(new, self._ids(new)))
-        cache = self.cache
+        new: set[str] = set()
+        for row in units:
+            new.update(filterfalse(self.cache.__contains__, row))
+        if len(self.cache) + len(new) > self.cache_units:
+            self.cache, new = {}, set().union(*units)
+        missing = list(new)
+        self.cache.update(zip(missing, self._ids(missing)))
+        known = self.cache.__getitem__
         for i, row in zip(rest, units):
-            out[i] = b"".join([cache[u] for u in row])
+            out[i] = b"".join(map(known, row))
         return out
 
 
@@ -166,14 +183,15 @@ class Codes:
         return out
 
 
-def file_bytes(bucket: int, start: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+def file_bytes(bucket: int, start: int, doc_ids: list[int | None], ids: list[bytes], dtype: str = "<u4") -> bytes:
     """A file: magic, bucket, position of its first id in the bucket, documents, ends, codes."""
-    sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+    flat = np.frombuffer(b"".join(ids), dtype)
+    sizes = np.array([len(x) // flat.itemsize for x in ids], dtype=np.int64)
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     keys = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     head = np.array([bucket, start, len(doc_ids)], dtype="<i8").tobytes()
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes()
-    return MAGIC + head + keys.tobytes() + ends + known.tobytes() + dac_bytes(np.frombuffer(b"".join(ids), "<u4"))
+    return MAGIC + head + keys.tobytes() + ends + known.tobytes() + dac_bytes(flat)
 
 
 class TokenFile:
@@ -208,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     cuts = np.unique(np.array(cuts or [], dtype=np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=encoder(tokenizer).dtype).tobytes()
         for batch in batches:
             keys = column_values(batch, "doc_id")
             texts = [t or "" for t in column_values(batch, "text")]
@@ -222,23 +240,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, start, seq, bucket = ([], []), 0, 0, 0, None
+        dtype = encoder(tokenizer).dtype
 
         def close() -> pa.RecordBatch:
             name = f"{bucket + 1:06d}-{seq:06d}.dac"
-            write_file(folder, name, [file_bytes(bucket, start, *held)])
+            write_file(folder, name, [file_bytes(bucket, start, *held, dtype)])
             return pa.RecordBatch.from_pydict({"file": [name], "bucket": pa.array([bucket], pa.int32()),
                                                "docs": [len(held[0])], "tokens": [size]})
 
         for batch in batches:
             for b, k, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held[0] and (b != bucket or size + len(ids) // 4 > file_ids):
+                if held[0] and (b != bucket or size + len(ids) // dtype.itemsize > file_ids):
                     yield close()
                     held, start, seq, size = ([], []), start + size, seq + 1, 0
                 if b != bucket:
                     bucket, start, seq = b, 0, 0
                 held[0].append(k)
                 held[1].append(ids)
-                size += len(ids) // 4
+                size += len(ids) // dtype.itemsize
         if held[0]:
             yield close()
 
