@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20  # text handled at once inside a task
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_GAP_OR_MARK = _GAP.copy()
+_GAP_OR_MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -34,7 +37,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text)))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(text)))
         ends = np.cumsum(np.nan_to_num(lengths.to_numpy(zero_copy_only=False).astype(float)))
         lo = 0
         while lo < batch.num_rows:
@@ -44,21 +47,21 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             lo = hi
 
 
-def words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: list[str | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all words in order, bounds): words of text i are keys[bounds[i]:bounds[i + 1]].
 
-    Words are runs without white space; A-Z count as a-z if ``lower``.
+    Words are runs without white space, and without ASCII punctuation unless ``marks``; A-Z count as a-z if ``lower``.
     """
-    keys, bounds, _, _ = spans(texts, lower)
+    keys, bounds, _, _ = spans(texts, lower, marks)
     return keys, bounds
 
 
-def spans(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans(texts: list[str | None], lower: bool = True, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``words`` with the places of the words: (keys, bounds, starts, ends) in bytes of the joined, newline-ended texts."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"\n".join(parts) + b"\n" + bytes(8), dtype=np.uint8)
     data = _LOWER[raw] if lower else raw
-    gap = _GAP[data[:-8]]
+    gap = (_GAP if marks else _GAP_OR_MARK)[data[:-8]]
     edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=np.int8(1), append=np.int8(1)))
     starts, ends = edge[0::2], edge[1::2]
     sizes = ends - starts
