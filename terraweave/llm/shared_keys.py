@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from terraweave.llm.tokens import chunks, distinct_by_text
+from terraweave.llm.tokens import CHUNK_BYTES, chunks, distinct_by_text
 
 FRAGMENT_KEYS = 4 << 20
 ROW = "frag int, docs binary, keys binary, owner binary"
@@ -104,3 +104,80 @@ def count_shared(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
         .mapInArrow(meet, "uid long, rows long, n_keys long, n_shared long")
         .groupBy("uid").agg(F.sum("rows").alias("rows"), F.max("n_keys").alias("n_keys"), F.sum("n_shared").alias("n_shared"))
     )
+
+
+def codes(keys: np.ndarray, fragments: int) -> np.ndarray:
+    """What ``shared_lists`` lists for a key: its fragment and the 32 bits compared there."""
+    return (_fragment(keys, fragments) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def shared_lists(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid", text: str = "text",
+                 size: int = CHUNK_BYTES) -> DataFrame:
+    """(uid, codes): packed codes of those keys of a document that (nearly) surely other rows have, too; several rows."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text, size):
+            ids = batch.column(batch.schema.get_field_index(uid)).to_numpy(zero_copy_only=False).astype("<i8")
+            keys, owner = distinct_by_text(*keys_of(batch.column(batch.schema.get_field_index(text)).to_pylist()))
+            if not len(keys):
+                continue
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            group = np.cumsum(first) - 1
+            local = (np.bincount(group) > 1)[group]
+            sent, own = keys[first], np.where(local[first], 65535, owner[first]).astype("<u2")
+            frag = _fragment(sent, fragments)
+            cuts = np.searchsorted(frag, np.arange(fragments + 1, dtype=np.uint64))
+            low, table = (sent & np.uint64(0xFFFFFFFF)).astype("<u4"), ids.tobytes()
+            rows = [(int(f), table, low[cuts[f]:cuts[f + 1]].tobytes(), own[cuts[f]:cuts[f + 1]].tobytes())
+                    for f in np.flatnonzero(np.diff(cuts))]
+            if local.any():  # known already: by document
+                by_doc = np.argsort(owner[local], kind="stable")
+                rows.append((-1 - int(ids[0]) % fragments, table, codes(keys[local][by_doc], fragments).astype("<u8").tobytes(),
+                             owner[local][by_doc].astype("<u2").tobytes()))
+            yield _packed(*map(list, zip(*rows)))
+
+    def listed(ids: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        """``ids`` sorted, with the code of each."""
+        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        ends = [*cuts[1:].tolist(), len(ids)]
+        raw = found.astype("<u8").tobytes()
+        return pa.RecordBatch.from_arrays([
+            pa.array(ids[cuts], pa.int64()),
+            pa.array([raw[8 * lo:8 * hi] for lo, hi in zip(cuts.tolist(), ends)], pa.binary())], ["uid", "codes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(frag: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            low = np.concatenate([k for _, k, _ in held])
+            known = np.concatenate([o for _, _, o in held]) == 65535
+            ids = np.concatenate([np.where(o == 65535, 0, d[np.where(o == 65535, 0, o)]) for d, _, o in held])
+            order = np.argsort(low, kind="stable")
+            low, known, ids = low[order], known[order], ids[order]
+            group = np.cumsum(np.concatenate([[True], low[1:] != low[:-1]])) - 1
+            hit = (np.bincount(group) > 1) | (np.bincount(group, weights=known) > 0)
+            some = hit[group] & ~known
+            low, ids = low[some], ids[some]
+            order = np.argsort(ids, kind="stable")
+            return listed(ids[order], low[order].astype(np.uint64) | (np.uint64(frag) << np.uint64(32)))
+
+        held, current = [], None
+        for batch in batches:
+            for f, d, k, o in zip(*(c.to_pylist() for c in batch.columns)):
+                table = np.frombuffer(d, "<i8")
+                if f < 0:
+                    ids, found = table[np.frombuffer(o, "<u2")], np.frombuffer(k, "<u8")
+                    order = np.argsort(ids, kind="stable")
+                    yield listed(ids[order], found[order])
+                    continue
+                if f != current and held:
+                    yield solve(current, held)
+                    held = []
+                current = f
+                held.append((table, np.frombuffer(k, "<u4"), np.frombuffer(o, "<u2")))
+        if held:
+            yield solve(current, held)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        docs.select(uid, text).mapInArrow(send, ROW)
+        .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag")
+        .mapInArrow(meet, "uid long, codes binary")
+    )
