@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import decontaminate, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
+from terraweave.llm import decontaminate, katz, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
 from terraweave.llm.common import new_folder, table
 from terraweave.session import cut
 
@@ -23,6 +23,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~failed & F.col("rejected_by").isNull()).alias("kept"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scores, _ = katz.learn_and_score(docs, ~held_out)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     cleaned = line_dedup.drop_boilerplate(docs, "source", dropped="n_dropped")
@@ -72,7 +80,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_quality_rules, op2_token_store, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
+OPERATORS = (op1_quality_rules, op2_token_store, op3_katz, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
              op8_suffix_dedup, op10_decontaminate)
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
