@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import decontaminate, katz, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
+from terraweave.llm import decontaminate, html_extract, katz, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
 from terraweave.llm.common import new_folder, table
 from terraweave.session import cut
 
@@ -76,11 +76,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OPERATORS = (op1_quality_rules, op2_token_store, op3_katz, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
-             op8_suffix_dedup, op10_decontaminate)
+             op8_suffix_dedup, op9_html_extract, op10_decontaminate)
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
