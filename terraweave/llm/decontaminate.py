@@ -11,7 +11,8 @@
    that share too few words to get there are not aligned.
 
 Words are lower-cased runs without white space or ASCII punctuation. Items
-of fewer than n words match nothing; null and empty texts match nothing. Rows
+of fewer than n words or without an id match nothing; null and empty texts match
+nothing. Rows
 that share an id are judged together: the best score of each (id, item) counts.
 The n-grams of the items are handed to tasks in blocks of bounded size.
 """

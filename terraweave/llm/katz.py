@@ -38,6 +38,8 @@ HOT_SHARE = 0.001
 FRAGMENT_TOKENS = 2 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 DOC, HISTORY, UNSEEN, PAIR = range(4)  # kinds of rows that fragments give
+FOUND = ("kind int, a long, b long, " + "".join(f"h{r} long, " for r in range(1, TOP + 2))
+         + "x double, y double, z double, n long, m long")
 
 
 @dataclass(frozen=True)
@@ -206,11 +208,9 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
             yield from solve(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "kind int, a long, b long, " + "".join(f"h{r} long, " for r in range(1, TOP + 2)) + \
-        "x double, y double, z double, n long, m long"
     return (
         rows.mapInArrow(send, "frag int, uids binary, train binary, words binary, runs binary, histories binary, owners binary")
-        .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag").mapInArrow(meet, schema)
+        .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag").mapInArrow(meet, FOUND)
     )
 
 
@@ -242,7 +242,7 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
 
 def _finish(spark: SparkSession, folder: str, unigrams: Unigrams) -> Model:
     """Discounts of pairs, and the table of backoff weights."""
-    histories = spark.read.parquet(f"{folder}/fragments").where(F.col("kind") == HISTORY)
+    histories = spark.read.schema(FOUND).parquet(f"{folder}/fragments").where(F.col("kind") == HISTORY)
     hist = [f"h{r}" for r in range(1, TOP + 2)]
     by_count = [n or 0 for n in histories.agg(*[F.sum(h) for h in hist]).first()]
     pairs = Discounts.from_counts(by_count)
@@ -256,7 +256,7 @@ def _finish(spark: SparkSession, folder: str, unigrams: Unigrams) -> Model:
 
 
 def _scores(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
-    found = spark.read.parquet(f"{model.folder}/fragments")
+    found = spark.read.schema(FOUND).parquet(f"{model.folder}/fragments")
     hist = [f"h{r}" for r in range(1, TOP + 1)]
     docs = found.where(F.col("kind") == DOC).groupBy(F.col("a").alias("uid")).agg(
         *[F.sum(c).alias(c) for c in (*hist, "x", "y", "z", "n", "m")], F.sum("b").alias("rows"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +20,16 @@ def write_file(folder: str, name: str, parts: list[bytes]) -> int:
     return sum(map(len, parts))
 
 
+def make_folder(folder: str) -> None:
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, content) of the files in a folder; each file is a row, so writers bound their size."""
+    make_folder(folder)  # no rows, no files
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
 
 def column_values(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-Batches = Iterator["pyarrow.RecordBatch"]
