@@ -5,8 +5,8 @@
 2. Documents with equal sets become one class; only its representative goes on.
 3. Shingles get a global order, rarest first. A pair above the threshold must
    share a shingle of both prefixes, so prefixes give all candidate pairs.
-   First every document meets the smallest document of each of its prefix
-   shingles only; components of the links found so far are joined, and a second
+   First every document meets, for each of its prefix shingles, only the document
+   there with the fewest shingles of its own; components of the links found so far are joined, and a second
    pass forms the pairs between different components that share a prefix
    shingle. Large groups of near copies thus never give all their pairs.
 4. The global order is cut into fragments. The overlap of a pair is counted per
@@ -91,22 +91,32 @@ def _links(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
         ordered.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(pivots))), lambda f: F.transform(
             F.filter("keys", lambda e: (e["place"] > F.get(edges, f)) & (e["place"] <= F.get(edges, f + 1))),
             lambda e: e["key"]))).alias("frag", "seg")).where(F.size("seg") > 0))
-    prefix = cut(ordered.select("id", "n", F.explode(F.slice(
-        F.col("keys.key"), 1, (F.size("keys") - _at_least("n", percent) + 1).cast("int"))).alias("key")))
-
-    hubs = prefix.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    first = prefix.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    # Place in the whole order: shingles of one document only come first and are not listed.
+    alone = F.col("n") - F.size("keys")
+    prefix = cut(ordered.select("id", "n", alone.alias("alone"), F.posexplode(F.slice(
+        F.col("keys.key"), 1, (F.size("keys") - _at_least("n", percent) + 1).cast("int"))).alias("pos", "key"))
+        .withColumn("pos", F.col("pos") + F.col("alone")))
+
+    def can_link(n: Column, pos: Column, m: Column, other: Column) -> Column:
+        """Behind their first common shingle both documents must hold the overlap that their sizes ask for."""
+        need = F.ceil(percent * (n + m) / (100 + percent))
+        return (n - pos >= need) & (m - other >= need)
+
+    hubs = prefix.groupBy("key").agg(
+        F.min(F.struct("alone", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("other"))).alias("hub"),
+        F.count(F.lit(1)).alias("df")).where("df > 1").select("key", "hub.b", "hub.m", "hub.other")
+    first = (prefix.join(hubs, "key").where("id <> b").where(can_link(*map(F.col, ("n", "pos", "m", "other"))))
+             .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
     found = cut(_verified(first, segments, percent))
     comps = cut(components(found))
     placed = prefix.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = cut(placed.join(open_keys, "key"))
-    one = rest.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("comp_a"))
-    two = rest.select("key", F.col("id").alias("b"), F.col("n").alias("k"), F.col("comp").alias("comp_b"))
-    between = (one.join(two, "key")
-               .where("a < b and comp_a <> comp_b")
-               .where((100 * F.col("m") >= percent * F.col("k")) & (100 * F.col("k") >= percent * F.col("m")))
-               .select("a", "b").distinct())
+    one = rest.select("key", F.col("id").alias("a"), "n", "pos", F.col("comp").alias("comp_a"))
+    two = rest.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("other"),
+                      F.col("comp").alias("comp_b"))
+    between = (one.join(two, "key").where("a < b and comp_a <> comp_b")
+               .where(can_link(*map(F.col, ("n", "pos", "m", "other")))).select("a", "b").distinct())
     return found.union(_verified(between, segments, percent))
 
 
