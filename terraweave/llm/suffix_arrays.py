@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CELLS = 1 << 21  # characters of one batch
+CELLS = 1 << 18  # characters of one batch
 
 
 def _place(cols: np.ndarray, group: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:

@@ -36,7 +36,7 @@ from terraweave.session import cut
 
 LENGTH = 50
 PIECE = 24  # bytes of an anchor
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 LAST = np.int64(2 ** 63 - 1)
 NONE = np.uint64(2 ** 64 - 1)
 
