@@ -35,7 +35,8 @@ from terraweave.llm.tokens import chunks, mix, words
 
 TOP = 5  # greatest count that is discounted
 HOT_SHARE = 0.001
-FRAGMENT_TOKENS = 2 << 20
+FRAGMENT_TOKENS = 8 << 20
+RANGE_TOKENS = 1 << 18  # tokens of a fragment that are worked on at once
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 DOC, HISTORY, UNSEEN, PAIR = range(4)  # kinds of rows that fragments give
 FOUND = ("kind int, a long, b long, " + "".join(f"h{r} long, " for r in range(1, TOP + 2))
@@ -146,11 +147,39 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
                 [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(map(list, zip(*out)))],
                 ["frag", "uids", "train", "words", "runs", "histories", "owners"])
 
-    def solve(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        word = np.concatenate([np.repeat(w, r) for _, _, w, r, _, _ in held])
-        history = np.concatenate([h for *_, h, _ in held])
-        uid = np.concatenate([u[o] for u, *_, o in held])
-        train = np.concatenate([t[o] for _, t, *_, o in held]).astype(np.int64)
+    def ranges(held: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(word, history, uid, train) of the tokens of a fragment, in ranges of words of about ``RANGE_TOKENS``."""
+        every, runs = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
+        order = np.argsort(every, kind="stable")
+        part = np.cumsum(runs[order].astype(np.int64)) // RANGE_TOKENS
+        starts = np.unique(every[order][np.concatenate([[True], part[1:] != part[:-1]])])
+        stops = [np.cumsum(h[3].astype(np.int64)) for h in held]
+        for k, low in enumerate(starts):
+            out = []
+            for (uids, train, word, run, raw, owners), stop in zip(held, stops):
+                i = int(np.searchsorted(word, low))
+                j = int(np.searchsorted(word, starts[k + 1])) if k + 1 < len(starts) else len(word)
+                if i >= j:
+                    continue
+                t = slice(int(stop[i - 1]) if i else 0, int(stop[j - 1]))
+                wide = np.zeros((t.stop - t.start, 8), np.uint8)
+                wide[:, :6] = raw[t]
+                out.append((np.repeat(word[i:j], run[i:j]), wide.view("<u8")[:, 0], uids[owners[t]],
+                            train[owners[t]].astype(np.int64)))
+            yield tuple(map(np.concatenate, zip(*out)))
+
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        for tokens in ranges(held):
+            yield from solve_range(*tokens, sums)
+        owners, doc = np.unique(np.concatenate([o for o, _ in sums]), return_inverse=True)
+        parts = np.concatenate([v for _, v in sums], axis=1)
+        *hist, x, y, z, n, m, ends = (np.bincount(doc, weights=v, minlength=len(owners)) for v in parts)
+        whole = lambda values: np.rint(values).astype(np.int64)
+        yield rows_of(DOC, a=owners, hist=[whole(h) for h in hist], x=x, y=y, z=z, n=whole(n), m=whole(m), b=whole(ends))
+
+    def solve_range(word: np.ndarray, history: np.ndarray, uid: np.ndarray, train: np.ndarray,
+                    sums: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((history, word))
         word, history, uid, train = word[order], history[order], uid[order], train[order]
         new_word = np.concatenate([[True], word[1:] != word[:-1]])
@@ -165,13 +194,11 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
         seen, p1 = c2 > 0, unigrams.probability(c1)
 
         owners, doc = np.unique(uid, return_inverse=True)
-        total = lambda values: np.bincount(doc, weights=values, minlength=len(owners))
-        whole = lambda values: total(values).astype(np.int64)
         ends = word == END
-        yield rows_of(DOC, a=owners, hist=[whole(c2 == r) for r in range(1, TOP + 2)],
-                      x=total(np.where(c2 > TOP, np.log10(np.maximum(c2, 1)), 0) + np.where(seen, 0, np.log10(p1))),
-                      y=total(np.where(ends, 0, np.log10(c1 + 1))), z=total(np.log10(c1 + 1)),
-                      n=whole(np.ones(len(doc))), m=whole(c1 > 0), b=whole(ends))
+        values = [*(c2 == r for r in range(1, TOP + 2)),
+                  np.where(c2 > TOP, np.log10(np.maximum(c2, 1)), 0) + np.where(seen, 0, np.log10(p1)),
+                  np.where(ends, 0, np.log10(c1 + 1)), np.log10(c1 + 1), np.ones(len(doc)), c1 > 0, ends]
+        sums.append((owners, np.array([np.bincount(doc, weights=v, minlength=len(owners)) for v in values])))
         kept = new_pair & seen
         names, who = np.unique(history[kept], return_inverse=True)
         c, p = c2[kept], p1[kept]
@@ -200,10 +227,8 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
                     yield from solve(held)
                     held = []
                 current = f
-                wide = np.zeros((len(h) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(h, np.uint8).reshape(-1, 6)
                 held.append((np.frombuffer(u, "<i8"), np.frombuffer(t, np.uint8), np.frombuffer(w, "<u8"),
-                             np.frombuffer(r, "<u4"), wide.view("<u8")[:, 0], np.frombuffer(o, "<u2")))
+                             np.frombuffer(r, "<u4"), np.frombuffer(h, np.uint8).reshape(-1, 6), np.frombuffer(o, "<u2")))
         if held:
             yield from solve(held)
 
@@ -235,11 +260,22 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_text = rows.select("uid", "train", "text")
     fragments = max(parts, 1 + int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6.0 / FRAGMENT_TOKENS))
-    _fragments(rows_text, unigrams, hot, fragments).write.partitionBy("kind").parquet(f"{folder}/fragments")
+    _write_kinds(_fragments(rows_text, unigrams, hot, fragments), f"{folder}/fragments")
     model = _finish(spark, folder, unigrams)
     return _scores(spark, rows, model), model
 
 
+def _write_kinds(found: DataFrame, path: str) -> None:
+    """A table partitioned by kind; a task keeps a file open for each instead of sorting its rows."""
+    conf, name = found.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, "0")
+    conf.set(name, "8")
+    try:
+        found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def _finish(spark: SparkSession, folder: str, unigrams: Unigrams) -> Model:
     """Discounts of pairs, and the table of backoff weights."""
     histories = spark.read.schema(FOUND).parquet(f"{folder}/fragments").where(F.col("kind") == HISTORY)
