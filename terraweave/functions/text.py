@@ -188,8 +188,3 @@ def safe_tag(c: Column | str) -> Column:
 
 def safe_file(c: Column | str) -> Column:
     return F.translate(col(c), " /", "__")
-
-
-def numbered(prefix: str, c: Column | str, width: int = 4) -> Column:
-    """``e_0007`` style ids; wider numbers are not truncated."""
-    return F.format_string(f"{prefix}%0{width}d", col(c).cast("long"))

@@ -179,7 +179,7 @@ def thinned(draws: DataFrame, thin: int = 1, burn_in: int = 0) -> DataFrame:
     return draws.where((step % thin == 0) & (step > (burn_in // thin) * thin))
 
 
-def every_kth(draws: DataFrame, wanted: int = 200) -> DataFrame:
+def every_kth(draws: DataFrame, wanted: int) -> DataFrame:
     """Rows of every k-th sample, k = max(1, samples // wanted)."""
     n = draws.agg(F.max("sample_id") + 1).scalar()  # sample ids are dense
     k = F.greatest(F.lit(1).cast("long"), F.floor(n / wanted))
@@ -265,13 +265,15 @@ def satisfaction(scores: DataFrame) -> DataFrame:
 
 # -- modes ------------------------------------------------------------------
 
-def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 2, rounds: int = 8) -> DataFrame:
+SETTLED = 1e-9   # a centre that moves less has only been summed in another order
+
+def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 5) -> DataFrame:
     """Number of modes per entity: k-means for k = 1..max_k, least ``sse/n + 2k ln(n)/n``.
 
     All entities, all k and all starts move together: a round is one join of the
     draws with the centres of their entity (at most ``starts * max_k*(max_k+1)/2``
     of them) and one partially aggregated group-by. Starting centres are draws
-    picked by a seeded hash.
+    picked by a seeded hash. Rounds end when no centre moves.
     """
     points = draws.select("entity_id", "x", "y")
     h = lambda s: F.xxhash64(F.lit(s), "x", "y")
@@ -293,12 +295,18 @@ def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 2, rounds: int =
 
     pts = cut(points)
     centres = cut(centres)
-    for r in range(rounds):
+    while True:
         moved = nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k", F.col("b.c").alias("c")).agg(
             F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("p"))
-        centres = moved.groupBy("entity_id", "s", "k").agg(F.collect_list("p").alias("cs"))  # at most max_k points
-        if r % 4 == 3:
-            centres = cut(centres)
+        # at most max_k points
+        after = cut(moved.groupBy("entity_id", "s", "k").agg(F.sort_array(F.collect_list("p")).alias("cs")))
+        far = F.exists(F.zip_with("cs", "_old", lambda p, q: F.greatest(
+            F.abs(p["x"] - q["x"]), F.abs(p["y"] - q["y"]))), lambda d: F.coalesce(d > SETTLED, F.lit(True)))
+        before = centres.select("entity_id", "s", "k", F.sort_array("cs").alias("_old"))
+        going = not after.join(before, ["entity_id", "s", "k"]).where(far).isEmpty()
+        centres = after
+        if not going:
+            break
     sse = nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k").agg(
         F.sum("b.d").alias("sse"), F.count(F.lit(1)).alias("n"))
     best = sse.groupBy("entity_id", "k").agg(F.min("sse").alias("sse"), F.first("n").alias("n"))

@@ -155,9 +155,9 @@ def token_offsets(tokens: Column, text: Column) -> Column:
 
 # -- one row per sentence ---------------------------------------------------
 
-def drop_repeats_rows(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
+def drop_repeats_rows(rows: DataFrame, key: str, order: str, text: str, coarse: Column | None = None) -> DataFrame:
     """Drop rows whose text equals that of the preceding row of the same key."""
-    marked = with_previous(rows, [key], order, text, "_prev")
+    marked = with_previous(rows, [key], order, text, "_prev", coarse=coarse)
     return marked.where(~F.col(text).eqNullSafe(F.col("_prev")) | F.col("_prev").isNull()).drop("_prev")
 
 
@@ -260,7 +260,7 @@ def budget_windows(arrays: DataFrame, budget: int = 400, overlap: int = 5,
 # -- sampling ---------------------------------------------------------------
 
 def draw_windows(candidates: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
-    """``n`` windows without replacement in a seeded hash order; too few is an error.
+    """``n`` windows without replacement in a seeded hash order; too few is an error, raised at once.
 
     Ranking by a hash keeps the draw a TakeOrdered: each task sends its ``n``
     best rows, whatever the number of candidates.
@@ -271,7 +271,6 @@ def draw_windows(candidates: DataFrame, n: int = 100, seed: int = 42) -> DataFra
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(0)).orderBy("_h")
     out = drawn.withColumn("i", F.row_number().over(w) - 1).drop("_h")
-    short = F.when(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) < n,
-                   F.raise_error(F.lit(f"fewer than {n} windows to draw from")))
-    return out.withColumn("annotation_id", F.coalesce(
-        short.cast("string"), F.format_string("ann_%03d", "i"))).drop("i")
+    if candidates.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} windows to draw from")
+    return out.withColumn("annotation_id", F.format_string("ann_%03d", "i")).drop("i")

@@ -219,7 +219,7 @@ def infer(r: Run) -> None:
     if not r.wanted("samples"):
         return
     i = r.cfg.get("inference", {})
-    s = sm.Settings(i.get("sweeps", 200), i.get("burn_in", 50), i.get("thin", 5), i.get("beta", 1.0), i.get("proposal_std_km", 10.0),
+    s = sm.Settings(i.get("sweeps", i.get("num_samples", 200)), i.get("burn_in", 50), i.get("thin", 5), i.get("beta", 1.0), i.get("proposal_std_km", 10.0),
                     i.get("num_chains", 4), i.get("num_walkers", 32), i.get("random_seed", 42), i.get("init_bbox_radius_km", 500.0))
     draws = sm.infer(i.get("method", "metropolis"), r.load("constraints"), r.load("latent"), r.load("fixed"), s)
     draws.write.mode("overwrite").partitionBy("chain_id").parquet(r.path("samples"))
@@ -229,7 +229,8 @@ def diagnose(r: Run) -> None:
     if not r.wanted("posterior"):
         return
     draws = r.load("samples")
-    scores = dg.satisfaction_per_sample(r.load("constraints"), r.load("fixed"), dg.every_kth(draws))
+    subset = r.cfg.get("diagnostics", {}).get("scored_samples")  # all, unless the configuration asks for fewer
+    scores = dg.satisfaction_per_sample(r.load("constraints"), r.load("fixed"), draws if not subset else dg.every_kth(draws, subset))
     r.save("posterior", dg.posterior_summary(draws, r.load("latent"), cut(scores)))
 
 

@@ -340,7 +340,7 @@ def ess(spark, sf):
 
 def _scores(spark, sf, evaluable_only=False):
     return dg.satisfaction_per_sample(
-        tb.part_constraints(spark, sf), tb.nation_points(spark, sf), dg.every_kth(tb.draws(spark, sf)), evaluable_only)
+        tb.part_constraints(spark, sf), tb.nation_points(spark, sf), tb.draws(spark, sf), evaluable_only)
 
 
 def constraint_satisfaction(spark, sf):
@@ -393,15 +393,6 @@ def metropolis(spark, sf):
     return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=3, burn_in=1, thin=1, radius=300.0))
 
 
-def ensemble(spark, sf):
-    """Walkers over the suppliers without coordinates, tied to the others by their line items."""
-    ents = tb.geo_entities(spark, sf).where(F.col("type") == "real")
-    rel = rl.dedup(tb.geo_relations(spark, sf).where(F.col("entity_1").startswith("Supplier")), ["rel_ord", "relation_id"])
-    spec = cn.specs(rel.drop("first_seen"), ents)
-    return sm.ensemble(spec, cn.latent_entities(ents), cn.fixed_entities(ents),
-                       sm.Settings(sweeps=1, burn_in=0, thin=1, radius=300.0))
-
-
 def sample_energies(spark, sf):
     """Energy of every draw under the constraints of the parts."""
     d = tb.draws(spark, sf)
@@ -514,10 +505,9 @@ QUERIES = {
     "d10_evenly_spaced": evenly_spaced,
     "v03_map_overlay": map_overlay,
     "a19_mode_count": mode_count,
-    "i14_posterior_summary": posterior_summary,
+    "j12_posterior_summary": posterior_summary,
     "i07_sample_energies": sample_energies,
     "i03_metropolis": metropolis,
-    "i05_ensemble": ensemble,
     "a10_score_strict": _score("strict"),
     "a10_score_lenient": _score("lenient"),
     "a11_score_per_type": score_per_type,

@@ -172,7 +172,7 @@ def scores(extra: str, name: str) -> str:
 
 
 SCORES = f"""{DRAWS}, {PARTC},
-sub AS (SELECT * FROM draws WHERE sample_id % greatest(1, (SELECT (max(sample_id) + 1) // 200 FROM draws)) = 0),
+sub AS (SELECT * FROM draws),
 {scores('', 'sc')}, {scores(f'AND c.type IN ({lst(INFERABLE)})', 'se')}"""
 
 RHAT = f"""{DRAWS.strip()},
@@ -484,8 +484,8 @@ SQL = {
       SELECT sample_id, entity_id, {rnd('x', 'y')} FROM draws WHERE sample_id IN (SELECT s FROM p)""",
     "v03_map_overlay": f"""WITH {DRAWS}, {MOMENTS} SELECT entity_id, round(40.7128 + mean_y / {SCALE}, 4) AS lat,
       round(-74.006 + mean_x / ({SCALE} * {COS0}), 4) AS lon, round(sqrt(std_x * std_x + std_y * std_y), 4) AS uncertainty_km FROM mom""",
-    "i14_posterior_summary": f"""WITH {RHAT}, {CELLS.replace(DRAWS + ',', '')}, {ENTROPY}, {MOMENTS}, {ELLIPSE}, {ESS}, {PARTC},
-      sub AS (SELECT * FROM draws WHERE sample_id % greatest(1, (SELECT (max(sample_id) + 1) // 200 FROM draws)) = 0), {scores('', 'sc')}
+    "j12_posterior_summary": f"""WITH {RHAT}, {CELLS.replace(DRAWS + ',', '')}, {ENTROPY}, {MOMENTS}, {ELLIPSE}, {ESS}, {PARTC},
+      sub AS (SELECT * FROM draws), {scores('', 'sc')}
       SELECT entity_id, 'Point ' || entity_id AS name, {rnd('mean_x', 'mean_y', 'std_x', 'std_y', 'semi_major', 'semi_minor')},
         round(angle_deg, 2) AS angle_deg, {rnd('center_x', 'center_y', 'spatial_entropy', 'r_hat_x', 'r_hat_y')},
         round(ess_x, 1) AS ess_x, round(ess_y, 1) AS ess_y,

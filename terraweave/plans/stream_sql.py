@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import sql_parts as P
-from ..sources.writers import EDGE_KEYS, KIND_FILL, LINK_COLOR, NODE_KEYS
+from ..sources.writers import EDGE_KEYS, KIND_COLOR, KIND_FILL, LINK_COLOR, NODE_KEYS
 
 _dot_label = "coalesce(nullif(concat_ws(' / ', rcc8, cdc), ''), indicator)"
 
@@ -39,12 +39,18 @@ SQL = {
       UNION ALL SELECT 2, concat_ws(chr(1), location_1, location_2, sentence_id, indicator), '  "' || location_1 || '" -> "' || location_2 || '" [label="' ||
         {_dot_label} || '", color="' || CASE WHEN cdc IS NULL THEN '{LINK_COLOR['QSLINK']}' ELSE '{LINK_COLOR['OLINK']}' END ||
         '", tooltip="' || indicator || '"];' FROM ed
-      UNION ALL SELECT 0, '0000', 'digraph SpatialGraph {{'
-      UNION ALL SELECT 0, '0001', '  graph [rankdir=LR, fontname="Helvetica", overlap=false, splines=true];'
-      UNION ALL SELECT 0, '0002', '  node  [shape=ellipse, fontname="Helvetica", style=filled, fillcolor="#eef5ff"];'
-      UNION ALL SELECT 0, '0003', '  edge  [fontname="Helvetica", fontsize=10];'
+      UNION ALL SELECT 0, '0000', 'digraph terraweave {{'
+      UNION ALL SELECT 0, '0001', '  layout=dot; ranksep=0.8; bgcolor=white;'
+      UNION ALL SELECT 0, '0002', '  node [style="filled,rounded" shape=box fontsize=12];'
+      UNION ALL SELECT 0, '0003', '  edge [arrowsize=0.7 fontsize=9];'
       UNION ALL SELECT 3, '0000', '}}')
       SELECT section, key, line, count(*) AS n FROM l GROUP BY 1, 2, 3""",
-    "s16_html_lines": f"""WITH {P.EDGES} SELECT 0 AS section, 4::BIGINT AS n UNION ALL SELECT 1, count(*) FROM nd
-      UNION ALL SELECT 2, count(*) FROM ed UNION ALL SELECT 3, 6""",
+    "s16_html_lines": f"""WITH {P.EDGES}, l AS (
+      SELECT 1 AS section, entity AS key, 'node(' || replace(to_json({{'id': entity, 'value': mention_count, 'kind': entity_kind,
+        'color': {P.case('entity_kind', KIND_COLOR)}}})::VARCHAR, '<', '\\u003c') || ');' AS line FROM nd
+      UNION ALL SELECT 2, concat_ws(chr(1), location_1, location_2, sentence_id, indicator), 'edge(' || replace(to_json({{
+        'from': location_1, 'to': location_2, 'label': {_dot_label}, 'link': CASE WHEN cdc IS NULL THEN 'QSLINK' ELSE 'OLINK' END,
+        'rcc8': coalesce(rcc8, '—'), 'cdc': coalesce(cdc, '—'), 'indicator': indicator, 'sentence_id': sentence_id,
+        'color': CASE WHEN cdc IS NULL THEN '{LINK_COLOR['QSLINK']}' ELSE '{LINK_COLOR['OLINK']}' END}})::VARCHAR, '<', '\\u003c') || ');' FROM ed)
+      SELECT section, key, line, count(*) AS n FROM l GROUP BY 1, 2, 3""",
 }

@@ -47,9 +47,9 @@ def sentence_table(spark, sf):
 def dedup_consecutive(spark, sf):
     turns = table(spark, sf, "conversations")
     lines = turns.select("conv_id", F.posexplode(segment.split_sentences(tx.tidy("text"), 1)).alias("i", "line"), "turn")
-    lines = lines.select("conv_id", (F.col("turn") * 1000000 + F.col("i")).alias("ord"),
-                         F.substring_index("line", " ", 1).alias("line"))
-    return segment.drop_repeats_rows(lines, "conv_id", "ord", "line")
+    lines = lines.select("conv_id", F.struct("turn", "i").alias("ord"), "line")
+    kept = segment.drop_repeats_rows(lines, "conv_id", "ord", "line", coarse=F.floor(F.col("ord.turn") / 1024))
+    return kept.select("conv_id", "ord.turn", "ord.i", "line")
 
 
 def dedup_all(spark, sf):

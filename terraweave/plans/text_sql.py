@@ -44,9 +44,8 @@ SQL = {
         doc_id || '_sent_' || sent_idx AS sentence_id, text FROM sents""",
     "d01_dedup_consecutive": f"""WITH l AS (SELECT conv_id, turn, {_lines} AS a FROM conversations),
         x AS (SELECT conv_id, turn, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i FROM l),
-        y AS (SELECT conv_id, turn * 1000000 + i AS ord, split_part(line, ' ', 1) AS line FROM x),
-        z AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY ord) AS p FROM y)
-        SELECT conv_id, ord, line FROM z WHERE p IS NULL OR p <> line""",
+        z AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn, i) AS p FROM x)
+        SELECT conv_id, turn, i, line FROM z WHERE p IS NULL OR p <> line""",
     "d02_dedup_all": f"""WITH docs AS (SELECT doc_id, {P.tidy('text', False)} AS t FROM documents),
         lists AS (SELECT doc_id, {P.sentence_list('t')} AS l FROM docs),
         listed AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS i FROM lists)

@@ -25,29 +25,15 @@ def _post(url: str, payload: dict, timeout: int) -> dict:
         return json.loads(answer.read())
 
 
-def available(host: str, timeout: int = 5) -> bool:
-    try:
-        with urllib.request.urlopen(host.rstrip("/") + "/api/tags", timeout=timeout):
-            return True
-    except OSError:
-        return False
-
-
-def pulled(host: str, model: str, timeout: int = 5) -> bool:
-    with urllib.request.urlopen(host.rstrip("/") + "/api/tags", timeout=timeout) as answer:
-        names = [m.get("name", "") for m in json.loads(answer.read()).get("models", [])]
-    return any(n == model or n.split(":")[0] == model for n in names)
-
-
 def client(host: str = "http://localhost:11434", model: str = "mistral",
-           timeout: int = 90) -> Callable[[], Callable[[str, str, float], str]]:
+           timeout: int = 90, answer_tokens: int = 1024) -> Callable[[], Callable[[str, str, float], str]]:
     """Factory for ``ModelExtractor.make_client``: JSON mode, bounded answer length."""
     def make():
         def chat(system: str, user: str, temperature: float) -> str:
             payload = {
                 "model": model, "stream": False, "format": "json",
                 "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
-                "options": {"temperature": temperature, "top_p": 0.9, "num_predict": 512},
+                "options": {"temperature": temperature, "top_p": 0.9, "num_predict": answer_tokens},
             }
             return _post(host.rstrip("/") + "/api/chat", payload, timeout)["message"]["content"]
         return chat

@@ -16,7 +16,3 @@ def load_config(path: str) -> dict:
         return yaml.safe_load(body) or {}
     except ImportError:
         return json.loads(body)
-
-
-def data_dir(cfg: dict) -> str:
-    return cfg.get("data_dir", "data")

@@ -38,11 +38,6 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = True, partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
-def write_samples(draws: DataFrame, path: str) -> None:
-    """One folder per chain; each line is a draw of one entity."""
-    write_jsonl(draws, path, partition_by=["chain_id"])
-
-
 def write_model(fixed: DataFrame, latent: DataFrame, constraints: DataFrame, path: str,
                 origin: tuple[float, float]) -> None:
     """Constraint model as three tables and a one-row coordinate system."""
@@ -97,10 +92,8 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edge = F.concat(
         F.lit("  "), q(F.col("location_1")), F.lit(" -> "), q(F.col("location_2")), F.lit(" [label="), q(_label()),
         F.lit(', color="'), _color(F.col("link"), LINK_COLOR, "#d62728"), F.lit('", tooltip='), q(F.col("indicator")), F.lit("];"))
-    head = ["digraph SpatialGraph {",
-            '  graph [rankdir=LR, fontname="Helvetica", overlap=false, splines=true];',
-            '  node  [shape=ellipse, fontname="Helvetica", style=filled, fillcolor="#eef5ff"];',
-            '  edge  [fontname="Helvetica", fontsize=10];']
+    head = ["digraph terraweave {", "  layout=dot; ranksep=0.8; bgcolor=white;",
+            '  node [style="filled,rounded" shape=box fontsize=12];', "  edge [arrowsize=0.7 fontsize=9];"]
     return (_fixed(nodes, 0, head).unionByName(nodes.select(*_row(1, F.col("entity"), node)))
             .unionByName(edges.select(*_row(2, _edge_key(), edge))).unionByName(_fixed(nodes, 3, ["}"])))
 

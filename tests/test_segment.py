@@ -89,10 +89,10 @@ def test_blocked_ordering_with_a_hot_key(spark):
         assert sums[(r["k"], r["o"])] == sum(seq[:i])
 
 
-def test_global_positions_in_buckets(spark):
+def test_global_positions(spark):
     names = [f"n{(i * 7919) % 1000:04d}" for i in range(1000)]
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    got = ordering.with_global_position(df, ["name"], bucket_rows=50).orderBy("pos").collect()
+    got = ordering.with_global_position(df, ["name"]).orderBy("pos").collect()
     assert [r["name"] for r in got] == sorted(names)
     assert [r["pos"] for r in got] == list(range(1000))
 
@@ -103,5 +103,22 @@ def test_draw_windows(spark):
     w = segment.windows(df, 3, 1)
     a, b = (segment.draw_windows(w, 5).orderBy("annotation_id").collect() for _ in range(2))
     assert a == b and len({r["window_id"] for r in a}) == 5
-    with pytest.raises(Exception, match="fewer than"):
-        segment.draw_windows(w, 50).collect()
+    for short in (w.limit(4), w.limit(0)):
+        with pytest.raises(ValueError, match="fewer than"):
+            segment.draw_windows(short, 5)
+
+
+def test_null_keys_and_orders_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), (None, 3, "z"), (None, 3, "z")], "k string, o long, v string")
+    assert ordering.with_position(df, ["k"], "o").count() == 4
+    assert ordering.with_previous(df, ["k"], "o", "v").count() == 4
+    assert ordering.with_running_sum(df.withColumn("one", F.lit(1.0)), ["k"], "o", {"one": "s"}).count() == 4
+
+
+def test_repeats_compare_whole_lines(spark):
+    lines = ["same words", "same start, other end", "same start, other end", "same words"]
+    rows = [("c", t, i, line) for t in range(3000, 3002) for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "k string, t long, i int, v string").withColumn("ord", F.struct("t", "i"))
+    kept = segment.drop_repeats_rows(df, "k", "ord", "v", coarse=F.floor(F.col("t") / 1024))
+    got = [(r.ord.t, r.ord.i) for r in kept.orderBy("ord").collect()]
+    assert got == [(3000, 0), (3000, 1), (3000, 3), (3001, 1), (3001, 3)]
