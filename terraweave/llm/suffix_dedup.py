@@ -31,7 +31,7 @@ from terraweave.llm import shared_keys
 from terraweave.llm.shared_keys import _fragment as fragment_of
 from terraweave.llm.store import column_values
 from terraweave.llm.suffix_arrays import CELLS, batch_suffix_arrays, permuted_prefixes
-from terraweave.llm.tokens import chunks, mix
+from terraweave.llm.tokens import chunks, mix, slide
 from terraweave.session import cut
 
 LENGTH = 50
@@ -45,15 +45,6 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` over each run of ``width`` values."""
-    span = 1
-    while 2 * span <= width:
-        values, span = pick(values[:-span], values[span:]), 2 * span
-    rest = width - span
-    return pick(values[:-rest], values[rest:]) if rest else values
-
-
 def anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places in the joined bytes, part indexes, keys) of the anchors of all strings of ``length`` bytes."""
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -66,9 +57,9 @@ def anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     key = mix(mix(mix(np.full(n, 7, np.uint64), loads[:n]), loads[8:n + 8]), loads[16:n + 16]) | np.uint64(1)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # bytes to the end of the own part
     key[left < PIECE] = NONE
-    least = _slide(np.concatenate([key, np.full(reach - 1, NONE)]), reach, np.minimum)
+    least = slide(np.concatenate([key, np.full(reach - 1, NONE)]), reach, np.minimum)
     least[left < length] = 0  # no string starts here
-    greatest = _slide(np.concatenate([np.zeros(reach - 1, np.uint64), least]), reach, np.maximum)
+    greatest = slide(np.concatenate([np.zeros(reach - 1, np.uint64), least]), reach, np.maximum)
     place = np.flatnonzero((greatest == key) & (key != NONE))
     return place, np.repeat(np.arange(len(parts)), sizes)[place], key[place]
 

@@ -32,6 +32,15 @@ def mix(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def slide(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` over each run of ``width`` values."""
+    span = 1
+    while 2 * span <= width:
+        values, span = pick(values[:-span], values[span:]), 2 * span
+    rest = width - span
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together have about ``size`` bytes; a longer text is a slice of its own."""
     for batch in batches:
