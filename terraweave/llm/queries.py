@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraweave.llm import decontaminate, html_extract, katz, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
 from terraweave.llm.common import new_folder, table
+from terraweave.llm.sql import SQL
 from terraweave.session import cut
 
 
@@ -88,4 +89,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (op1_quality_rules, op2_token_store, op3_katz, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
              op8_suffix_dedup, op9_html_extract, op10_decontaminate)
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

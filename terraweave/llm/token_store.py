@@ -33,7 +33,8 @@ from terraweave.session import cut
 MAGIC = b"TWDAC001"
 BLOCK = 512  # bits per entry of a rank directory
 FILE_IDS = 1 << 20
-CACHE_UNITS = 800_000
+ENCODE_ROWS = 128  # texts that share calls of the tokenizer
+CACHE_UNITS = 200_000  # of a generation; two are kept
 
 # Units: places where byte-level pre-tokenization always cuts. A Latin word before white space or ASCII punctuation,
 # such punctuation before white space or a Latin letter, else a run of non-spaces, each with the one space before it;
@@ -57,6 +58,7 @@ class Encoder:
         self.mark = special[0] if special else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_units = cache_units
 
     def _cuts_at_units(self) -> bool:
@@ -92,8 +94,15 @@ class Encoder:
         for row in units:
             new.update(filterfalse(self.cache.__contains__, row))
         if len(self.cache) + len(new) > self.cache_units:
-            self.cache, new = {}, set().union(*units)
-        missing = list(new)
+            # a generation is full: units still in use come over from it when they are needed
+            self.older, self.cache, new = self.cache, {}, set().union(*units)
+        missing = []
+        for unit in new:
+            ids = self.older.get(unit)
+            if ids is None:
+                missing.append(unit)
+            else:
+                self.cache[unit] = ids
         self.cache.update(zip(missing, self._ids(missing)))
         known = self.cache.__getitem__
         for i, row in zip(rest, units):
@@ -231,11 +240,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
             keys = column_values(batch, "doc_id")
             texts = [t or "" for t in column_values(batch, "text")]
             ranges = np.searchsorted(cuts, np.array([k if k is not None else 0 for k in keys], dtype=np.int64), "right")
-            for lo in range(0, len(keys), 256):
-                found = encoder(tokenizer).encode(texts[lo:lo + 256])
+            for lo in range(0, len(keys), ENCODE_ROWS):
+                found = encoder(tokenizer).encode(texts[lo:lo + ENCODE_ROWS])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([-1 if k is None else int(r) for k, r in zip(keys[lo:lo + 256], ranges[lo:lo + 256])], pa.int32()),
-                    pa.array(keys[lo:lo + 256], pa.int64()),
+                    pa.array([-1 if k is None else int(r) for k, r in zip(keys[lo:lo + ENCODE_ROWS], ranges[lo:lo + ENCODE_ROWS])], pa.int32()),
+                    pa.array(keys[lo:lo + ENCODE_ROWS], pa.int64()),
                     pa.array([x + end for x in found], pa.binary())], ["bucket", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
