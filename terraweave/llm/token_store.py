@@ -40,7 +40,7 @@ CACHE_UNITS = 200_000  # of a generation; two are kept
 # such punctuation before white space or a Latin letter, else a run of non-spaces, each with the one space before it;
 # or a run of white space. Texts with rarer white space or with added tokens are encoded in one piece.
 _LATIN, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r'.,!?;:"()|*$%&#<>/=\-'
-UNITS = re.compile(rf" ?[{_LATIN}]++(?=[{_MARKS}\s]|\Z)| ?[{_MARKS}]++(?=[{_LATIN}\s]|\Z)| ?\S+|\s+(?=\s\S)|\s+")
+UNITS = re.compile(rf" ?[{_LATIN}]++(?![^{_MARKS}\s])| ?[{_MARKS}]++(?![^{_LATIN}\s])| ?\S+|\s+(?=\s\S)|\s+")
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -238,10 +238,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
         end = np.array([end_id], dtype=encoder(tokenizer).dtype).tobytes()
         for batch in batches:
             keys = column_values(batch, "doc_id")
-            texts = [t or "" for t in column_values(batch, "text")]
             ranges = np.searchsorted(cuts, np.array([k if k is not None else 0 for k in keys], dtype=np.int64), "right")
             for lo in range(0, len(keys), ENCODE_ROWS):
-                found = encoder(tokenizer).encode(texts[lo:lo + ENCODE_ROWS])
+                found = encoder(tokenizer).encode(
+                    [t or "" for t in column_values(batch.slice(lo, ENCODE_ROWS), "text")])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([-1 if k is None else int(r) for k, r in zip(keys[lo:lo + ENCODE_ROWS], ranges[lo:lo + ENCODE_ROWS])], pa.int32()),
                     pa.array(keys[lo:lo + ENCODE_ROWS], pa.int64()),
