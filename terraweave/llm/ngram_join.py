@@ -34,6 +34,7 @@ from terraweave.session import cut
 SHINGLE_WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
+BROADCAST_ROWS = 4_000_000
 
 
 def _at_least(n: Column, percent: int) -> Column:
@@ -130,7 +131,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rows = rows.withColumn("uid", document_uid(F.col("doc_id"), F.col("text")))
     counted = cut(count_shared(rows, lambda texts: shingles(texts, n), fragments_for(rows, "text", 6.0)))
     able = counted.where((F.col("n_keys") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_keys"))).select("uid")
-    sets = cut(shingle_sets(rows.join(able, "uid", "left_semi").dropDuplicates(["uid"]), n))
+    able = cut(able)
+    if able.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond, the texts are shuffled to them
+        able = F.broadcast(able)
+    sets = cut(shingle_sets(rows.join(able, "uid", "left_semi"), n).dropDuplicates(["uid"]))
     code = sets.select("uid", F.size("keys").alias("n"), F.xxhash64("keys").alias("h"), F.hash("keys").alias("g"))
     classes = code.groupBy("n", "h", "g").agg(F.min("uid").alias("rep"))
     member = cut(code.join(classes, ["n", "h", "g"]).select("uid", "rep"))

@@ -20,6 +20,7 @@ from terraweave.llm.tokens import CHUNK_BYTES, chunks, distinct_by_text
 
 FRAGMENT_KEYS = 4 << 20
 ROW = "frag int, docs binary, keys binary, owner binary"
+PACKED = ["bucket", "uids", "rows", "n_keys", "n_shared"]
 
 # texts -> (keys, text indexes)
 Keys = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
@@ -64,9 +65,16 @@ def count_shared(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
             rows.append((-1 - int(ids[0]) % fragments, table, n.tobytes(), shared.tobytes()))
             yield _packed(*map(list, zip(*rows)))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["uid", "rows", "n_keys", "n_shared"]
+    def dealt(ids: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+        """Rows of numbers per document, packed by the bucket that adds them up."""
+        bucket = (ids.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(fragments + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        packed = [[v[order][cuts[b]:cuts[b + 1]].astype("<i8").tobytes() for b in used] for v in (ids, *values)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], PACKED)
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             low = np.concatenate([k for _, k, _ in held])
             known = np.concatenate([o for _, _, o in held]) == 65535
@@ -77,17 +85,14 @@ def count_shared(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
             hit = (np.bincount(group) > 1) | (np.bincount(group, weights=known) > 0)
             found, counts = np.unique(ids[hit[group] & ~known], return_counts=True)
             zero = np.zeros(len(found), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(zero), pa.array(zero), pa.array(counts)], names)
+            return dealt(found, zero, zero, counts)
 
         held, current = [], None
         for batch in batches:
             for f, d, k, o in zip(*(c.to_pylist() for c in batch.columns)):
                 table = np.frombuffer(d, "<i8")
                 if f < 0:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(table), pa.array(np.ones(len(table), np.int64)),
-                        pa.array(np.frombuffer(k, "<i4").astype(np.int64)),
-                        pa.array(np.frombuffer(o, "<i4").astype(np.int64))], names)
+                    yield dealt(table, np.ones(len(table), np.int64), np.frombuffer(k, "<i4"), np.frombuffer(o, "<i4"))
                     continue
                 if f != current and held:
                     yield solve(held)
@@ -97,12 +102,35 @@ def count_shared(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
         if held:
             yield solve(held)
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            ids, rows, n, shared = map(np.concatenate, zip(*held))
+            uids, doc = np.unique(ids, return_inverse=True)
+            most = np.zeros(len(uids), np.int64)
+            np.maximum.at(most, doc, n)
+            sums = [np.bincount(doc, weights=v).astype(np.int64) for v in (rows, shared)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (uids, sums[0], most, sums[1])],
+                                              ["uid", "rows", "n_keys", "n_shared"])
+
+        held, current = [], None
+        for batch in batches:
+            for b, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != current and held:
+                    yield close()
+                    held = []
+                current = b
+                held.append(tuple(np.frombuffer(x, "<i8") for x in packed))
+        if held:
+            yield close()
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(parts, fragments)
     return (
         docs.select(uid, text).mapInArrow(send, ROW)
-        .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag")
-        .mapInArrow(meet, "uid long, rows long, n_keys long, n_shared long")
-        .groupBy("uid").agg(F.sum("rows").alias("rows"), F.max("n_keys").alias("n_keys"), F.sum("n_shared").alias("n_shared"))
+        .repartition(tasks, "frag").sortWithinPartitions("frag")
+        .mapInArrow(meet, "bucket int, uids binary, rows binary, n_keys binary, n_shared binary")
+        .repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(add_up, "uid long, rows long, n_keys long, n_shared long")
     )
 
 
