@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 CELLS = 1 << 18  # characters of one batch
+WIDE = 1 << 12  # longer strings leave too few rows for scans in step
 
 
 def _place(cols: np.ndarray, group: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
@@ -114,6 +115,36 @@ def batch_suffix_arrays(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sort_from(o_row, starts[o_row, order[o_row, o_at]])
 
 
+def _doubled(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` symbols at least, by doubling."""
+    rank, span = text.astype(np.int64), 1
+    while True:
+        after = np.zeros_like(rank)
+        after[:-span] = rank[span:] + 1
+        key = rank * (int(rank.max()) + 2) + after
+        order = np.argsort(key, kind="stable")
+        span *= 2
+        ordered = key[order]
+        rank = np.empty_like(rank)
+        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        if span >= depth or span >= len(text):
+            return order
+
+
+def sorted_suffixes(text: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix orders of the rows, right for the first ``depth`` symbols: what runs of common prefixes need.
+
+    Short strings are sorted by induction, all in step. Of strings beyond ``WIDE`` a batch holds few rows, whose scans
+    would cost an operation per symbol; they are sorted by doubling.
+    """
+    if text.shape[1] <= WIDE:
+        return batch_suffix_arrays(text, sizes)
+    out = np.full(text.shape, -1, dtype=np.int64)
+    for r, size in enumerate(sizes):
+        out[r, :size] = _doubled(text[r, :size], depth)
+    return out
+
+
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """For each position, the common prefix (``cap`` at most) with the suffix before it in order; 0 for the first."""
     rows, width = text.shape

@@ -10,7 +10,7 @@ document with a smaller id; all strings are judged on the input.
 3. The surroundings of such an anchor, as wide as strings around it reach, go to
    the shard of the anchor. Equal surroundings become one, with the smallest id
    they occur in. The different ones are joined to one text per anchor; its
-   suffix array is built by induced sorting and its permuted common prefixes give
+   suffixes are sorted (``suffix_arrays``: by induction) and its permuted common prefixes give
    the runs of suffixes that start with equal strings. The smallest id of a run
    is the first document of its string.
 4. Spans go back to their documents.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from terraweave.llm import shared_keys
 from terraweave.llm.shared_keys import _fragment as fragment_of
 from terraweave.llm.store import column_values
-from terraweave.llm.suffix_arrays import CELLS, batch_suffix_arrays, permuted_prefixes
+from terraweave.llm.suffix_arrays import CELLS, permuted_prefixes, sorted_suffixes
 from terraweave.llm.tokens import chunks, mix, slide
 from terraweave.session import cut
 
@@ -108,7 +108,7 @@ def _first_documents(groups: np.ndarray, texts: np.ndarray, sizes: np.ndarray, l
                     offset[r, at:at + whole] = np.arange(whole)
                 at += size + 1
             text[r, at - 1] = 0
-        order = batch_suffix_arrays(text, totals[lo:hi])
+        order = sorted_suffixes(text, totals[lo:hi], length)
         prefix = permuted_prefixes(text, order, length)
         row, rank = np.nonzero(order >= 0)
         place = order[row, rank]

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from terraweave.llm import components, decontaminate, ngram_join, suffix_dedup
+from terraweave.llm import components, decontaminate, ngram_join, suffix_arrays, suffix_dedup
 from terraweave.llm.suffix_arrays import batch_suffix_arrays, permuted_prefixes
 
 from .data import SCHEMA, rows, sentence
@@ -126,6 +126,20 @@ def test_suffix_arrays(letters, longest):
             assert common[i, b] == n
 
 
+def test_wide_strings_are_sorted_to_depth(monkeypatch):
+    rng = random.Random(8)
+    strings = [[rng.randint(1, 3) for _ in range(rng.randint(1, 300))] + [0] for _ in range(20)]
+    sizes = np.array([len(s) for s in strings])
+    text = np.zeros((20, sizes.max()), np.int64)
+    for i, s in enumerate(strings):
+        text[i, :len(s)] = s
+    monkeypatch.setattr(suffix_arrays, "WIDE", 10)
+    sa = suffix_arrays.sorted_suffixes(text, sizes, 9)
+    for i, s in enumerate(strings):
+        got = [s[k:k + 9] for k in sa[i, :len(s)]]
+        assert got == sorted(got) and sorted(sa[i, :len(s)]) == list(range(len(s)))
+
+
 def plain_alignment(a, b):
     grid, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
     for i in range(1, len(a) + 1):
