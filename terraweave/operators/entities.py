@@ -90,9 +90,9 @@ def lookup_keys(entities: DataFrame, order: str) -> DataFrame:
     first place and its last value."""
     rows = entities.select(F.inline(F.array(
         F.struct(fold("canonical_name").alias("key"), F.col("canonical_name").alias("canonical"),
-                 (F.col(order) * 2).alias("o")),
+                 F.struct(F.col(order).alias("at"), F.lit(0).alias("side")).alias("o")),
         F.struct(fold("name").alias("key"), F.col("canonical_name").alias("canonical"),
-                 (F.col(order) * 2 + 1).alias("o")))))
+                 F.struct(F.col(order).alias("at"), F.lit(1).alias("side")).alias("o")))))
     return rows.groupBy("key").agg(F.max_by("canonical", "o").alias("canonical"), F.min("o").alias("ord"))
 
 
@@ -127,8 +127,10 @@ def resolve(names: DataFrame, keys: DataFrame) -> DataFrame:
     keys_, open_ = keys.withColumn("_n", _lengths(open_)), open_.withColumn("_n", _lengths(keys))
     inside = open_.select("name", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).join(
         keys, "key").select("name", "canonical", "ord")
-    around = keys_.select("canonical", "ord", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).join(
-        open_, "key").select("name", "canonical", "ord")
+    # a short name fits many keys: the first key of each substring is found before the names come in
+    fitting = keys_.select("canonical", "ord", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).groupBy(
+        "key").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
+    around = fitting.join(open_, "key").select("name", "canonical", "ord")
     loose = inside.unionByName(around).groupBy("name").agg(F.min_by("canonical", "ord").alias("canonical"))
     return exact.unionByName(loose)
 
@@ -145,11 +147,11 @@ def match_mentions(mentions: DataFrame, entities: DataFrame, order: str) -> Data
     tries = F.array(F.struct(F.lit(0).alias("level"), F.col("low").alias("key")),
                     F.struct(F.lit(1).alias("level"), short.alias("key")))
     direct = todo.select("mention", F.inline(tries)).join(keys, "key").select(
-        "mention", "canonical", F.struct("level", F.lit(0).cast("long").alias("ord")).alias("rank"))
+        "mention", "canonical", F.struct("level", F.lit(None).cast(keys.schema["ord"].dataType).alias("ord")).alias("rank"))
     long_keys = keys.where(F.length("key") >= 4)
     inside = todo.withColumn("_n", _lengths(long_keys)).select("mention", F.explode(elements(_substrings(
         F.col("low"), F.col("_n")))).alias("key")).join(long_keys, "key").select(
-        "mention", "canonical", F.struct(F.lit(2).alias("level"), F.col("ord").cast("long").alias("ord")).alias("rank"))
+        "mention", "canonical", F.struct(F.lit(2).alias("level"), "ord").alias("rank"))
     return direct.unionByName(inside).groupBy("mention").agg(F.min_by("canonical", "rank").alias("canonical"))
 
 

@@ -142,9 +142,9 @@ def word_registry(spark: SparkSession, sf: str) -> DataFrame:
     """Entities named by the words of the benchmark texts, in reading order."""
     b = table(spark, sf, "benchmark")
     words = b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("i", "w"))
+    place = F.struct("item_id", "i")
     return words.groupBy(canonical("w").alias("canonical_name")).agg(
-        F.min(F.col("item_id") * 100000 + F.col("i")).alias("ord"),
-        F.min_by("w", F.col("item_id") * 100000 + F.col("i")).alias("name"))
+        F.min(place).alias("ord"), F.min_by("w", place).alias("name"))
 
 
 def gold_and_pred(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
