@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 CELLS = 1 << 18  # characters of one batch
-WIDE = 1 << 12  # longer strings leave too few rows for scans in step
+WIDE = 1 << 10  # longer strings leave too few rows for scans in step
 
 
 def _place(cols: np.ndarray, group: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:

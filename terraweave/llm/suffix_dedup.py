@@ -9,7 +9,9 @@ document with a smaller id; all strings are judged on the input.
    documents matter (``shared_keys``).
 3. The surroundings of such an anchor, as wide as strings around it reach, go to
    the shard of the anchor. Equal surroundings become one, with the smallest id
-   they occur in. The different ones are joined to one text per anchor; its
+   they occur in. They are cut to what others of the anchor share on either
+   side, which makes most of them equal; those left are joined to one text per
+   anchor; its
    suffixes are sorted (``suffix_arrays``: by induction) and its permuted common prefixes give
    the runs of suffixes that start with equal strings. The smallest id of a run
    is the first document of its string.
@@ -37,6 +39,7 @@ from terraweave.session import cut
 LENGTH = 50
 PIECE = 24  # bytes of an anchor
 CHUNK = 1 << 20
+BLOCK = 1 << 14  # rows of a shard that are compared at once
 LAST = np.int64(2 ** 63 - 1)
 NONE = np.uint64(2 ** 64 - 1)
 
@@ -123,16 +126,86 @@ def _first_documents(groups: np.ndarray, texts: np.ndarray, sizes: np.ndarray, l
     return out
 
 
+def _common(rows: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For each row of symbols (0: none) the longest prefix it shares with another row of its group."""
+    keyed = np.concatenate([groups.astype(">u8").view(np.uint8).reshape(-1, 8),
+                            rows.astype(">u2").view(np.uint8).reshape(len(rows), -1)], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"V{keyed.shape[1]}")[:, 0], kind="stable")
+    a, g = rows[order], groups[order]
+    same = (a[1:] == a[:-1]) & (a[1:] != 0)
+    length = np.where(g[1:] == g[:-1], np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1), 0)
+    best = np.maximum(np.concatenate([[0], length]), np.concatenate([length, [0]]))
+    out = np.empty(len(rows), dtype=np.int64)
+    out[order] = best
+    return out
+
+
+def _cut_out(texts: np.ndarray, start: np.ndarray, stop: np.ndarray, width: int, back: bool = False) -> np.ndarray:
+    """texts[start:stop] of each row as symbols from 1, padded with 0; backwards if ``back``."""
+    step = np.arange(width)
+    out = np.zeros((len(texts), width), dtype=np.uint16)
+    for k in range(0, len(texts), BLOCK):
+        lo, hi = start[k:k + BLOCK, None], stop[k:k + BLOCK, None]
+        at = hi - 1 - step if back else lo + step
+        inside = (at >= lo) & (at < hi)
+        rows = np.take_along_axis(texts[k:k + BLOCK], np.where(inside, at, 0), axis=1)
+        out[k:k + BLOCK] = np.where(inside, rows.astype(np.uint16) + 1, 0)
+    return out
+
+
+def _trimmed_first_documents(groups: np.ndarray, texts: np.ndarray, sizes: np.ndarray, lefts: np.ndarray,
+                             least: np.ndarray, length: int) -> np.ndarray:
+    """``_first_documents`` over surroundings cut to what others of their anchor share on either side.
+
+    No shared string reaches beyond; surroundings that differ only there become one.
+    """
+    strings = texts.shape[1] - length + 1
+    out = np.where(np.arange(strings) < (sizes - length + 1)[:, None], least[:, None], LAST)
+    if not len(groups):
+        return out
+    several = np.concatenate([groups[1:] == groups[:-1], [False]]) | np.concatenate([[False], groups[1:] == groups[:-1]])
+    some = np.flatnonzero(several)
+    if not len(some):
+        return out
+    g, t, left, size = groups[some], texts[some], lefts[some], sizes[some]
+    zero = np.zeros(len(some), np.int64)
+    start = left - _common(_cut_out(t, zero, left, max(int(left.max()), 1), back=True), g)
+    stop = left + _common(_cut_out(t, left, size, length), g)
+    wide = stop - start >= length
+    some, g, t, start, stop = some[wide], g[wide], t[wide], start[wide], stop[wide]
+    if not len(some):
+        return out
+    short = _cut_out(t, start, stop, texts.shape[1])
+    new_size = stop - start
+    code = new_size.astype(np.uint64)
+    padded = np.zeros((len(short), -(-short.shape[1] // 4) * 4), np.uint16)
+    padded[:, :short.shape[1]] = short
+    for k in range(0, padded.shape[1], 4):
+        code = mix(code, np.ascontiguousarray(padded[:, k:k + 4]).view("<u8")[:, 0])
+    order = np.lexsort((code, g))
+    new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (code[order][1:] != code[order][:-1])])
+    number = np.empty(len(some), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first_of = order[new]
+    smallest = np.full(len(first_of), LAST)
+    np.minimum.at(smallest, number, least[some])
+    found = _first_documents(g[first_of], (np.maximum(short[first_of], 1) - 1).astype(np.uint8), new_size[first_of], smallest, length)
+    row, offset = np.nonzero(np.arange(strings) < (new_size - length + 1)[:, None])
+    place = start[row] + offset
+    out[some[row], place] = np.minimum(out[some[row], place], found[number[row], offset])
+    return out
+
+
 def _solve(held: list[tuple[np.ndarray, ...]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(uids, starts, ends) of what documents lose in one shard."""
-    key, size, texts, entry, uid, rank, lo = [], [], [], [], [], [], []
+    key, size, left, texts, entry, uid, rank, lo = [], [], [], [], [], [], [], []
     base = 0
-    for keys, sizes, matrix, entries, uids, ranks, places in held:
-        key.append(keys), size.append(sizes), texts.append(matrix), entry.append(entries + base)
+    for keys, sizes, lefts, matrix, entries, uids, ranks, places in held:
+        key.append(keys), size.append(sizes), left.append(lefts), texts.append(matrix), entry.append(entries + base)
         uid.append(uids), rank.append(ranks), lo.append(places)
         base += len(keys)
-    key, size, texts, entry, uid, rank, lo = map(np.concatenate, (key, size, texts, entry, uid, rank, lo))
-    code = np.zeros(len(key), np.uint64) + size.astype(np.uint64)
+    key, size, left, texts, entry, uid, rank, lo = map(np.concatenate, (key, size, left, texts, entry, uid, rank, lo))
+    code = np.zeros(len(key), np.uint64) + size.astype(np.uint64) * np.uint64(128) + left.astype(np.uint64)
     for k in range(0, texts.shape[1], 8):
         code = mix(code, np.ascontiguousarray(texts[:, k:k + 8]).view("<u8")[:, 0])
     order = np.lexsort((code, key))
@@ -143,12 +216,15 @@ def _solve(held: list[tuple[np.ndarray, ...]], length: int) -> tuple[np.ndarray,
     least = np.full(int(new.sum()), LAST)
     np.minimum.at(least, kind, rank)
     pick = order[new]
-    first = _first_documents(key[pick], texts[pick], size[pick], least, length)
-    gone = first[kind] < rank[:, None]
-    edge = np.diff(gone.astype(np.int8), axis=1, prepend=np.int8(0), append=np.int8(0))
-    r, a = np.nonzero(edge == 1)
-    _, b = np.nonzero(edge == -1)
-    return uid[r], lo[r] + a, lo[r] + b - 1 + length
+    first = _trimmed_first_documents(key[pick], texts[pick], size[pick].astype(np.int64), left[pick].astype(np.int64), least, length)
+    found = []
+    for k in range(0, len(kind), BLOCK):
+        gone = first[kind[k:k + BLOCK]] < rank[k:k + BLOCK, None]
+        edge = np.diff(gone.astype(np.int8), axis=1, prepend=np.int8(0), append=np.int8(0))
+        r, a = np.nonzero(edge == 1)
+        _, b = np.nonzero(edge == -1)
+        found.append((uid[k + r], lo[k + r] + a, lo[k + r] + b - 1 + length))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -> DataFrame:
@@ -181,7 +257,8 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
             texts = np.lib.stride_tricks.sliding_window_view(data, wide)[lo].copy()
             texts[np.arange(wide) >= size[:, None]] = 0
             # equal surroundings of this slice are sent once
-            same = np.zeros(len(keys), np.uint64) + size.astype(np.uint64)
+            left = place - lo
+            same = size.astype(np.uint64) * np.uint64(128) + left.astype(np.uint64)
             for k in range(0, wide, 8):
                 same = mix(same, np.ascontiguousarray(texts[:, k:k + 8]).view("<u8")[:, 0])
             order = np.lexsort((same, keys))
@@ -196,11 +273,11 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
             for f in np.flatnonzero(np.diff(cuts)):
                 e, o = slice(cuts[f], cuts[f + 1]), slice(o_cuts[f], o_cuts[f + 1])
                 out.append((int(f), keys[pick[e]].astype("<u8").tobytes(), size[pick[e]].astype("<i4").tobytes(),
-                            texts[pick[e]].tobytes(), (entry[o] - cuts[f]).astype("<i4").tobytes(),
+                            left[pick[e]].astype("<i4").tobytes(), texts[pick[e]].tobytes(), (entry[o] - cuts[f]).astype("<i4").tobytes(),
                             uids[s_owner[o]].tobytes(), ranks[s_owner[o]].tobytes(), s_lo[o].astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(map(list, zip(*out)))],
-                ["frag", "keys", "sizes", "texts", "entries", "uids", "ranks", "places"])
+                ["frag", "keys", "sizes", "lefts", "texts", "entries", "uids", "ranks", "places"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
@@ -220,9 +297,9 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
                     yield close()
                     held = []
                 current = f
-                kinds = ("<u8", "<i4", np.uint8, "<i4", "<i8", "<i8", "<i8")
+                kinds = ("<u8", "<i4", "<i4", np.uint8, "<i4", "<i8", "<i8", "<i8")
                 arrays = [np.frombuffer(x, k) for x, k in zip(packed, kinds)]
-                arrays[2] = arrays[2].reshape(-1, wide)
+                arrays[3] = arrays[3].reshape(-1, wide)
                 held.append(tuple(arrays))
         if held:
             yield close()
@@ -230,7 +307,7 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         rows.join(lists, "uid").mapInArrow(
-            surround, "frag int, keys binary, sizes binary, texts binary, entries binary, uids binary, ranks binary, "
+            surround, "frag int, keys binary, sizes binary, lefts binary, texts binary, entries binary, uids binary, ranks binary, "
                       "places binary")
         .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag")
         .mapInArrow(solve, "uid long, spans binary")
