@@ -173,6 +173,25 @@ def parse_triples(raw: Column | str, accept_lists: bool = False) -> Column:
     return F.filter(trimmed, complete)
 
 
+def parse_relations(raw: Column | str) -> Column:
+    """Typed relations of a joint response, a JSON object with the key ``relations``; all fields as strings.
+
+    Prose around the object is ignored. An object without the key has no relations; null when nothing can be parsed.
+    """
+    body = json_body(raw)
+    kind = "array<struct<" + ",".join(f"{c}:string" for c in sorted(_RELATION_COLUMNS)) + ">>"
+    listed = F.from_json(F.get_json_object(body, "$.relations"), kind)
+    whole = F.startswith(strip(body), F.lit("{"))
+    return F.when(whole, F.coalesce(listed, F.array().cast(kind)))
+
+
+def joint_relations(answers: DataFrame, raw: str, min_confidence: float | None = None) -> DataFrame:
+    """Valid relations of joint responses, with the other columns of ``answers``."""
+    keys = [c for c in answers.columns if c != raw]
+    rows = answers.select(*keys, F.inline(elements(parse_relations(raw))))
+    return valid_relations(rows, min_confidence)
+
+
 def complete(t: Column) -> Column:
     return (t["location_1"] != "") & (t["location_2"] != "") & (t["spatial_indicator"] != "")
 

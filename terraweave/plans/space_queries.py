@@ -77,12 +77,12 @@ def parse_and_validate(spark, sf):
                        F.array_join("semantic_type", ",").alias("semantic_type"))
 
 
-def joint_validate(spark, sf):
+def _raw_relations(spark, sf):
     """Raw relations with every defect the validator handles, one per order."""
     o = table(spark, sf, "orders")
     k = F.col("o_orderkey")
     price = F.col("o_totalprice")
-    raw = o.select(
+    return o.select(
         k.alias("rid"),
         F.concat(F.lit(" "), tb.pick(tb.LINE_TYPES, k), F.lit(" ")).alias("relation_type"),
         F.when(F.pmod(k, F.lit(11)) == 0, "x").otherwise(F.col("o_orderpriority")).alias("entity_1"),
@@ -96,7 +96,21 @@ def joint_validate(spark, sf):
         .otherwise((F.pmod(k, F.lit(150)) / 100).cast("string")).alias("confidence"),
         F.when(F.pmod(k, F.lit(6)) == 0, "far").otherwise(F.pmod(k, F.lit(90)).cast("string")).alias("distance_value"),
         tb.pick(["miles", "km", "m"], k).alias("distance_unit"))
-    return extract.valid_relations(raw, 0.55)
+
+
+def joint_validate(spark, sf):
+    return extract.valid_relations(_raw_relations(spark, sf), 0.55)
+
+
+def parse_joint(spark, sf):
+    """The same relations as joint responses: plain, wrapped in prose, broken off, and under another key."""
+    raw = _raw_relations(spark, sf)
+    one = F.struct(*[c for c in raw.columns if c != "rid"])
+    good = F.to_json(F.struct(F.array(one).alias("relations")))
+    k = F.pmod("rid", F.lit(4))
+    answer = (F.when(k == 0, good).when(k == 1, F.concat(F.lit("Here you are:\n"), good, F.lit("\nAnything else?")))
+              .when(k == 2, F.substring(good, 1, 40)).otherwise(F.to_json(F.struct(F.array(one).alias("facts")))))
+    return extract.joint_relations(raw.select("rid", answer.alias("answer")), "answer", 0.55)
 
 
 # -- entities -------------------------------------------------------------------
@@ -469,6 +483,7 @@ QUERIES = {
     "x01_parse_responses": parse_responses,
     "x02_parse_and_validate": parse_and_validate,
     "f06_joint_validate": joint_validate,
+    "x03_parse_joint": parse_joint,
     "d04_relation_candidates": relation_candidates,
     "a06_entity_registry": entity_registry,
     "j08_mention_positions": mention_positions,

@@ -521,3 +521,4 @@ SQL = {
       SELECT (SELECT count(*) FROM wins) AS windows, count(*) AS windows_with_relations, sum(n)::BIGINT AS relations, 0::BIGINT AS errors FROM c""",
     "f16_resume_pending": f"WITH {P.windows(3, 3)} SELECT doc_id, window_id FROM wins WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }
+SQL["x03_parse_joint"] = f"SELECT * FROM ({SQL['f06_joint_validate']}) WHERE rid % 4 IN (0, 1)"
