@@ -37,7 +37,7 @@ def test_text_to_graph(spark, tmp_path):
     assert report["edges"] == sum(report["rcc8_distribution"].values()) == sum(report["cdc_distribution"].values())
     assert report["nodes"] == sum(report["entity_kind_distribution"].values()) and len(report["top_connected"]) == 3
     dot = joined(tmp_path / "g" / "g.dot").splitlines()
-    assert dot[0] == "digraph SpatialGraph {" and dot[-1] == "}" and len(dot) == 5 + report["nodes"] + report["edges"]
+    assert dot[0] == "digraph terraweave {" and dot[-1] == "}" and len(dot) == 5 + report["nodes"] + report["edges"]
     import xml.etree.ElementTree as et
     g = et.fromstring(joined(tmp_path / "g" / "g.graphml"))
     ns = "{http://graphml.graphdrawing.org/xmlns}"
