@@ -1,12 +1,13 @@
 """Benchmark passages in training documents, exact or edited.
 
-1. All documents are searched for the word n-grams of all items; the hits give
-   each n-gram's document frequency.
-2. Seeds of an item are the rarer ``seed_share`` of its n-grams. A seed hit says
-   where in the document the item would start; places are put in buckets of the
-   item's length.
+1. All documents are searched for the word n-grams of all items. Every n-gram that
+   occurs is a seed, however common: an n-gram that copies share may be the only
+   one that an edited copy has left.
+2. A seed hit says where in the document the item would start; places are put in
+   buckets of the item's length.
 3. Around each bucket the words are aligned with the item by Smith-Waterman
-   (match +2, other word -1, gap -1). The score is divided by that of the item
+   (match +2, other word -1, gap -1), wide enough for every alignment through a
+   seed that can reach ``min_score``. The score is divided by that of the item
    with itself; from ``min_score`` on the document counts as contaminated. Pairs
    that share too few words to get there are not aligned.
 
@@ -14,23 +15,24 @@ Words are lower-cased runs without white space or ASCII punctuation. Items
 of fewer than n words or without an id match nothing; null and empty texts match
 nothing. Rows
 that share an id are judged together: the best score of each (id, item) counts.
+Items that share an id are searched each by its own text.
 The n-grams of the items are handed to tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from terraweave.llm.store import column_values
 from terraweave.llm.tokens import chunks, ngrams, words
 from terraweave.session import cut
 
 NGRAM = 3
-SEED_SHARE = 0.75
 MIN_SCORE = 0.5
 BLOCK_KEYS = 1 << 20  # n-grams (8 bytes each) handed to tasks at once
 PAIR_CELLS = 1 << 22  # cells of one batch of alignments
@@ -52,17 +54,21 @@ def _grams(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams[whole].view(np.int64), owner[:len(grams)][whole], place[:len(grams)][whole], counts
 
 
+def item_uid(item_id: Column, text: Column) -> Column:
+    return F.xxhash64(item_id.cast("long"), text)
+
+
 def item_grams(items: DataFrame, n: int = NGRAM, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, key, pos, size): the n-grams of each item and its number of words."""
+    """(item, key, pos, size): the n-grams of each (id, text) and its number of words."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            ids = np.array(column_values(batch, "item_id"), dtype=np.int64)
+            ids = np.array(column_values(batch, "item"), dtype=np.int64)
             keys, owner, place, counts = _grams(column_values(batch, "text"), n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[owner]), pa.array(keys), pa.array(place.astype(np.int32)),
-                 pa.array(counts[owner].astype(np.int32))], ["item_id", "key", "pos", "size"])
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(split, "item_id long, key long, pos int, size int")
+                 pa.array(counts[owner].astype(np.int32))], ["item", "key", "pos", "size"])
+    rows = items.where(F.col(key).isNotNull()).select(item_uid(F.col(key), F.col(text)).alias("item"), F.col(text).alias("text"))
+    return rows.mapInArrow(split, "item long, key long, pos int, size int")
 
 
 def find_hits(docs: DataFrame, keys: np.ndarray, n: int, uid: str = "uid", text: str = "text") -> DataFrame:
@@ -115,7 +121,7 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[
 
 
 def _align(candidates: DataFrame, min_score: float) -> DataFrame:
-    """Aligned candidates (uid, text, wanted: item_id, item, bucket) that reach ``min_score``."""
+    """Aligned candidates (uid, text, wanted: item, item_id, item_text, bucket) that reach ``min_score``."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             ids, wanted = column_values(batch, "uid"), column_values(batch, "wanted")
@@ -125,12 +131,13 @@ def _align(candidates: DataFrame, min_score: float) -> DataFrame:
             for i, uid in enumerate(ids):
                 own = keys[bounds[i]:bounds[i + 1]]
                 for want in wanted[i]:
-                    item = known.setdefault(want["item_id"], None)
+                    item = known.setdefault(want["item"], None)
                     if item is None:
-                        item = known[want["item_id"]] = _words([want["item"]])[0]
+                        item = known[want["item"]] = _words([want["item_text"]])[0]
                     size = len(item)
-                    lo = max(0, want["bucket"] * size - size // 2)
-                    window = own[lo:want["bucket"] * size + 2 * size + size // 2 + 1]
+                    reach = ceil((1 - min_score) * MATCH * size / GAP)  # more gaps cost the score
+                    lo = max(0, want["bucket"] * size - reach)
+                    window = own[lo:max(0, want["bucket"] * size + 2 * size + reach)]
                     both, n_item = np.unique(item, return_counts=True)
                     at = np.minimum(np.searchsorted(both, window), size and len(both) - 1)
                     n_window = np.bincount(at[both[at] == window], minlength=len(both))
@@ -150,8 +157,7 @@ def _align(candidates: DataFrame, min_score: float) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
-          item_text: str = "text", n: int = NGRAM, seed_share: float = SEED_SHARE, min_score: float = MIN_SCORE,
-          block_keys: int = BLOCK_KEYS) -> DataFrame:
+          item_text: str = "text", n: int = NGRAM, min_score: float = MIN_SCORE, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """(doc_id, item_id, score, end_word): contaminated documents with their items.
 
     score is at most 1 (an exact copy); end_word is the number of words up to the end of the best alignment.
@@ -171,21 +177,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
     hits = cut(hits)
-    frequency = hits.select("uid", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    per_item = grams.groupBy("item_id", "key").agg(F.collect_set("pos").alias("places"), F.first("size").alias("size"))
-    ranked = (
-        per_item.join(frequency, "key")
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "key")))
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    )
-    seeds = ranked.where(F.col("_rank") <= F.ceil(F.col("_n") * seed_share)).select(
-        "item_id", "key", "size", F.explode("places").alias("at"))
+    seeds = grams.select("item", "key", "size", F.col("pos").alias("at"))
     places = hits.join(seeds, "key").select(
-        "uid", "item_id", F.floor((F.col("pos") - F.col("at")) / F.col("size")).cast("int").alias("bucket")).distinct()
-    texts = items.where(F.col(item_key).isNotNull()).groupBy(F.col(item_key).cast("long").alias("item_id")).agg(
-        F.max(F.col(item_text)).alias("item"))
-    wanted = places.join(texts, "item_id").groupBy("uid").agg(
-        F.collect_list(F.struct("item_id", "item", "bucket")).alias("wanted"))
+        "uid", "item", F.floor((F.col("pos") - F.col("at")) / F.col("size")).cast("int").alias("bucket")).distinct()
+    texts = items.where(F.col(item_key).isNotNull()).select(
+        item_uid(F.col(item_key), F.col(item_text)).alias("item"), F.col(item_key).cast("long").alias("item_id"),
+        F.col(item_text).alias("item_text")).dropDuplicates(["item"])
+    wanted = places.join(texts, "item").groupBy("uid").agg(
+        F.collect_list(F.struct("item", "item_id", "item_text", "bucket")).alias("wanted"))
     aligned = _align(rows.join(wanted, "uid").select("uid", "text", "wanted"), min_score)
     best = aligned.groupBy("uid", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("_end"))).alias("_best"))
     ids = rows.select("uid", "doc_id").distinct()

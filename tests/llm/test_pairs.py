@@ -180,3 +180,29 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6] and clean.columns == df.columns
     assert decontaminate.leaks(df.limit(0), bench).count() == 0
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(docs)
+
+
+def test_an_edited_copy_beside_an_exact_one(spark):
+    """Every score that plain alignment of whole documents reaches is found, whatever other documents hold."""
+    rng = random.Random(4)
+    items = [(i, sentence(rng, 15 + 12 * (i % 3))) for i in range(30)] + [(0, sentence(rng, 20)), (0, sentence(rng, 25))]
+    docs, near = [], []
+    for k, (_, text) in enumerate(items):
+        own = text.split()
+        docs.append((2 * k, text))
+        for i in sorted(rng.sample(range(len(own)), len(own) // 3), reverse=True):
+            own[i:i + 1] = [f"new{i}"] if k % 4 else [own[i], f"new{i}"] * (1 + (k % 8 == 4 and i % 2))
+        near.append((2 * k + 1, sentence(rng, 9) + " " + " ".join(own) + " " + sentence(rng, 9)))
+    docs += near + [(1000 + i, t) for i in range(5) for _, t in near]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    grams = lambda w: set(zip(w, w[1:], w[2:]))
+    split = lambda t: t.lower().split()
+    for d, text in docs:
+        for i, item in items:
+            a, b = split(item), split(text)
+            if grams(a) & grams(b) and (score := plain_alignment(a, b)) >= len(a):
+                want[d, i] = max(want.get((d, i), 0), score / (2 * len(a)))
+    assert sum(d % 2 for d, _ in want if d < 1000) > 15
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()} == want
