@@ -6,9 +6,10 @@ their host, never with other pages: a host has at most (mean distinct lines of a
 page) / ratio such lines, however many pages it has, so the lists stay short.
 
 Lines are compared without outer white space; lines without a word are never
-dropped. A null host is a host of its own; null texts stay null. Repeated rows
-are separate pages, and a line that a page repeats counts once for it. Lines are
-compared by 64-bit hashes.
+dropped. A null host is a host of its own; null texts stay null. A line that a
+page repeats counts once for it. Rows of a host with equal text are one page, so
+that a text is not boilerplate for being copied; with ``copies_once=False`` each
+row is a page. Lines and texts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,16 +34,19 @@ def _lines(text: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, host: str, text: str = "text", max_ratio: float = MAX_RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
+                min_pages: int = MIN_PAGES, copies_once: bool = True) -> DataFrame:
     """(host, code, pages): lines on more than ``max_ratio`` of the host's pages, and on ``min_pages`` at least."""
     site = F.col(host).alias("host")
     codes = F.array_distinct(F.array_compact(F.transform(_lines(F.col(text)), _code)))
+    pages = df.select(site, codes.alias("codes"), F.xxhash64(text).alias("page"))
+    if copies_once:
+        pages = cut(pages.distinct())
     counted = (
-        df.select(site, F.explode(codes).alias("code"))
+        pages.select("host", F.explode("codes").alias("code"))
         .groupBy("host", "code").agg(F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
-    totals = df.groupBy(site).agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "_host")
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "_host")
     return (
         counted.join(totals, F.col("host").eqNullSafe(F.col("_host")))
         .where(F.col("pages") > max_ratio * F.col("total"))
@@ -51,13 +55,13 @@ def boilerplate(df: DataFrame, host: str, text: str = "text", max_ratio: float =
 
 
 def drop_boilerplate(df: DataFrame, host: str, text: str = "text", max_ratio: float = MAX_RATIO,
-                     min_pages: int = MIN_PAGES, dropped: str | None = None) -> DataFrame:
+                     min_pages: int = MIN_PAGES, dropped: str | None = None, copies_once: bool = True) -> DataFrame:
     """``df`` with the boilerplate lines of its host taken out of the text; every row stays.
 
     ``dropped`` names a column for the number of lines taken out.
     """
     lists = (
-        cut(boilerplate(df, host, text, max_ratio, min_pages))
+        cut(boilerplate(df, host, text, max_ratio, min_pages, copies_once))
         .groupBy("host").agg(F.collect_set("code").alias("_codes")).withColumnRenamed("host", "_host")
     )
     joined = df.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left")

@@ -34,7 +34,7 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cleaned = line_dedup.drop_boilerplate(docs, "source", dropped="n_dropped")
+    cleaned = line_dedup.drop_boilerplate(docs, "source", dropped="n_dropped", copies_once=False)  # as its SQL counts
     return cleaned.select(
         "doc_id", "source", "n_dropped", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"),
         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

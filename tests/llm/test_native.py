@@ -88,3 +88,13 @@ def test_ratio_is_relative_to_the_host(spark):
     df = spark.createDataFrame(data, "doc_id long, host string, text string")
     assert line_dedup.boilerplate(df, "host").count() == 0  # exactly a tenth is no boilerplate
     assert line_dedup.boilerplate(df, "host", max_ratio=0.09).first().pages == 10
+
+
+def test_equal_texts_are_one_page_of_a_host(spark):
+    data = [(i, "h", f"menu\nown {i}") for i in range(20)] + [(i, "h", "copied first line\ncopied last line") for i in range(100, 110)]
+    df = spark.createDataFrame(data, "doc_id long, host string, text string")
+    out = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, "host").collect()}
+    assert out[3] == "own 3" and {out[i] for i in range(100, 110)} == {"copied first line\ncopied last line"}
+    assert [(r.pages, r.host) for r in line_dedup.boilerplate(df, "host").collect()] == [(20, "h")]
+    plain = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, "host", copies_once=False).collect()}
+    assert plain[3] == "own 3" and plain[100] == ""

@@ -82,6 +82,16 @@ def test_pipeline(spark, tmp_path):
         assert sum(len(model.byte_table[i]) for i in r.ids) == len(r.text.encode()) + 1
 
 
+def test_one_of_many_copies_comes_out_whole(spark, tmp_path):
+    rng = random.Random(3)
+    copied = "\n".join(sentence(rng, 25) for _ in range(3))
+    rows = [(i, copied if i % 3 == 1 else "\n".join(["menu of the site", *(sentence(rng, 25) for _ in range(3))])) for i in range(60)]
+    spark.createDataFrame([(*r, "en", "site", len(r[1])) for r in rows], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, sentence(rng, 30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.text for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: t.removeprefix("menu of the site\n") for i, t in rows if i % 3 != 1 or i == 1}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     rows, items = table()
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
