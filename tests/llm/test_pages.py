@@ -81,3 +81,24 @@ def test_equal_pages_do_not_erase_each_other(spark):
     body = PAGE.format("<p>a page that the host serves twice under two addresses</p>")
     df = spark.createDataFrame([(1, "http://h.org/a", body), (2, "http://h.org/b", body)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.main_text(df).collect()} == {"a page that the host serves twice under two addresses"}
+
+
+def test_near_copies_and_quotations_are_kept(spark):
+    menu, footer = "<div>Home and news and all the other places of this site</div>", "<div>Imprint and terms of use of all our sites</div>"
+    story = "a long story that two pages of the host carry word for word and that nobody may lose"
+    quoted = "some say that a quoted passage of many words is no menu at all"
+    bodies = [f"<p>page {i} has words of its own number {i} here</p>" for i in range(8)]
+    bodies[3] += f"<p>{quoted}</p>"
+    bodies[5] += f"<p>{quoted}</p>"
+    bodies += [f"<p>{story}</p><p>printed on day {i}</p>" for i in (1, 2)]
+    data = [(i, f"http://h.org/{i}", PAGE.format(menu + body + (footer if i < 4 else ""))) for i, body in enumerate(bodies)]
+    data += [(20 + i, f"http://two.org/{i}", PAGE.format(f"<p>{story}</p><p>printed on day {i}</p>")) for i in (1, 2)]
+    data += [(30 + i, "http://h.org/again", data[0][2]) for i in range(9)]  # equal pages count once
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    own = lambda i: f"page {i} has words of its own number {i} here"
+    assert got[7] == own(7) and got[5] == f"{own(5)}\n{quoted}"
+    assert got[3] == f"{own(3)}\n{quoted}\nImprint and terms of use of all our sites"  # the footer is on 4 of 10 pages
+    assert got[9] == f"{story}\nprinted on day 2" and got[21] == f"{story}\nprinted on day 1"
+    assert got[30] == got[0]
+    assert {r.page_id: r.text for r in html_extract.main_text(df, page_share=0.3, min_pages=4).collect()}[3] == f"{own(3)}\n{quoted}"
