@@ -396,6 +396,9 @@ def posterior_summary(spark, sf):
 
 # -- sampling ------------------------------------------------------------------------
 
+SWEEPS, BURN_IN, THIN = 200, 50, 5  # as flows.infer without a configuration
+
+
 def _model(spark, sf):
     ents = tb.geo_entities(spark, sf)
     latent, kept = cn.prune(cn.latent_entities(ents), cut(_specs(spark, sf)))
@@ -403,8 +406,8 @@ def _model(spark, sf):
 
 
 def metropolis(spark, sf):
-    """Four chains over every customer, a few sweeps."""
-    return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=3, burn_in=1, thin=1, radius=300.0))
+    """Four chains over every customer, with the sweeps and burn-in that the flow has by default."""
+    return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=SWEEPS, burn_in=BURN_IN, thin=THIN, radius=300.0))
 
 
 def sample_energies(spark, sf):

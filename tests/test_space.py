@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraweave.functions import geo
 from terraweave.operators import constraints as cn, diagnostics as dg, entities as en, grounding, relations as rl, sampling as sm
+from terraweave.plans import flows, space_queries
 
 
 def value(spark, column):
@@ -260,3 +261,18 @@ def test_modes(spark):
     df = spark.createDataFrame(rows, "entity_id string, x double, y double")
     got = {r["entity_id"]: r["num_modes"] for r in dg.mode_count(df).collect()}
     assert got == {"few": 1, "two": 2}
+
+
+def test_registered_sampler_runs_as_long_as_the_flow(monkeypatch):
+    class Run:
+        cfg = {}
+        wanted = load = staticmethod(lambda name: name)
+
+    used = []
+    monkeypatch.setattr(space_queries, "_model", lambda spark, sf: ())
+    monkeypatch.setattr(space_queries.sm, "metropolis", lambda s: used.append(s))
+    monkeypatch.setattr(flows.sm, "infer", lambda method, constraints, latent, fixed, s: used.append(s) or 1 / 0)
+    space_queries.metropolis(None, None)
+    with pytest.raises(ZeroDivisionError):
+        flows.infer(Run)
+    assert [(s.sweeps, s.burn_in, s.thin, s.chains) for s in used] == [(200, 50, 5, 4)] * 2
