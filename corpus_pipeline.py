@@ -1,13 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 Quality rules drop rejected documents; line dedup takes boilerplate lines of a
-source out of the texts and drops nothing; of each group of near duplicates the
-document with the smallest id stays; documents with benchmark passages go; the
-rest is encoded to piece ids.
+source out of the texts and drops nothing; of each group of near duplicates one
+row stays, of the document with the smallest id (null ids last); documents with
+benchmark passages go; the rest is encoded to piece ids.
 
-Null ids and texts are kept as far as the stages' operators say; rows that repeat
-id and text of a kept document stay rows. Columns besides those of ``documents``
-are dropped.
+Null ids and texts are kept as far as the stages' operators say. Columns besides
+those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terraweave.llm import decontaminate, line_dedup, ngram_join, quality, sentence_pieces
 from terraweave.llm.common import new_folder, table
+from terraweave.session import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,10 +31,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("uid").distinct()
+    found = cut(ngram_join.near_duplicates(docs).select("comp", "uid", "doc_id"))  # a large component's join stays splittable
+    found = cut(found.groupBy("comp", "uid", "doc_id").agg(F.count(F.lit(1)).alias("rows")))
+    stays = found.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "uid"))["uid"].alias("stays"))
+    judged = cut(found.join(stays, "comp").select("uid", "rows", (F.col("uid") == F.col("stays")).alias("stays")))
     uid = ngram_join.document_uid(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.withColumn("uid", uid).join(gone, "uid", "left_anti").select(*COLUMNS)
+    left = docs.withColumn("uid", uid).join(judged.where("not stays").select("uid"), "uid", "left_anti")
+    repeated = judged.where("stays and rows > 1").select("uid")  # of these, one of the rows
+    once = left.join(repeated, "uid", "left_anti")
+    return once.unionByName(left.join(repeated, "uid", "left_semi").dropDuplicates(["uid"])).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,9 +123,10 @@ def _links(sets: DataFrame, percent: int, fragments: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS,
                     percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
-    """(doc_id, uid, n_shingles, component_id), a row per row of ``docs``.
+    """(doc_id, uid, n_shingles, component_id, comp), a row per row of ``docs``.
 
-    component_id is the smallest id that links of at least ``percent`` reach; ``uid`` is ``document_uid``.
+    component_id is the smallest id that links of at least ``percent`` reach; ``uid`` is ``document_uid``. ``comp``
+    tells components apart whatever the ids are: it is the uid of one of the component's documents.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("uid", document_uid(F.col("doc_id"), F.col("text")))
@@ -147,6 +148,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return (
         known.join(smallest, "comp", "left")
         .select("doc_id", "uid", F.col("n_keys").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"),
+                F.coalesce("comp", "uid").alias("comp"),
                 F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_row"))
         .drop("_row")
     )

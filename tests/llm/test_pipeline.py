@@ -92,6 +92,22 @@ def test_one_of_many_copies_comes_out_whole(spark, tmp_path):
     assert got == {i: t.removeprefix("menu of the site\n") for i, t in rows if i % 3 != 1 or i == 1}
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, 60) for _ in range(5)]
+    near = lambda t, k: f"{t} end{k}"
+    rows = [(None, texts[0]), (None, near(texts[0], 1)), (None, near(texts[0], 2)),  # null ids only
+            (5, texts[1]), (5, near(texts[1], 1)), (9, near(texts[1], 2)),  # the smallest id twice
+            (7, texts[2]), (7, texts[2]), (7, texts[2]),  # repeated rows, alone
+            (None, texts[3]), (3, near(texts[3], 1)), (3, near(texts[3], 1)), (4, texts[3]),
+            (6, texts[4]), (None, ""), (8, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 7 and {(7, texts[2]), (3, near(texts[3], 1)), (6, texts[4]), (None, ""), (8, "")} <= set(got)
+    assert sum(d is None and t.startswith(texts[0]) for d, t in got) == 1
+    assert sum(d == 5 and t.startswith(texts[1]) for d, t in got) == 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     rows, items = table()
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
