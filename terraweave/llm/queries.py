@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import decontaminate, html_extract, katz, line_dedup, ngram_join, quality, sentence_pieces, suffix_dedup, token_store, warc
+from terraweave.llm import (decontaminate, html_extract, katz, line_dedup, merkle, ngram_join, quality,
+                            sentence_pieces, suffix_dedup, token_store, warc)
 from terraweave.llm.common import new_folder, table
 from terraweave.llm.sql import SQL
 from terraweave.session import cut
@@ -86,7 +87,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = merkle.leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "lang", tampered,
+                         {"n_chars": F.try_add(F.col("n_chars"), F.lit(1))})
+    return merkle.prove(merkle.manifest(rows)).withColumnRenamed("key", "doc_id")
+
+
 OPERATORS = (op1_quality_rules, op2_token_store, op3_katz, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
-             op8_suffix_dedup, op9_html_extract, op10_decontaminate)
+             op8_suffix_dedup, op9_html_extract, op10_decontaminate, op11_merkle_manifest)
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
 __all__ = ["QUERIES", "SQL"]

