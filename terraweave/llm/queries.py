@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terraweave.llm import (decontaminate, html_extract, katz, line_dedup, merkle, ngram_join, quality,
+from terraweave.llm import (chat_format, decontaminate, hard_negatives, html_extract, katz, line_dedup, merkle, ngram_join, quality,
                             sentence_pieces, suffix_dedup, token_store, warc)
 from terraweave.llm.common import new_folder, table
 from terraweave.llm.sql import SQL
@@ -95,7 +95,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(merkle.manifest(rows)).withColumnRenamed("key", "doc_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), marks.alias("text"))
+    return chat_format.digests(cut(chat_format.format_turns(turns.unionByName(more))))
+
+
 OPERATORS = (op1_quality_rules, op2_token_store, op3_katz, op4_line_dedup, op5_ngram_join, op6_warc, op7_sentence_pieces,
-             op8_suffix_dedup, op9_html_extract, op10_decontaminate, op11_merkle_manifest)
+             op8_suffix_dedup, op9_html_extract, op10_decontaminate, op11_merkle_manifest,
+             op12_hard_negatives, op13_chat_format)
 QUERIES = {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
 __all__ = ["QUERIES", "SQL"]

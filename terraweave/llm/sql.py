@@ -88,4 +88,27 @@ SQL = {
             FROM g LEFT JOIN u s ON s.lvl = g.lvl AND s.i = xor(g.i, 1) WHERE g.n > 1)
       SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = o.h AS verified
       FROM g, (SELECT h FROM u WHERE n = 1) o WHERE g.n = 1""",
+    "op12_hard_negatives": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v,
+          CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+      p AS (SELECT anchor_id, id, score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id NULLS LAST) <= 5)
+      SELECT p.anchor_id, p.id AS positive_id,
+        row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id NULLS LAST)::INTEGER AS rank,
+        s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.score AND 90 * p.score
+      QUALIFY rank <= 10""",
+    "op13_chat_format": r"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+      t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+              replace(replace(replace(coalesce(role, ''), '\', '\\'), '<', '\l'), '>', '\g') AS role_out,
+              replace(replace(replace(coalesce(text, ''), '\', '\\'), '<turn', '\lturn'), '</turn', '\l/turn') AS text_out FROM c)
+      SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        sum(length('<turn >' || role_out || chr(10) || text_out || chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+      FROM t GROUP BY conv_id""",
 }
