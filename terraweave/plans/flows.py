@@ -221,7 +221,13 @@ def infer(r: Run) -> None:
     i = r.cfg.get("inference", {})
     s = sm.Settings(i.get("sweeps", i.get("num_samples", 200)), i.get("burn_in", 50), i.get("thin", 5), i.get("beta", 1.0), i.get("proposal_std_km", 10.0),
                     i.get("num_chains", 4), i.get("num_walkers", 32), i.get("random_seed", 42), i.get("init_bbox_radius_km", 500.0))
-    draws = sm.infer(i.get("method", "metropolis"), r.load("constraints"), r.load("latent"), r.load("fixed"), s)
+    model = r.load("constraints"), r.load("latent"), r.load("fixed")
+    if i.get("method", "metropolis") == "metropolis":
+        walk = sm.walk(*model, s)
+        draws = walk.draws
+        r.save("acceptance", walk.windows)
+    else:
+        draws = sm.infer(i["method"], *model, s)
     draws.write.mode("overwrite").partitionBy("chain_id").parquet(r.path("samples"))
 
 

@@ -410,6 +410,23 @@ def metropolis(spark, sf):
     return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=SWEEPS, burn_in=BURN_IN, thin=THIN, radius=300.0))
 
 
+def _first_sweep(spark, sf):
+    return sm.transition(*_model(spark, sf), sm.Settings(radius=300.0))
+
+
+def transition(spark, sf):
+    """Positions of every customer in every chain after one sweep from the starting positions."""
+    last = _first_sweep(spark, sf).last
+    return last.select("entity_id", (F.col("moved") > 0).alias("moves"), F.posexplode(F.arrays_zip("x", "y")).alias("chain_id", "p")).select(
+        "entity_id", "moves", "chain_id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+def acceptance(spark, sf):
+    """Proposals and acceptance of each chain in that sweep."""
+    w = _first_sweep(spark, sf).windows
+    return w.select("chain_id", "round", "first_sweep", "sweeps", "tried", "won", r4("rate").alias("rate"), "proposal_std")
+
+
 def sample_energies(spark, sf):
     """Energy of every draw under the constraints of the parts."""
     d = tb.draws(spark, sf)
@@ -526,6 +543,8 @@ QUERIES = {
     "j12_posterior_summary": posterior_summary,
     "i07_sample_energies": sample_energies,
     "i03_metropolis": metropolis,
+    "i03_transition": transition,
+    "a24_acceptance_windows": acceptance,
     "a10_score_strict": _score("strict"),
     "a10_score_lenient": _score("lenient"),
     "a11_score_per_type": score_per_type,

@@ -112,6 +112,57 @@ placed AS (SELECT s.*, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM spec s JO
   JOIN pos b ON b.entity_id = s.e2 WHERE type IN ({lst(INFERABLE)})),
 en AS (SELECT constraint_id, type, weight, {penalty(True)} AS pen FROM placed)"""
 
+
+
+def uniform(text: str, nth: int = 0) -> str:
+    """(0, 1) from 40 bits of the MD5 digest of a text."""
+    return f"((('0x' || substr(md5({text}), {1 + 10 * nth}, 10))::BIGINT + 0.5::DOUBLE) / 1099511627776.0::DOUBLE)"
+
+
+def normal(text: str) -> str:
+    return f"(sqrt(-2.0::DOUBLE * ln({uniform(text)})) * cos(2.0::DOUBLE * pi() * {uniform(text, 1)}))"
+
+
+_params = ", ".join(PARAMS)
+# sweep(entity_id, chain_id, moves, x, y, won): one sweep of every latent entity from its starting position
+SWEEP = f"""{SPEC},
+few AS (SELECT l.entity_id FROM latent l LEFT JOIN (
+    SELECT e1 AS e FROM spec WHERE type IN ({lst(INFERABLE)}) UNION ALL
+    SELECT e2 FROM spec WHERE type IN ({lst(INFERABLE)}) AND e2 IS NOT NULL) e ON e.e = l.entity_id GROUP BY 1 HAVING count(e.e) < 1),
+ids AS (SELECT entity_id FROM latent WHERE entity_id NOT IN (SELECT entity_id FROM few)),
+fixed AS (SELECT entity_id, round(x_km, 4) AS x, round(y_km, 4) AS y FROM km WHERE type = 'real' AND latitude IS NOT NULL),
+ends AS (SELECT entity_id, NULL::DOUBLE AS x, NULL::DOUBLE AS y, true AS free FROM ids UNION ALL SELECT entity_id, x, y, false FROM fixed),
+term AS (SELECT s.*, a.free AS f1, b.free AS f2, a.x AS fx1, a.y AS fy1, b.x AS fx2, b.y AS fy2 FROM (
+    SELECT type, e1, e2, {_params}, sum(weight) AS weight FROM spec WHERE type IN ({lst(INFERABLE)})
+      AND (e2 IS NOT NULL OR (type = 'in_region' AND (centroid_x_km IS NOT NULL OR centroid_y_km IS NOT NULL)))
+      AND e1 NOT IN (SELECT entity_id FROM few) AND (e2 IS NULL OR e2 NOT IN (SELECT entity_id FROM few)) GROUP BY ALL) s
+  JOIN ends a ON a.entity_id = s.e1 LEFT JOIN ends b ON b.entity_id = s.e2
+  WHERE (a.free OR coalesce(b.free, false)) AND (s.e2 IS NULL OR b.entity_id IS NOT NULL)),
+link AS (SELECT DISTINCT unnest([e1, e2]) AS a, unnest([e2, e1]) AS b FROM term WHERE f1 AND f2 AND e1 <> e2),
+turn AS (SELECT entity_id, -ln({uniform("concat_ws(':', 42, 'turn', 0, entity_id)")}) AS h FROM ids),
+rest AS (SELECT DISTINCT a AS entity_id FROM link JOIN turn s ON s.entity_id = a JOIN turn t ON t.entity_id = b WHERE (t.h, b) < (s.h, a)),
+box AS (SELECT min(x) FILTER (WHERE near) - 30 AS x0, max(x) FILTER (WHERE near) + 30 AS x1, min(y) FILTER (WHERE near) - 30 AS y0,
+    max(y) FILTER (WHERE near) + 30 AS y1 FROM (SELECT *, sqrt(x * x + y * y) <= 300 AS near FROM fixed)),
+at0 AS (SELECT entity_id, c AS chain_id, entity_id NOT IN (SELECT entity_id FROM rest) AS moves,
+    x0 + (x1 - x0) * {uniform("concat_ws(':', 42, 'start', 'x', entity_id)")} + 10.0 * {normal("concat_ws(':', 42, 'jitter', 'x', c, entity_id)")} AS x,
+    y0 + (y1 - y0) * {uniform("concat_ws(':', 42, 'start', 'y', entity_id)")} + 10.0 * {normal("concat_ws(':', 42, 'jitter', 'y', c, entity_id)")} AS y,
+    concat_ws(':', 42, 'step', 1, c, entity_id) AS luck FROM ids, box, range(4) r(c)),
+at1 AS (SELECT *, 10.0 * sqrt(-2.0::DOUBLE * ln({uniform("luck")})) AS reach, 2.0::DOUBLE * pi() * {uniform("luck", 1)} AS angle FROM at0),
+at2 AS (SELECT *, CASE WHEN moves THEN x + reach * cos(angle) ELSE x END AS nx, CASE WHEN moves THEN y + reach * sin(angle) ELSE y END AS ny FROM at1),
+met AS (SELECT t.*, c.chain_id, CASE WHEN a.moves THEN e1 WHEN b.moves THEN e2 END AS mover,
+    coalesce(a.x, fx1) AS ox1, coalesce(a.y, fy1) AS oy1, coalesce(b.x, fx2, 0.0) AS ox2, coalesce(b.y, fy2, 0.0) AS oy2,
+    coalesce(a.nx, fx1) AS nx1, coalesce(a.ny, fy1) AS ny1, coalesce(b.nx, fx2, 0.0) AS nx2, coalesce(b.ny, fy2, 0.0) AS ny2
+  FROM term t CROSS JOIN (SELECT range AS chain_id FROM range(4)) c
+  LEFT JOIN at2 a ON a.entity_id = t.e1 AND a.chain_id = c.chain_id LEFT JOIN at2 b ON b.entity_id = t.e2 AND b.chain_id = c.chain_id),
+was AS (SELECT mover, chain_id, sum(weight * {penalty(True)}) AS e FROM (SELECT *, ox1 AS x1, oy1 AS y1, ox2 AS x2, oy2 AS y2 FROM met
+  WHERE mover IS NOT NULL) GROUP BY ALL),
+will AS (SELECT mover, chain_id, sum(weight * {penalty(True)}) AS e FROM (SELECT *, nx1 AS x1, ny1 AS y1, nx2 AS x2, ny2 AS y2 FROM met
+  WHERE mover IS NOT NULL) GROUP BY ALL),
+gain AS (SELECT was.mover, was.chain_id, will.e - was.e AS d FROM was JOIN will ON was.mover = will.mover AND was.chain_id = will.chain_id),
+judged AS (SELECT at2.*, moves AND (coalesce(d, 0) < 0 OR {uniform("luck", 2)} < exp(-greatest(coalesce(d, 0), 0))) AS won
+  FROM at2 LEFT JOIN gain ON mover = entity_id AND gain.chain_id = at2.chain_id),
+sweep AS (SELECT entity_id, chain_id, moves, won, CASE WHEN won THEN nx ELSE x END AS x, CASE WHEN won THEN ny ELSE y END AS y FROM judged)"""
+
 REAL = "real AS (SELECT * FROM ent WHERE type = 'real' AND latitude IS NOT NULL AND mention_count >= 2)"
 _edge_text = "a_name || ' → ' || b_name || ': ' || round(km, 0)::BIGINT || ' km'"
 GEO = f"""{ENT}, {REL}, {REAL},
@@ -450,6 +501,10 @@ SQL = {
       UNION ALL SELECT 'constraint', constraint_id FROM spec WHERE e1 NOT IN (SELECT entity_id FROM weak)
         AND (e2 IS NULL OR e2 NOT IN (SELECT entity_id FROM weak))""",
     "a22_underconstrained": f"WITH {SPEC} SELECT * FROM weak",
+    "i03_transition": f"WITH {SWEEP} SELECT entity_id, moves, chain_id::INTEGER AS chain_id, round(x, 3) AS x, round(y, 3) AS y FROM sweep",
+    "a24_acceptance_windows": f"""WITH {SWEEP} SELECT chain_id::INTEGER AS chain_id, 0::INTEGER AS round, 1::INTEGER AS first_sweep, 1::INTEGER AS sweeps,
+      count(*) FILTER (WHERE moves) AS tried, count(*) FILTER (WHERE won) AS won,
+      round(count(*) FILTER (WHERE won) / count(*) FILTER (WHERE moves)::DOUBLE, 4) AS rate, 10.0::DOUBLE AS proposal_std FROM sweep GROUP BY 1""",
     "g05_penalties": f"WITH {ENERGY} SELECT constraint_id, type, floor(pen * 10000 + 0.5) / 10000 AS penalty, floor(weight * pen * 10000 + 0.5) / 10000 AS energy FROM en",
     "a23_total_energy": f"WITH {ENERGY} SELECT type, count(*) AS n, round(sum(weight * pen), 2) AS energy FROM en GROUP BY 1",
     "v01_constraint_graph": f"""WITH {SPEC}, o AS (SELECT *, row_number() OVER (PARTITION BY least(e1, e2), greatest(e1, e2) ORDER BY n DESC) AS rn

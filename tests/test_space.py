@@ -77,6 +77,117 @@ def test_metropolis_settles_where_the_constraints_hold(spark):
     assert sorted(again) == sorted(sm.metropolis(cons, latent, fixed, sm.Settings(sweeps=2, burn_in=0, thin=1)).collect())
 
 
+def gaussian(spark, n):
+    """Pairs b - c with b drawn to the fixed a and c to b: Gaussian, with known variances."""
+    _, _, fixed, row, cols = toy(spark)
+    latent = spark.createDataFrame([(f"{e}{i}", "n") for i in range(n) for e in "bc"], "entity_id string, name string")
+    rows = [row(2 * i, "near", f"b{i}", "a", 0.02, d_near_km=0.0) for i in range(n)]
+    rows += [row(2 * i + 1, "near", f"c{i}", f"b{i}", 0.02, d_near_km=0.0) for i in range(n)]
+    return spark.createDataFrame(rows, cols), latent, fixed
+
+
+def test_walk_has_the_moments_of_a_known_density(spark):
+    """weight 0.02 on squared distances: variance 25 of b, 50 of c and covariance 25 on each axis."""
+    s = sm.Settings(sweeps=96, burn_in=96, thin=8, inner=8, proposal_std=8.0, chains=16)
+    d = sm.walk(*gaussian(spark, 40), s).draws
+    b, c = (d.where(F.col("entity_id").startswith(e)).select(
+        "sample_id", F.substring("entity_id", 2, 9).alias("i"), F.col("x").alias(f"x{e}"), F.col("y").alias(f"y{e}")) for e in "bc")
+    m = b.join(c, ["sample_id", "i"]).agg(*[F.var_pop(v).alias(v) for v in ("xb", "yb", "xc", "yc")], F.covar_pop("xb", "xc").alias("cov"),
+                                          F.avg("xb").alias("mb"), F.avg("yc").alias("mc")).first()
+    assert m["xb"] == pytest.approx(25, rel=0.12) and m["yb"] == pytest.approx(25, rel=0.12)
+    assert m["xc"] == pytest.approx(50, rel=0.15) and m["yc"] == pytest.approx(50, rel=0.15)
+    assert m["cov"] == pytest.approx(25, rel=0.2) and abs(m["mb"]) < 0.5 and abs(m["mc"]) < 0.8
+
+
+ALL_KINDS = [("north_of", {}), ("south_of", {}), ("east_of", {"epsilon_km": 2.0}), ("west_of", {}), ("near", {}), ("near", {"d_near_km": 3.0}),
+             ("far", {}), ("far", {"d_far_km": 80.0}), ("distance_approx", {"target_d_km": 30.0}), ("across", {}), ("co_occurrence", {}),
+             ("in_region", {"centroid_x_km": 5.0}), ("in_region", {})]
+
+
+def plain_walk(cons, latent, fixed, s, heavy, kept):
+    """The rounds of a walk in plain Python: linked entities never move together."""
+    import hashlib
+
+    def u(text, n=0):
+        return (int(hashlib.md5(text.encode()).hexdigest()[10 * n:10 * n + 10], 16) + 0.5) / 2 ** 40
+
+    def normal(text):
+        return math.sqrt(-2 * math.log(u(text))) * math.cos(2 * math.pi * u(text, 1))
+
+    near = {e for e, (x, y) in fixed.items() if math.hypot(x, y) <= s.radius}
+    xs, ys = ([fixed[e][k] for e in near] for k in (0, 1))
+    lo = (min(xs) - 30, min(ys) - 30)
+    hi = (max(xs) + 30, max(ys) + 30)
+    at = {(c, e): [lo[k] + (hi[k] - lo[k]) * u(f"{s.seed}:start:{v}:{e}") + s.proposal_std * normal(f"{s.seed}:jitter:{v}:{c}:{e}")
+                   for k, v in enumerate("xy")] for c in range(s.chains) for e in latent}
+    links = {(a, b) for _, a, b, _, _ in cons for a, b in ((a, b), (b, a)) if a in latent and b in latent and a != b}
+    degree = {e: max(1, sum(a == e for a, _ in links)) for e in latent}
+
+    def pen(kind, p1, p2, p):
+        (x1, y1), (x2, y2) = p1, p2
+        h, eps, d = lambda v: max(0.0, v) ** 2, p.get("epsilon_km", 1.0), math.hypot(x1 - x2, y1 - y2)
+        return {"north_of": h(y2 + eps - y1), "south_of": h(y1 - y2 + eps), "east_of": h(x2 + eps - x1), "west_of": h(x1 - x2 + eps),
+                "near": h(d - p.get("d_near_km", 10.0)), "co_occurrence": h(d - p.get("d_near_km", 10.0)), "far": h(p.get("d_far_km", 50.0) - d),
+                "distance_approx": (d - p.get("target_d_km", 10.0)) ** 2 / 50, "across": h(d - p.get("d_near_km", 15.0)) + 0.3 * h(x2 + eps - x1),
+                "in_region": h(math.hypot(x1 - p.get("centroid_x_km", x2), y1 - p.get("centroid_y_km", y2)) - 20)}[kind]
+
+    def energy(e, c, spot):
+        place = lambda o: spot if o == e else fixed[o] if o in fixed else at[c, o] if o else (0.0, 0.0)
+        return sum(w * pen(kind, place(a), place(b), p) for kind, a, b, w, p in cons if e in (a, b))
+
+    def step(e, c, text):
+        r, t = s.proposal_std * math.sqrt(-2 * math.log(u(text))), 2 * math.pi * u(text, 1)
+        new = [at[c, e][0] + r * math.cos(t), at[c, e][1] + r * math.sin(t)]
+        d = energy(e, c, new) - energy(e, c, at[c, e])
+        if d < 0 or u(text, 2) < math.exp(-s.beta * max(d, 0)):
+            at[c, e] = new
+
+    draws, done, number = {}, 0, 0
+    while done < s.sweeps + s.burn_in:
+        key = {e: (-math.log(u(f"{s.seed}:turn:{number}:{e}")) / (degree[e] ** 2 if number % 2 else 1), e) for e in latent}
+        goes = [e for e in latent if e not in heavy and all(key[e] < key[b] for a, b in links if a == e and b not in heavy)]
+        k = min(s.inner, s.sweeps + s.burn_in - done)
+        for sweep in range(done + 1, done + k + 1):
+            for e in goes:
+                for c in range(s.chains):
+                    step(e, c, f"{s.seed}:step:{sweep}:{c}:{e}")
+            if sweep > s.burn_in and (sweep - s.burn_in) % s.thin == 0:
+                draws.update({(c, kept.setdefault(sweep, len(kept)), e): list(at[c, e]) for c, e in at})
+        done += k
+        for e in heavy:
+            if all((u(f"{s.seed}:turn:{number}:{e}"), e) < (u(f"{s.seed}:turn:{number}:{b}"), b) for a, b in links if a == e and b in heavy):
+                for c in range(s.chains):
+                    step(e, c, f"{s.seed}:step:heavy {done}:{c}:{e}")
+        number += 1
+    return draws
+
+
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_walk_equals_plain_rounds(spark, most):
+    """All kinds of terms, three rounds; with most = 7 a hub moves in jobs of its own."""
+    _, _, _, row, cols = toy(spark)
+    rng = random.Random(most)
+    latent = [f"n{i}" for i in range(12)]
+    fixed = {"a": (0.0, 0.0), "b": (30.0, -20.0), "z": (900.0, 0.0)}
+    ends = [("n0", f"n{i}") for i in range(1, 8)] + [tuple(rng.sample(latent, 2)) for _ in range(6)]
+    ends += [(rng.choice(latent), rng.choice(["a", "b", "z"])) for _ in range(14)] + [("a", "n3"), ("b", "n0")]
+    cons = [(*rng.choice(ALL_KINDS), a, b, rng.choice([0.01, 0.1])) for a, b in ends] + [("in_region", {"centroid_y_km": 1.0}, "n5", None, 0.05)]
+    cons = [(kind, a, b, w, p) for kind, p, a, b, w in cons]
+    counts = {e: len({(k, a, b, tuple(p.items())) for k, a, b, w, p in cons if e in (a, b)}) for e in latent}
+    heavy = [e for e in latent if counts[e] > most]
+    assert bool(heavy) == (most == 7)
+    s = sm.Settings(sweeps=12, burn_in=3, thin=2, inner=5, chains=3, radius=300.0, alone=True, most_terms=most, block_terms=20)
+    frame = spark.createDataFrame([row(i, k, a, b, w, **p) for i, (k, a, b, w, p) in enumerate(cons)], cols)
+    points = spark.createDataFrame([(e, e, x, y) for e, (x, y) in fixed.items()], "entity_id string, name string, x double, y double")
+    people = spark.createDataFrame([(e, e) for e in latent], "entity_id string, name string")
+    kept: dict = {}
+    want = plain_walk(cons, latent, fixed, s, heavy, kept)
+    got = {(r["chain_id"], r["sample_id"] // 3, r["entity_id"]): (r["x"], r["y"]) for r in sm.walk(frame, people, points, s).draws.collect()}
+    assert got.keys() == want.keys() and len(kept) == 6
+    for k, spot in want.items():
+        assert got[k] == pytest.approx(spot, abs=2e-4)
+
+
 def test_movers_never_share_a_term(spark):
     ids = [f"n{i}" for i in range(30)]
     latent = spark.createDataFrame([(i,) for i in ids], "entity_id string")
@@ -271,7 +382,7 @@ def test_registered_sampler_runs_as_long_as_the_flow(monkeypatch):
     used = []
     monkeypatch.setattr(space_queries, "_model", lambda spark, sf: ())
     monkeypatch.setattr(space_queries.sm, "metropolis", lambda s: used.append(s))
-    monkeypatch.setattr(flows.sm, "infer", lambda method, constraints, latent, fixed, s: used.append(s) or 1 / 0)
+    monkeypatch.setattr(flows.sm, "walk", lambda constraints, latent, fixed, s: used.append(s) or 1 / 0)
     space_queries.metropolis(None, None)
     with pytest.raises(ZeroDivisionError):
         flows.infer(Run)
