@@ -8,6 +8,7 @@ draws is summed map-side like any other.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -266,23 +267,26 @@ def satisfaction(scores: DataFrame) -> DataFrame:
 # -- modes ------------------------------------------------------------------
 
 SETTLED = 1e-9   # a centre that moves less has only been summed in another order
+STEPS = 6        # of a job
 
 def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 5) -> DataFrame:
     """Number of modes per entity: k-means for k = 1..max_k, least ``sse/n + 2k ln(n)/n``.
 
     All entities, all k and all starts move together: a round is one join of the
     draws with the centres of their entity (at most ``starts * max_k*(max_k+1)/2``
-    of them) and one partially aggregated group-by. Starting centres are draws
-    picked by a seeded hash. Rounds end when no centre moves.
+    of them) and one partially aggregated group-by. Starting centres are the draws
+    with the least MD5 digest of a number, their chain and their sample. Rounds end
+    when no centre moves.
     """
     points = draws.select("entity_id", "x", "y")
-    h = lambda s: F.xxhash64(F.lit(s), "x", "y")
+    named = [c for c in ("chain_id", "sample_id") if c in draws.columns] or ["x", "y"]
+    h = lambda s: F.struct(F.md5(F.concat_ws(":", F.lit(str(s)), *[F.col(c).cast("string") for c in named])), "x", "y")
     picks = []
     for s in range(starts):
         for k in range(1, max_k + 1):
             for c in range(k):
                 picks.append(F.min_by(F.struct("x", "y"), h(s * 100 + c)).alias(f"p{s}_{k}_{c}"))
-    seeds = points.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), *picks)
+    seeds = draws.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), *picks)
     run = lambda s, k: F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"), F.array(
         *[F.col(f"p{s}_{k}_{c}") for c in range(k)]).alias("cs"))
     centres = seeds.select("entity_id", F.inline(F.array(
@@ -291,22 +295,28 @@ def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 5) -> DataFrame:
     def nearest(rows):
         d2 = lambda p: (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y"))
         best = F.array_min(F.transform("cs", lambda p, i: F.struct(d2(p).alias("d"), i.alias("c"))))
-        return rows.select("entity_id", "s", "k", "x", "y", best.alias("b"))
+        return rows.select("entity_id", "s", "k", "x", "y", "cs", best.alias("b"))
 
     pts = cut(points)
-    centres = cut(centres)
-    while True:
-        moved = nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k", F.col("b.c").alias("c")).agg(
-            F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("p"))
-        # at most max_k points
-        after = cut(moved.groupBy("entity_id", "s", "k").agg(F.sort_array(F.collect_list("p")).alias("cs")))
+    run = ["entity_id", "s", "k"]
+
+    def step(at):
+        moved = nearest(pts.join(at, "entity_id")).groupBy(*run, F.col("b.c").alias("c")).agg(
+            F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("p"), F.first("cs").alias("old"))
+        return moved.groupBy(*run).agg(  # at most max_k points
+            F.sort_array(F.collect_list("p")).alias("cs"), F.sort_array(F.first("old")).alias("_old"))
+
+    settled, going = [], cut(centres)
+    while not going.isEmpty():  # runs that have settled leave; a job makes several steps of the others
+        ahead = going
+        for _ in range(STEPS):
+            ahead = step(ahead.select(*run, "cs"))
         far = F.exists(F.zip_with("cs", "_old", lambda p, q: F.greatest(
             F.abs(p["x"] - q["x"]), F.abs(p["y"] - q["y"]))), lambda d: F.coalesce(d > SETTLED, F.lit(True)))
-        before = centres.select("entity_id", "s", "k", F.sort_array("cs").alias("_old"))
-        going = not after.join(before, ["entity_id", "s", "k"]).where(far).isEmpty()
-        centres = after
-        if not going:
-            break
+        after = cut(ahead.select(*run, "cs", far.alias("far")))
+        settled.append(after.where("not far").drop("far"))
+        going = after.where("far").drop("far")
+    centres = reduce(DataFrame.unionByName, settled) if settled else going
     sse = nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k").agg(
         F.sum("b.d").alias("sse"), F.count(F.lit(1)).alias("n"))
     best = sse.groupBy("entity_id", "k").agg(F.min("sse").alias("sse"), F.first("n").alias("n"))
