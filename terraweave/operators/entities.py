@@ -12,6 +12,7 @@ from ..functions.arrays import elements
 from ..functions.names import FICTIONAL, entity_class
 from ..functions.text import canonical, fold, occurrences, snippet
 from ..session import cut
+from .dictionary import first_around, first_inside
 from .ordering import with_global_position
 
 
@@ -96,43 +97,23 @@ def lookup_keys(entities: DataFrame, order: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("canonical", "o").alias("canonical"), F.min("o").alias("ord"))
 
 
-def _substrings(c: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``c`` that have one of the given lengths."""
-    n = F.length(c)
-    fitting = F.filter(lengths, lambda k: k <= n)
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda k: F.transform(
-        F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, k)))))
-
-
-def _lengths(rows: DataFrame) -> Column:
-    """The distinct key lengths of a table: at most as many as its longest name has characters."""
-    return F.coalesce(rows.select(F.length("key").alias("n")).agg(F.collect_set("n")).scalar(), F.array().cast("array<int>"))
-
-
 def resolve(names: DataFrame, keys: DataFrame) -> DataFrame:
     """name -> canonical: exact key, else the first key that contains the name or
     is contained in it.
 
-    ``contains`` in a join condition would compare every name with every key.
-    Instead each side is expanded to those of its substrings that have the
-    length of some name on the other side, and joined by equality: names are
-    short, so the expansion is bounded per row and the join is hash-partitioned.
+    ``contains`` in a join condition would compare every name with every key;
+    automata over blocks of keys read each name once instead (``dictionary``).
     Names are made distinct first, so a frequent name is resolved once.
     """
-    # written once: exact hits, open names, their lengths and substrings all read them
+    # written once: exact hits and open names read them
     todo = cut(names.select("name").where(F.col("name") != "").distinct().withColumn("key", fold("name")))
     keys = cut(keys)
     exact = todo.join(keys.select("key", "canonical"), "key").select("name", "canonical")
-    open_ = todo.join(keys.select("key"), "key", "left_anti")
-    keys_, open_ = keys.withColumn("_n", _lengths(open_)), open_.withColumn("_n", _lengths(keys))
-    inside = open_.select("name", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).join(
-        keys, "key").select("name", "canonical", "ord")
-    # a short name fits many keys: the first key of each substring is found before the names come in
-    fitting = keys_.select("canonical", "ord", F.explode(elements(_substrings(F.col("key"), F.col("_n")))).alias("key")).groupBy(
-        "key").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
-    around = fitting.join(open_, "key").select("name", "canonical", "ord")
-    loose = inside.unionByName(around).groupBy("name").agg(F.min_by("canonical", "ord").alias("canonical"))
-    return exact.unionByName(loose)
+    open_ = cut(todo.join(keys.select("key"), "key", "left_anti"))
+    texts = cut(open_.select(F.col("key").alias("text")).distinct())
+    found = first_inside(texts, keys).unionByName(first_around(texts, keys)).groupBy("text").agg(
+        F.min_by("canonical", "ord").alias("canonical"))
+    return exact.unionByName(open_.join(found, open_["key"] == found["text"]).select("name", "canonical"))
 
 
 def match_mentions(mentions: DataFrame, entities: DataFrame, order: str) -> DataFrame:
@@ -142,17 +123,18 @@ def match_mentions(mentions: DataFrame, entities: DataFrame, order: str) -> Data
                            F.col(order).alias("o")).groupBy("key").agg(
         F.max_by("canonical", "o").alias("canonical"), F.min("o").alias("ord"))
     from ..functions.text import strip
+    keys = cut(keys)
     todo = mentions.select("mention").distinct().withColumn("low", F.lower(strip("mention")))
     short = F.regexp_replace("low", "^(?:the|a|an) ", "")
     tries = F.array(F.struct(F.lit(0).alias("level"), F.col("low").alias("key")),
                     F.struct(F.lit(1).alias("level"), short.alias("key")))
     direct = todo.select("mention", F.inline(tries)).join(keys, "key").select(
-        "mention", "canonical", F.struct("level", F.lit(None).cast(keys.schema["ord"].dataType).alias("ord")).alias("rank"))
-    long_keys = keys.where(F.length("key") >= 4)
-    inside = todo.withColumn("_n", _lengths(long_keys)).select("mention", F.explode(elements(_substrings(
-        F.col("low"), F.col("_n")))).alias("key")).join(long_keys, "key").select(
-        "mention", "canonical", F.struct(F.lit(2).alias("level"), "ord").alias("rank"))
-    return direct.unionByName(inside).groupBy("mention").agg(F.min_by("canonical", "rank").alias("canonical"))
+        "mention", "canonical", "level")
+    direct = cut(direct.groupBy("mention").agg(F.min_by("canonical", "level").alias("canonical")))
+    rest = cut(todo.join(direct, "mention", "left_anti"))
+    texts = rest.select(F.col("low").alias("text")).where(F.col("text").isNotNull()).distinct()
+    inside = first_inside(texts, keys.where(F.length("key") >= 4))
+    return direct.unionByName(rest.join(inside, rest["low"] == inside["text"]).select("mention", "canonical"))
 
 
 def propagate_coref(clusters: DataFrame, entities: DataFrame, existing: DataFrame, order: str) -> DataFrame:
