@@ -21,7 +21,7 @@ Rows that repeat id and text are documents of their own, with equal results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,17 +169,21 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
             yield tuple(map(np.concatenate, zip(*out)))
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        owners, sums = np.zeros(0, np.int64), np.zeros((TOP + 7, 0))
         for tokens in ranges(held):
-            yield from solve_range(*tokens, sums)
-        owners, doc = np.unique(np.concatenate([o for o, _ in sums]), return_inverse=True)
-        parts = np.concatenate([v for _, v in sums], axis=1)
-        *hist, x, y, z, n, m, ends = (np.bincount(doc, weights=v, minlength=len(owners)) for v in parts)
+            own, values = yield from solve_range(*tokens)
+            every = np.union1d(owners, own)
+            folded = np.zeros((len(sums), len(every)))
+            folded[:, np.searchsorted(every, owners)] = sums
+            folded[:, np.searchsorted(every, own)] += values
+            owners, sums = every, folded
+        *hist, x, y, z, n, m, ends = sums
         whole = lambda values: np.rint(values).astype(np.int64)
         yield rows_of(DOC, a=owners, hist=[whole(h) for h in hist], x=x, y=y, z=z, n=whole(n), m=whole(m), b=whole(ends))
 
-    def solve_range(word: np.ndarray, history: np.ndarray, uid: np.ndarray, train: np.ndarray,
-                    sums: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def solve_range(word: np.ndarray, history: np.ndarray, uid: np.ndarray, train: np.ndarray) -> Generator[
+            pa.RecordBatch, None, tuple[np.ndarray, np.ndarray]]:
+        """Rows of a range of words; returns the sums of the documents that have some of them."""
         order = np.lexsort((history, word))
         word, history, uid, train = word[order], history[order], uid[order], train[order]
         new_word = np.concatenate([[True], word[1:] != word[:-1]])
@@ -198,7 +202,7 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
         values = [*(c2 == r for r in range(1, TOP + 2)),
                   np.where(c2 > TOP, np.log10(np.maximum(c2, 1)), 0) + np.where(seen, 0, np.log10(p1)),
                   np.where(ends, 0, np.log10(c1 + 1)), np.log10(c1 + 1), np.ones(len(doc)), c1 > 0, ends]
-        sums.append((owners, np.array([np.bincount(doc, weights=v, minlength=len(owners)) for v in values])))
+        summed = np.array([np.bincount(doc, weights=v, minlength=len(owners)) for v in values])
         kept = new_pair & seen
         names, who = np.unique(history[kept], return_inverse=True)
         c, p = c2[kept], p1[kept]
@@ -208,6 +212,7 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
         yield rows_of(PAIR, a=word[kept].view(np.int64), b=history[kept].astype(np.int64), n=c)
         lost = np.flatnonzero(started & ~seen)
         yield rows_of(UNSEEN, a=uid[lost], b=history[lost].astype(np.int64))
+        return owners, summed
 
     names = ["kind", "a", "b", *(f"h{r}" for r in range(1, TOP + 2)), "x", "y", "z", "n", "m"]
 

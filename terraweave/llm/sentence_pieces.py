@@ -30,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from terraweave.llm.store import column_values
+from terraweave.llm.unit_cache import UnitCache
 
 SPACE = "▁"  # fixed value: the visible space of the format
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the format
 UNKNOWN_PENALTY = 10.0  # fixed value of the format
-CACHE_WORDS = 800_000
+CACHE_BYTES = 48 << 20  # of the words that a worker keeps
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BATCH_CELLS = 1 << 20  # characters that advance together
 
@@ -226,18 +227,14 @@ def model(path: str) -> Model:
 class Encoder:
     """Whole texts to little-endian id bytes, words remembered."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        self.model, self.cache, self.cache_words = model(path), {}, cache_words
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
+        self.model, self.cache = model(path), UnitCache(cache_bytes, "<i4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         rows = [self.model.words.findall(self.model.prepared(t)) for t in texts]
-        needed = set().union(*rows)
-        if len(self.cache) + len(needed) > self.cache_words:
-            self.cache = {}
-        new = [w for w in needed if w not in self.cache]
-        self.cache.update(zip(new, [x.astype("<i4").tobytes() for x in self.model.segment(new)]))
-        cache = self.cache
-        return [b"".join([cache[w] for w in row]) for row in rows]
+        ids, sizes = self.cache.encode([w for row in rows for w in row], self.model.segment)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, rows)])]
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=4)

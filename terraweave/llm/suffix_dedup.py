@@ -40,6 +40,7 @@ LENGTH = 50
 PIECE = 24  # bytes of an anchor
 CHUNK = 1 << 20
 BLOCK = 1 << 14  # rows of a shard that are compared at once
+RANGE = 1 << 16  # surroundings and occurrences of a shard that are worked on at once
 LAST = np.int64(2 ** 63 - 1)
 NONE = np.uint64(2 ** 64 - 1)
 
@@ -196,8 +197,27 @@ def _trimmed_first_documents(groups: np.ndarray, texts: np.ndarray, sizes: np.nd
     return out
 
 
+def _ranges(held: list[tuple[np.ndarray, ...]]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The rows of a shard in ranges of anchors with about ``RANGE`` surroundings and occurrences each.
+
+    Keys and entries of a part ascend. An anchor is never split.
+    """
+    every = np.sort(np.concatenate([k for part in held for k in (part[0], part[0][part[4]])]))
+    starts = np.unique(every[np.arange(0, len(every), RANGE)])
+    for k, low in enumerate(starts):
+        out = []
+        for keys, sizes, lefts, matrix, entries, uids, ranks, places in held:
+            i = int(np.searchsorted(keys, low))
+            j = int(np.searchsorted(keys, starts[k + 1])) if k + 1 < len(starts) else len(keys)
+            if i < j:
+                e, o = slice(i, j), slice(*np.searchsorted(entries, [i, j]))
+                out.append((keys[e], sizes[e], lefts[e], matrix[e], entries[o] - i, uids[o], ranks[o], places[o]))
+        if out:
+            yield out
+
+
 def _solve(held: list[tuple[np.ndarray, ...]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(uids, starts, ends) of what documents lose in one shard."""
+    """(uids, starts, ends) of what documents lose by the anchors of one range."""
     key, size, left, texts, entry, uid, rank, lo = [], [], [], [], [], [], [], []
     base = 0
     for keys, sizes, lefts, matrix, entries, uids, ranks, places in held:
@@ -280,21 +300,22 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
                 ["frag", "keys", "sizes", "lefts", "texts", "entries", "uids", "ranks", "places"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> pa.RecordBatch:
-            uid, start, end = _solve(held, length)
-            order = np.argsort(uid, kind="stable")
-            uid, pairs = uid[order], np.stack([start[order], end[order]], axis=1).astype("<i8")
-            cuts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else uid
-            stops = [*cuts[1:].tolist(), len(uid)]
-            return pa.RecordBatch.from_arrays([
-                pa.array(uid[cuts], pa.int64()),
-                pa.array([pairs[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), stops)], pa.binary())], ["uid", "spans"])
+        def close() -> Iterator[pa.RecordBatch]:
+            for part in _ranges(held):
+                uid, start, end = _solve(part, length)
+                order = np.argsort(uid, kind="stable")
+                uid, pairs = uid[order], np.stack([start[order], end[order]], axis=1).astype("<i8")
+                cuts = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]])) if len(uid) else uid
+                stops = [*cuts[1:].tolist(), len(uid)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uid[cuts], pa.int64()),
+                    pa.array([pairs[lo:hi].tobytes() for lo, hi in zip(cuts.tolist(), stops)], pa.binary())], ["uid", "spans"])
 
         held, current = [], None
         for batch in batches:
             for f, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if f != current and held:
-                    yield close()
+                    yield from close()
                     held = []
                 current = f
                 kinds = ("<u8", "<i4", "<i4", np.uint8, "<i4", "<i8", "<i8", "<i8")
@@ -302,7 +323,7 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
                 arrays[3] = arrays[3].reshape(-1, wide)
                 held.append(tuple(arrays))
         if held:
-            yield close()
+            yield from close()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (

@@ -20,7 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terraweave.llm.common import new_folder
 from terraweave.llm.store import column_values, read_files, write_file
+from terraweave.llm.unit_cache import UnitCache
 from terraweave.session import cut
 
 MAGIC = b"TWDAC001"
 BLOCK = 512  # bits per entry of a rank directory
 FILE_IDS = 1 << 20
 ENCODE_ROWS = 128  # texts that share calls of the tokenizer
-CACHE_UNITS = 200_000  # of a generation; two are kept
+CACHE_BYTES = 48 << 20  # of the units that a worker keeps
 
 # Units: places where byte-level pre-tokenization always cuts. A Latin word before white space or ASCII punctuation,
 # such punctuation before white space or a Latin letter, else a run of non-spaces, each with the one space before it;
@@ -47,7 +48,7 @@ RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 class Encoder:
     """Whole texts to little-endian ids of 2 bytes, or 4 for large vocabularies; ids of repeated units are remembered."""
 
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,9 +58,7 @@ class Encoder:
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.mark = special[0] if special else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache_units = cache_units
+        self.cache = UnitCache(cache_bytes, self.dtype)
 
     def _cuts_at_units(self) -> bool:
         import json
@@ -69,44 +68,30 @@ class Encoder:
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         return bool(plain and not spec.get("normalizer"))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; short texts share calls, held apart by a special token."""
         if self.mark is None or any(self.mark[0] in t for t in texts):
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+            return [np.array(e.ids, dtype=self.dtype) for e in found]
         if not texts:
             return []
         joined = self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, dtype=self.dtype)
-        cuts, width = np.flatnonzero(ids == self.mark[1]), self.dtype.itemsize
-        raw = ids.tobytes()
-        return [raw[lo:hi] for lo, hi in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)])]
+        cuts = np.flatnonzero(ids == self.mark[1]).tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, in ``dtype``."""
         out: list[bytes] = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if not self.by_unit or RARE_SPACE.search(t) or any(a in t for a in self.added)]
         for i in whole:
-            out[i] = self._ids([texts[i]])[0]
+            out[i] = self._ids([texts[i]])[0].tobytes()
         rest = sorted(set(range(len(texts))) - set(whole))
-        units = [UNITS.findall(texts[i]) for i in rest]
-        new: set[str] = set()
-        for row in units:
-            new.update(filterfalse(self.cache.__contains__, row))
-        if len(self.cache) + len(new) > self.cache_units:
-            # a generation is full: units still in use come over from it when they are needed
-            self.older, self.cache, new = self.cache, {}, set().union(*units)
-        missing = []
-        for unit in new:
-            ids = self.older.get(unit)
-            if ids is None:
-                missing.append(unit)
-            else:
-                self.cache[unit] = ids
-        self.cache.update(zip(missing, self._ids(missing)))
-        known = self.cache.__getitem__
-        for i, row in zip(rest, units):
-            out[i] = b"".join(map(known, row))
+        rows = [UNITS.findall(texts[i]) for i in rest]
+        ids, sizes = self.cache.encode(list(chain.from_iterable(rows)), self._ids)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, rows)])]
+        for i, lo, hi in zip(rest, ends, ends[1:]):
+            out[i] = ids[lo:hi].tobytes()
         return out
 
 

@@ -1,6 +1,7 @@
 """Token store, SentencePiece and Katz."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -27,7 +28,7 @@ def docs(spark):
 
 
 def test_units_encode_like_whole_texts():
-    coder = token_store.Encoder(BPE, cache_units=50)
+    coder = token_store.Encoder(BPE, cache_bytes=2000)
     whole = coder.tokenizer.encode_batch(ODD + [r[1] or "" for r in rows()], add_special_tokens=False)
     assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(ODD + [r[1] or "" for r in rows()])] == \
         [e.ids for e in whole]
@@ -177,3 +178,23 @@ def test_words_and_shingles():
     assert (keys[0:4] == keys[4:8]).all() and len(set(keys.tolist())) == 9
     grams, owner = shingles(texts, 5)
     assert np.bincount(owner, minlength=6).tolist() == [1, 0, 0, 2, 1, 1]
+
+
+def test_unit_cache():
+    """Ids come in order whether units are new, in the young or in the old generation; the bytes stay bounded."""
+    from terraweave.llm.unit_cache import UnitCache
+
+    rng = random.Random(3)
+    asked = []
+
+    def encode(units):
+        asked.extend(units)
+        return [np.arange(len(u), dtype="<u2") + ord(u[0]) for u in units]
+
+    cache = UnitCache(4000, "<u2")
+    for _ in range(60):
+        units = ["abcdefgh"[rng.randrange(8)] * rng.randrange(1, 9) + str(rng.randrange(30)) for _ in range(rng.choice([0, 1, 90]))]
+        ids, sizes = cache.encode(units, encode)
+        assert ids.tolist() == [ord(u[0]) + i for u in units for i in range(len(u))] and sizes.tolist() == [len(u) for u in units]
+        assert cache.young.nbytes + cache.old.nbytes < 3 * 4000
+    assert len(asked) > len(set(asked)) > 100  # some left and came again
