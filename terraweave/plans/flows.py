@@ -15,7 +15,7 @@ from ..functions import geo, lexicon as lx
 from ..functions.names import FICTIONAL
 from ..functions.text import drop_leading_the, slug
 from ..operators import (constraints as cn, diagnostics as dg, entities as en, extract, graph, grounding,
-                         relations as rl, sampling as sm, segment)
+                         joint as jt, relations as rl, sampling as sm, segment)
 from ..operators.ordering import with_global_position
 from ..session import cut
 from ..sources import readers, writers
@@ -133,27 +133,57 @@ def clean(r: Run) -> None:
     r.save("metadata", r.load("sentences").groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_sentences")))
 
 
+CHUNK = ["doc_id", "window_id"]
+
+
+def _model_answers(r: Run, chunks: DataFrame) -> DataFrame:
+    """Answers of all runs so far, after this run has asked for what is outstanding; dead letters go to ``failed_chunks``."""
+    path, run = r.path("joint_answers"), 0
+    todo = chunks
+    if exists(r.spark, path):
+        before = r.load("joint_answers")
+        run = 1 + (before.agg(F.max("run")).first()[0] or 0)
+        todo = jt.outstanding(chunks, before, CHUNK)
+    asked = r.extractor.attach(todo).select(*CHUNK, "relations", "attempts", "_error")
+    asked.write.mode("append").parquet(f"{path}/run={run}")
+    answers = r.load("joint_answers")
+    r.save("failed_chunks", jt.dead_letters(answers, CHUNK))
+    return jt.latest(answers.where(F.col("_error").isNull()), CHUNK)
+
+
 def joint(r: Run) -> None:
-    if not r.wanted("entities", "candidates"):
+    asks = isinstance(r.extractor, jt.RelationModel)
+    left = asks and exists(r.spark, r.path("failed_chunks")) and not r.load("failed_chunks").isEmpty()
+    if not left and not r.wanted("entities", "candidates"):
         return
     m = r.cfg.get("relations", {}).get("model", {})
-    size, overlap = m.get("sentences_per_chunk", 6), m.get("chunk_overlap", 2)
+    size, overlap, least = m.get("sentences_per_chunk", 6), m.get("chunk_overlap", 2), m.get("min_confidence", 0.55)
     chunks = sentence_windows(r.load("sentences"), size, max(1, size - overlap), partial_tail=True)
+    if asks:
+        chunks = cut(chunks)
+        answers = _model_answers(r, chunks).join(chunks.select(*CHUNK, "sents"), CHUNK)
+        valid = jt.relation_rows(answers.withColumnRenamed("window_id", "chunk"), ["doc_id", "chunk", "sents"], least)
+    else:
+        valid = extract.valid_relations(_cue_relations(r, chunks), least)
+    valid = cut(valid)
+    found = cut(en.chunk_entities(valid))
+    entities = en.registry(found, r.fictional).withColumn("name", F.col("canonical_name"))
+    r.save("entities", entities.withColumn("ord", F.regexp_extract("entity_id", r"(\d+)", 1).cast("long")))
+    r.save("mentions", en.mention_table(found))
+    r.save("candidates", en.remap(valid, found))
+
+
+def _cue_relations(r: Run, chunks: DataFrame) -> DataFrame:
+    """Relations typed by the cue words between two spans."""
     rows = extract.triple_rows(r.extractor.attach(chunks), ["doc_id", "window_id", "sents"])
     none = F.lit(None).cast("string")
-    raw = rows.select(
+    return rows.select(
         "doc_id", F.col("window_id").alias("chunk"), "ord", "sents",
         lx.relation_of(F.col("spatial_indicator")).alias("relation_type"),
         F.col("location_1").alias("entity_1"), F.col("location_2").alias("entity_2"),
         *[none.alias(f"entity_{n}_{k}") for n in (1, 2) for k in ("type", "class")],
         F.when(F.contains("spatial_indicator", F.lit(" ")), "0.9").otherwise("0.7").alias("confidence"),
         none.alias("distance_value"), none.alias("distance_unit"))
-    valid = cut(extract.valid_relations(raw, m.get("min_confidence", 0.55)))
-    found = cut(en.chunk_entities(valid))
-    entities = en.registry(found, r.fictional).withColumn("name", F.col("canonical_name"))
-    r.save("entities", entities.withColumn("ord", F.regexp_extract("entity_id", r"(\d+)", 1).cast("long")))
-    r.save("mentions", en.mention_table(found))
-    r.save("candidates", en.remap(valid, found))
 
 
 def coref(r: Run) -> None:

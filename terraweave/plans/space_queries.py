@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, lexicon as lx, names as nm, text as tx
 from ..operators import (constraints as cn, diagnostics as dg, entities as en, extract, graph, grounding,
-                         progress, relations as rl, sampling as sm, scoring, segment)
+                         joint, progress, relations as rl, sampling as sm, scoring, segment)
 from . import tables as tb
 from ..session import cut
 from .tables import table
@@ -122,6 +122,55 @@ def relation_candidates(spark, sf):
                       "entity_2", "confidence")
 
 
+def _scripted_client():
+    """Stands in for a model: reads cues, hints classes and distances; slow once on every third length, dead on every 17th."""
+    import json
+
+    import regex
+    scan = regex.compile("(?i)(?<!\\p{L})" + extract.cue_pattern().removeprefix("(?i)"))
+    hint = lambda name: "real" if len(name) % 2 == 0 else "Fictional"
+
+    def chat(system, user, temperature):
+        if len(user) % 17 == 0:
+            raise OSError("no answer")
+        if len(user) % 3 == 0 and temperature < 0.12:
+            raise TimeoutError("slow")
+        facts = []
+        for first, cue, second in scan.findall(user):
+            kind = lx.CUE_RELATIONS.get(cue.lower())
+            away = kind in ("near", "far")
+            facts.append({"entity_1": first, "entity_1_type": "gpe", "entity_1_class": hint(first), "relation_type": kind,
+                          "entity_2": second, "entity_2_type": "place", "entity_2_class": hint(second),
+                          "confidence": 0.9 if " " in cue else 0.7, "distance_value": len(first) + len(second) if away else None,
+                          "distance_unit": "km" if away else None})
+        body = json.dumps({"relations": facts}, ensure_ascii=False)
+        return body if len(user) % 2 else f"Sure:\n{body}\nAnything else?"
+
+    return chat
+
+
+def _asked(spark, sf):
+    chunks = segment.chunks(tb.sentence_arrays(spark, sf))
+    model = joint.RelationModel(_scripted_client, max_attempts=3, backoff=0.0)
+    return cut(model.attach(chunks).withColumnRenamed("window_id", "chunk"))
+
+
+def joint_candidates(spark, sf):
+    """Relations of a scripted model over all chunks, with class hints, confidence and distance."""
+    valid = cut(joint.relation_rows(_asked(spark, sf), ["doc_id", "chunk", "sents"]))
+    out = en.remap(valid, en.chunk_entities(valid))
+    return out.select("doc_id", "chunk", F.col("ord").cast("long").alias("ord"), "relation_type", "entity_1", "entity_1_type", "entity_1_class",
+                      "entity_2", "entity_2_type", "entity_2_class", "confidence", "distance_value", "distance_unit")
+
+
+def attempt_history(spark, sf):
+    """Attempts of that model on each chunk; chunks that failed to the end are dead letters."""
+    asked = _asked(spark, sf)
+    last = F.element_at("attempts", -1)
+    return asked.select("doc_id", "chunk", F.size("attempts").cast("long").alias("n_attempts"), F.round(last["temperature"], 2).alias("temperature"),
+                        last["strict"].alias("strict"), F.col("_error").isNotNull().alias("failed"))
+
+
 def entity_registry(spark, sf):
     return en.registry(en.chunk_entities(tb.chunk_relations(spark, sf)))
 
@@ -506,6 +555,8 @@ QUERIES = {
     "x03_parse_joint": parse_joint,
     "d04_relation_candidates": relation_candidates,
     "a06_entity_registry": entity_registry,
+    "i11_joint_candidates": joint_candidates,
+    "i12_attempt_history": attempt_history,
     "j08_mention_positions": mention_positions,
     "i10_span_registry": span_registry,
     "m11_canonical_resolve": canonical_resolve,

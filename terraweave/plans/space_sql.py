@@ -417,6 +417,20 @@ SQL = {
         confidence, distance_value, distance_unit FROM r
       WHERE relation_type IN ({lst(lx.RELATION_TYPES)}) AND length(entity_1) >= 2 AND (entity_2 IS NOT NULL OR relation_type = 'on_coast')
         AND (entity_2 IS NULL OR lower(entity_1) <> lower(entity_2)) AND confidence >= 0.55""",
+    "i11_joint_candidates": f"""WITH {JOINT}, live AS (SELECT doc_id, chunk FROM chunks WHERE length(sentence) % 17 <> 0),
+      hint AS (SELECT *, relation_type IN ('near', 'far') AS away FROM jr)
+      SELECT r.doc_id, r.chunk, r.ord, relation_type, a.canon AS entity_1, 'GPE' AS entity_1_type,
+        CASE WHEN length(entity_1) % 2 = 0 THEN 'real' ELSE 'fictional' END AS entity_1_class, b.canon AS entity_2, 'LOC' AS entity_2_type,
+        CASE WHEN length(entity_2) % 2 = 0 THEN 'real' ELSE 'fictional' END AS entity_2_class, confidence,
+        CASE WHEN away THEN (length(entity_1) + length(entity_2))::DOUBLE END AS distance_value, CASE WHEN away THEN 'km' END AS distance_unit
+      FROM hint r JOIN live l ON l.doc_id = r.doc_id AND l.chunk = r.chunk
+      JOIN jn x ON x.doc_id = r.doc_id AND x.chunk = r.chunk AND x.pos = r.ord * 2
+      JOIN jf a ON a.doc_id = r.doc_id AND a.chunk = r.chunk AND a.norm = x.norm
+      JOIN jn y ON y.doc_id = r.doc_id AND y.chunk = r.chunk AND y.pos = r.ord * 2 + 1
+      JOIN jf b ON b.doc_id = r.doc_id AND b.chunk = r.chunk AND b.norm = y.norm""",
+    "i12_attempt_history": f"""WITH {P.chunks()}, n AS (SELECT doc_id, chunk, length(sentence) AS n FROM chunks),
+      a AS (SELECT *, CASE WHEN n % 17 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS k FROM n)
+      SELECT doc_id, chunk, k::BIGINT AS n_attempts, round(0.05 + 0.05 * k::DOUBLE, 2) AS temperature, k > 1 AS strict, n % 17 = 0 AS failed FROM a""",
     "d04_relation_candidates": f"""WITH {JOINT} SELECT r.doc_id, r.chunk, r.ord, relation_type, a.canon AS entity_1, b.canon AS entity_2, confidence
       FROM jr r JOIN jn x ON x.doc_id = r.doc_id AND x.chunk = r.chunk AND x.pos = r.ord * 2
       JOIN jf a ON a.doc_id = r.doc_id AND a.chunk = r.chunk AND a.norm = x.norm

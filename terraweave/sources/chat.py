@@ -6,6 +6,9 @@ import json
 import urllib.request
 from collections.abc import Callable
 
+from ..functions.lexicon import RELATION_TYPES
+from ..operators.joint import RelationModel
+
 # Extractor configuration: our own wording of the task.
 SYSTEM = (
     "You find spatial relations between places in a passage. A relation links a located place "
@@ -17,6 +20,20 @@ SYSTEM = (
 USER = "Passage:\n{sentence}"
 STRICTER = " Answer with the JSON object only."
 
+JOINT_SYSTEM = (
+    "You list the spatial relations that a passage of fiction states between named places. Each relation has entity_1 and "
+    "entity_2 (names as written; entity_2 may be null for on_coast), relation_type (one of " + ", ".join(RELATION_TYPES) + "), "
+    "entity_1_type and entity_2_type (GPE, LOC or FAC), entity_1_class and entity_2_class (real, fictional or uncertain), "
+    "confidence from 0 to 1, and distance_value with distance_unit (miles or km) where the passage gives a distance, else null. "
+    "Answer with one JSON object holding a list under relations, empty when there is none."
+)
+JOINT_STRICTER = " The last answer could not be used: reply with that JSON object and nothing before or after it."
+
+
+def relation_model(make_client: Callable[[], Callable[[str, str, float], str]], **settings) -> RelationModel:
+    """Joint extractor with these prompts over any chat client."""
+    return RelationModel(make_client, JOINT_SYSTEM, USER, JOINT_STRICTER, **settings)
+
 
 def _post(url: str, payload: dict, timeout: int) -> dict:
     request = urllib.request.Request(

@@ -135,3 +135,54 @@ def test_sample_and_score(spark, tmp_path):
     got = {r["scheme"]: r for r in cli.score(spark, str(tmp_path / "g.jsonl"), [str(tmp_path / "m.jsonl")], str(tmp_path / "o"))}
     assert (got["strict"]["tp"], got["strict"]["fp"], got["strict"]["fn"]) == (2, 0, 1)
     assert "| m | lenient | 1.000 | 0.667 | 0.800 | 2 | 0 | 1 |" in open(tmp_path / "o" / "scores.md").read()
+
+
+def scripted(log, dead):
+    """A client factory that answers from a script and fails where it is told to; calls go to a file, as tasks are processes of their own."""
+    def make():
+        def chat(system, user, temperature):
+            with open(log, "a", encoding="utf-8") as out:
+                out.write(json.dumps([user[:40], round(temperature, 2), "nothing before" in system]) + "\n")
+            if "slow" in user and temperature < 0.12:
+                raise TimeoutError("slow")
+            if dead and dead in user:
+                raise OSError("no route")
+            facts = [dict(entity_1="Avon", entity_1_type="gpe", entity_1_class="Real", relation_type="north_of", entity_2="West Egg",
+                          entity_2_class="fictional", confidence=0.8, distance_value=12, distance_unit="miles"),
+                     dict(entity_1="Avon", relation_type="beside", entity_2="West Egg"),
+                     dict(entity_1="New York", relation_type="near", entity_2="Avon", confidence="0.2")]
+            return "Here:\n" + json.dumps({"relations": facts if "Avon" in user else []})
+        return chat
+    return make
+
+
+def test_joint_extraction_with_dead_letters(spark, tmp_path):
+    from terraweave.sources import chat
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    lines = [f"Avon lies north of West Egg on day {i}{'. It is slow' if i == 2 else ''}." for i in range(6)] + ["The blocked road led nowhere that day."] * 1
+    (raw / "book.txt").write_text(" ".join(lines), encoding="utf-8")
+    cfg = {"data_dir": str(tmp_path / "data"), "corpus": {"raw_dir": str(raw)},
+           "relations": {"model": {"sentences_per_chunk": 2, "chunk_overlap": 0, "min_confidence": 0.55}}}
+    load = lambda n: spark.read.parquet(str(tmp_path / "data" / n))
+    model = lambda dead: chat.relation_model(scripted(str(tmp_path / "log"), dead), backoff=0.0, max_attempts=2)
+    run = flows.Run(spark, cfg, extractor=model("blocked"))
+    flows.clean(run)
+    flows.joint(run)
+    dead = load("failed_chunks").collect()
+    assert len(dead) == 1 and dead[0]["runs"] == 1 and dead[0]["attempts"] == 2 and "no route" in dead[0]["last_error"]
+    rows = load("candidates").collect()
+    assert rows and {(r["entity_1"], r["relation_type"], r["entity_2"], r["entity_1_type"], r["entity_1_class"], r["entity_2_class"],
+                      r["confidence"], r["distance_value"], r["distance_unit"]) for r in rows} == {
+        ("Avon", "north_of", "West Egg", "GPE", "real", "fictional", 0.8, 12.0, "miles")}
+    assert {r["canonical_name"]: r["type"] for r in load("entities").collect()} == {"Avon": "real", "West Egg": "fictional"}
+    history = [a for r in load("joint_answers").collect() if r["_error"] is None for a in r["attempts"]]
+    assert any(a["attempt"] == 1 and a["strict"] and a["temperature"] == pytest.approx(0.15) for a in history)  # the slow chunk
+    calls = [json.loads(x) for x in open(tmp_path / "log", encoding="utf-8")]
+    n = load("joint_answers").count()
+    flows.joint(flows.Run(spark, cfg, extractor=model(None)))  # a later run asks for the dead letter alone
+    more = [json.loads(x) for x in open(tmp_path / "log", encoding="utf-8")][len(calls):]
+    assert len(more) == 1 and load("joint_answers").count() == n + 1
+    assert load("failed_chunks").count() == 0 and load("candidates").count() == len(rows) + 1
+    flows.joint(flows.Run(spark, cfg, extractor=model(None)))  # nothing left to ask
+    assert load("joint_answers").count() == n + 1
