@@ -198,3 +198,60 @@ def span_registry(spans: DataFrame, labels: tuple = ("GPE", "LOC", "FAC"), min_m
     return placed.select(
         F.format_string("e_%04d", "_n").alias("entity_id"), "canonical_name",
         nm.entity_class_wide(F.col("canonical_name"), more).alias("type"), "ner_label", "mention_count")
+
+
+def cluster_owners(clusters: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, chunk, cluster, canonical_name): the entity each coreference cluster belongs to.
+
+    ``named`` has the entity spans with ``canonical_name``. A cluster knows the entities named up to its own chunk, in the
+    order of their first span. Its first member decides that is such a name, up to case, or that holds a name of four
+    characters or more; of several the one named first counts. Names equal up to case mean the last of them.
+    """
+    from ..functions.text import strip
+    names = cut(named.groupBy("canonical_name").agg(F.min(F.struct("doc_id", "chunk", "pos", "canonical_name")).alias("first")).select(
+        "canonical_name", F.lower("canonical_name").alias("key"), "first"))
+    keys = names.groupBy("key").agg(F.min("first").alias("ord"), F.min_by("canonical_name", "first").alias("canonical"))
+    members = cut(clusters.select("doc_id", "chunk", "cluster", "pos", F.lower(strip("mention")).alias("low")))
+    texts = members.select(F.col("low").alias("text")).where(F.col("text").isNotNull()).distinct()
+    inside = first_inside(texts, keys.where(F.length("key") >= 4)).select(
+        F.col("text").alias("low"), F.lower("canonical").alias("key"), F.lit(1).alias("level"))
+    exact = keys.select(F.col("key").alias("low"), "key", F.lit(0).alias("level"))
+    met = members.join(exact.unionByName(inside), "low").join(names, "key").where(
+        F.struct("first.doc_id", "first.chunk") <= F.struct("doc_id", "chunk"))
+    of_member = met.groupBy("doc_id", "chunk", "cluster", "pos", "level").agg(F.max_by("canonical_name", "first").alias("canonical_name"))
+    return of_member.groupBy("doc_id", "chunk", "cluster").agg(F.min_by("canonical_name", F.struct("pos", "level")).alias("canonical_name"))
+
+
+def clustered_registry(spans: DataFrame, clusters: DataFrame, labels: tuple = ("GPE", "LOC", "FAC"), min_mentions: int = 2,
+                       blocked: list[str] | None = None, fictional: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, mentions) of annotated spans and coreference clusters.
+
+    ``spans(doc_id, chunk, pos, label, surface, sentence_id, char_start, char_end, source_text)``, ``pos`` ascending in a
+    chunk; ``clusters(doc_id, chunk, cluster, pos, mention, sentence_id, char_start, char_end)``. Members of a cluster become
+    mentions of its entity, once per place and unless they repeat its name or lie where it is named already. Entities are
+    then filtered by name and mention count, classified, and numbered in the order of their first span.
+    """
+    from ..functions import names as nm
+    from ..functions.text import strip, surface
+    more = sorted(set(FICTIONAL) | set(fictional or []))
+    named = cut(spans.where(F.col("label").isin(*labels)).withColumn("canonical_name", surface("surface")))
+    spot = ["canonical_name", "sentence_id", "char_start", "char_end"]
+    fresh = clusters.join(cluster_owners(clusters, named), ["doc_id", "chunk", "cluster"]).where(
+        F.lower(strip("mention")) != F.lower("canonical_name")).join(named.select(*spot).distinct(), spot, "left_anti")
+    first = F.struct("doc_id", "chunk", "cluster", "pos")
+    fresh = fresh.groupBy(*spot).agg(F.min_by("mention", first).alias("mention"), F.min("doc_id").alias("doc_id")).withColumn(
+        "source_text", F.concat(F.lit("[coref→"), F.col("canonical_name"), F.lit("] ..."), F.col("mention"), F.lit("...")))
+    keep = ["doc_id", *spot, "source_text"]
+    mentions = cut(named.select(*keep).unionByName(fresh.select(*keep)))
+    counts = mentions.groupBy("canonical_name").agg(F.count(F.lit(1)).alias("mention_count"))
+    docs = mentions.select("canonical_name", "doc_id").distinct().groupBy("canonical_name").agg(F.count(F.lit(1)).alias("doc_count"))
+    at = F.struct("doc_id", "chunk", "pos")
+    merged = named.groupBy("canonical_name").agg(F.min_by("label", at).alias("ner_label"), F.min(at).alias("f"))
+    kept = merged.join(counts, "canonical_name").join(docs, "canonical_name").where(nm.plausible(
+        F.col("canonical_name"), F.col("mention_count"), min_mentions, sorted(set(nm.BLOCKED) | set(blocked or [])), more))
+    flat = cut(kept.select("canonical_name", "mention_count", "doc_count", "ner_label", "f.*"))
+    placed = with_global_position(flat, ["doc_id", "chunk", "pos", "canonical_name"], "_n")
+    entities = cut(placed.select(
+        F.format_string("e_%04d", "_n").alias("entity_id"), "canonical_name",
+        nm.entity_class_wide(F.col("canonical_name"), more).alias("type"), "ner_label", "mention_count", "doc_count"))
+    return entities, mentions.join(entities.select("canonical_name"), "canonical_name", "left_semi")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +20,7 @@ from ..operators import (constraints as cn, diagnostics as dg, entities as en, e
 from ..operators.ordering import with_global_position
 from ..session import cut
 from ..sources import readers, writers
+from ..sources.cache import CacheTable
 
 log = logging.getLogger(__name__)
 
@@ -186,6 +188,23 @@ def _cue_relations(r: Run, chunks: DataFrame) -> DataFrame:
         none.alias("distance_value"), none.alias("distance_unit"))
 
 
+def annotated(r: Run) -> None:
+    """Registry out of an annotator's tables ``spans`` and, if there, ``span_clusters``: entities and mentions of their own."""
+    if not exists(r.spark, r.path("spans")):
+        log.info("no annotated spans, skipped")
+        return
+    if not r.wanted("span_entities", "span_mentions"):
+        return
+    n = r.cfg.get("ner", {})
+    spans = r.load("spans")
+    none = "doc_id string, chunk long, cluster int, pos long, mention string, sentence_id string, char_start int, char_end int"
+    clusters = r.load("span_clusters") if exists(r.spark, r.path("span_clusters")) else r.spark.createDataFrame([], none)
+    entities, mentions = en.clustered_registry(spans, clusters, tuple(n.get("entity_types", ["GPE", "LOC", "FAC"])), n.get("min_mention_count", 2),
+                                               n.get("entity_blocklist", []), r.fictional)
+    r.save("span_entities", entities)
+    r.save("span_mentions", mentions)
+
+
 def coref(r: Run) -> None:
     """Clusters of an annotator, written to ``coref_clusters``, extend the mentions."""
     if not exists(r.spark, r.path("coref_clusters")):
@@ -206,8 +225,21 @@ def ground(r: Run) -> None:
     shape = "name string, rank int, lat double, lon double, display_name string"
     places = readers.read_jsonl(r.spark, g["gazetteer"], shape, ["name", "lat", "lon"])
     extra = {k: (v["lat"], v["lon"], v.get("confidence", 0.9)) for k, v in g.get("coordinate_overrides", {}).items()}
-    r.save("grounded", grounding.ground(r.load("entities"), places, bias=g.get("default_country_bias", "US"),
+    memory = CacheTable(r.spark, r.path("geocode_cache"))
+    ents, now = r.load("entities"), int(time.time())
+    oldest = now - g["retry_misses_after_s"] if g.get("retry_misses_after_s") is not None else None
+    keys = ents.select(F.lower("canonical_name").alias("key")).distinct()
+    known = cut(memory.status(keys, oldest))
+    hits = known.where(F.col("state").isin("hit", "miss"))
+    asked = known.where(~F.col("state").isin("hit", "miss")).select("key")
+    r.save("grounded", grounding.ground(ents, places, hits.select("key", *memory.names), g.get("default_country_bias", "US"),
                                         fictional=r.fictional, overrides=extra))
+    # what this run looked up: named places that no override and no remembered answer settled
+    new = r.load("grounded").join(ents.select("canonical_name", F.col("type").alias("_was")), "canonical_name").where(
+        (F.col("_was") != "fictional") & ~F.col("canonical_name").isin(r.fictional) & ~F.col("canonical_name").isin([*grounding.OVERRIDES, *extra]))
+    looked = new.withColumn("key", F.lower("canonical_name")).join(asked, "key", "left_semi")
+    memory.upsert(looked.select("key", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "confidence", F.lit(now).alias("seen")))
+    log.info("%d names looked up", looked.count())
 
 
 def relate(r: Run) -> None:
@@ -289,7 +321,7 @@ def visualise(r: Run) -> None:
 
 STAGES = [("cleaning", clean), ("joint extraction", joint), ("coreference", coref), ("grounding", ground),
           ("relation graph", relate), ("constraints", constrain), ("inference", infer), ("diagnostics", diagnose),
-          ("plot data", visualise)]
+          ("plot data", visualise), ("annotated spans", annotated)]
 
 
 def run_stages(spark: SparkSession, cfg: dict, only: int | None = None, force: bool = False, extractor=None) -> None:

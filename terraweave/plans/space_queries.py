@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, lexicon as lx, names as nm, text as tx
 from ..operators import (constraints as cn, diagnostics as dg, entities as en, extract, graph, grounding,
                          joint, progress, relations as rl, sampling as sm, scoring, segment)
 from . import tables as tb
-from ..session import cut
+from ..session import cut, shared_dir
+from ..sources.cache import CacheTable
 from .tables import table
 
 LAT0, LON0 = 40.7128, -74.0060
@@ -185,6 +189,20 @@ def span_registry(spark, sf):
     return en.span_registry(en.capitalised_spans(segment.sentences(tb.sentence_arrays(spark, sf))))
 
 
+def clustered_registry(spark, sf):
+    """Capitalised runs as spans; the first two words of a sentence and the first of the next as a cluster."""
+    sents = segment.sentences(tb.sentence_arrays(spark, sf)).withColumn("chunk", F.floor(F.col("sent_idx") / 6))
+    spans = en.capitalised_spans(sents).select(
+        "doc_id", F.floor(F.col("sent_idx") / 6).alias("chunk"), F.struct("sent_idx", "char_start").alias("pos"), "label", "surface",
+        "sentence_id", "char_start", "char_end", F.col("surface").alias("source_text"))
+    words = lambda n: F.regexp_extract("text", r"^\S+(?: \S+)?" if n == 2 else r"^\S+", 0)
+    one = lambda n: sents.select("doc_id", "chunk", (F.col("sent_idx") - (2 - n)).alias("cluster"), F.lit(2 - n).alias("pos"), words(n).alias("mention"),
+                                 "sentence_id", F.lit(0).alias("char_start"), F.length(words(n)).alias("char_end"))
+    clusters = one(2).unionByName(one(1).where(F.floor(F.col("cluster") / 6) == F.col("chunk")))
+    entities, _ = en.clustered_registry(spans, clusters)
+    return entities
+
+
 def _endpoints(spark, sf):
     t = tb.window_triples(spark, sf)
     return t.select(F.explode(F.array("location_1", "location_2")).alias("name"))
@@ -459,6 +477,18 @@ def metropolis(spark, sf):
     return sm.metropolis(*_model(spark, sf), sm.Settings(sweeps=SWEEPS, burn_in=BURN_IN, thin=THIN, radius=300.0))
 
 
+def geocode_cache(spark, sf):
+    """Two runs write their answers, misses included; then all names ask what the cache knows."""
+    e = tb.geo_entities(spark, sf).select(F.lower("canonical_name").alias("key"), F.col("ord").alias("k"), "latitude", "longitude", "type")
+    memory = CacheTable(spark, os.path.join(shared_dir(spark), "cache", uuid.uuid4().hex))
+    conf = lambda c: F.when(F.col("latitude").isNotNull(), F.lit(c)).alias("confidence")
+    real = e.where(F.col("type") == "real")
+    memory.upsert(real.select("key", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), conf(0.6), F.lit(10).alias("seen")))
+    memory.upsert(real.where(F.col("k") % 3 == 0).select("key", (F.col("latitude") + 1).alias("lat"), F.col("longitude").alias("lon"), conf(0.85),
+                                                         F.lit(20).alias("seen")))
+    return memory.status(e.select("key"), 15).select("key", "state", r4("lat").alias("lat"), r4("lon").alias("lon"), "confidence", "seen")
+
+
 def _first_sweep(spark, sf):
     return sm.transition(*_model(spark, sf), sm.Settings(radius=300.0))
 
@@ -559,6 +589,7 @@ QUERIES = {
     "i12_attempt_history": attempt_history,
     "j08_mention_positions": mention_positions,
     "i10_span_registry": span_registry,
+    "i10_clustered_registry": clustered_registry,
     "m11_canonical_resolve": canonical_resolve,
     "m12_match_mentions": match_mentions,
     "i09_coref_mentions": coref_mentions,
@@ -578,6 +609,7 @@ QUERIES = {
     "a23_total_energy": total_energy,
     "v01_constraint_graph": constraint_graph,
     "d12_geocode_rules": geocode_rules,
+    "s26_geocode_cache": geocode_cache,
     "i08_grounding_fold": grounding_fold,
     "a13_posterior_moments": posterior_moments,
     "a14_credible_ellipse": credible_ellipse,

@@ -443,6 +443,30 @@ SQL = {
       SELECT 'e_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS entity_id, canonical_name,
         {CLASS_HINT('canonical_name', "''")} AS type, 'LOC' AS ner_label, mention_count, doc_count FROM n JOIN c USING (canonical_name)""",
     "j08_mention_positions": f"WITH {JOINT} SELECT * FROM jm",
+    "i10_clustered_registry": f"""WITH {P.SENTS},
+      c0 AS (SELECT doc_id, sent_idx, text, unnest(list_distinct(regexp_extract_all(text, '(\\p{{Lu}}\\p{{L}}*(?: \\p{{Lu}}\\p{{L}}*)*)', 1))) AS s FROM sents),
+      c1 AS (SELECT doc_id, sent_idx, s, unnest(list_filter(range(0, length(text)), lambda i: substr(text, (i + 1)::INT, length(s)) = s)) AS p FROM c0),
+      named AS (SELECT {P.surface_lookup(P.strip(f"regexp_replace(s, '{P.SPACE}+', ' ', 'g')"))} AS canon, doc_id, sent_idx, p, p + length(s) AS e FROM c1),
+      nm AS (SELECT canon, lower(canon) AS key, min((doc_id, sent_idx, p)) AS f, min((doc_id, sent_idx // 6)) AS seen FROM named GROUP BY ALL),
+      keys AS (SELECT key, min((f, canon)) AS f FROM nm GROUP BY 1),
+      cl AS (SELECT doc_id, sent_idx AS cluster, 0 AS pos, sent_idx // 6 AS chunk, regexp_extract(text, '^\\S+(?: \\S+)?') AS m, sent_idx FROM sents
+        UNION ALL SELECT doc_id, sent_idx - 1, 1, sent_idx // 6, regexp_extract(text, '^\\S+'), sent_idx FROM sents WHERE sent_idx % 6 > 0),
+      lows AS (SELECT DISTINCT lower({P.strip('m')}) AS low FROM cl),
+      hit AS (SELECT low, low AS key, 0 AS level FROM lows JOIN keys ON key = low
+        UNION ALL SELECT low, arg_min(key, f), 1 FROM lows JOIN keys ON length(key) >= 4 AND contains(low, key) GROUP BY low),
+      met AS (SELECT cl.doc_id, cl.cluster, cl.pos, level, arg_max(canon, (f, canon)) AS canon FROM cl JOIN hit ON hit.low = lower({P.strip('m')})
+        JOIN nm ON nm.key = hit.key AND nm.seen <= (cl.doc_id, cl.chunk) GROUP BY ALL),
+      own AS (SELECT doc_id, cluster, arg_min(canon, (pos, level)) AS canon FROM met GROUP BY ALL),
+      fresh AS (SELECT DISTINCT own.canon, cl.doc_id, cl.sent_idx, length(m) AS e FROM cl JOIN own ON own.doc_id = cl.doc_id AND own.cluster = cl.cluster
+        WHERE lower({P.strip('m')}) <> lower(own.canon)
+          AND NOT EXISTS (SELECT 1 FROM named n WHERE n.canon = own.canon AND n.doc_id = cl.doc_id AND n.sent_idx = cl.sent_idx AND n.p = 0 AND n.e = length(m))),
+      every AS (SELECT canon, doc_id FROM named UNION ALL SELECT canon, doc_id FROM fresh),
+      cnt AS (SELECT canon, count(*) AS mention_count, count(DISTINCT doc_id) AS doc_count FROM every GROUP BY 1),
+      c4 AS (SELECT nm.canon AS canonical_name, mention_count, doc_count, row_number() OVER (ORDER BY f, nm.canon) - 1 AS i
+        FROM nm JOIN cnt ON cnt.canon = nm.canon WHERE nm.canon NOT IN ({lst(nm.BLOCKED)}) AND NOT {SCAN('nm.canon')} AND NOT {NOPLACE('nm.canon')}
+          AND (mention_count >= 2 OR nm.canon IN ({lst(nm.FICTIONAL)})))
+      SELECT 'e_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS entity_id, canonical_name,
+        {CLASS_WIDE('canonical_name')} AS type, 'LOC' AS ner_label, mention_count, doc_count FROM c4""",
     "i10_span_registry": f"""WITH {P.SENTS},
       c0 AS (SELECT doc_id, sent_idx, text, unnest(list_distinct(regexp_extract_all(text, '(\\p{{Lu}}\\p{{L}}*(?: \\p{{Lu}}\\p{{L}}*)*)', 1))) AS s FROM sents),
       c1 AS (SELECT doc_id, sent_idx, s, unnest(list_filter(range(0, length(text)), lambda i: substr(text, (i + 1)::INT, length(s)) = s)) AS p FROM c0),
@@ -523,6 +547,14 @@ SQL = {
     "a23_total_energy": f"WITH {ENERGY} SELECT type, count(*) AS n, round(sum(weight * pen), 2) AS energy FROM en GROUP BY 1",
     "v01_constraint_graph": f"""WITH {SPEC}, o AS (SELECT *, row_number() OVER (PARTITION BY least(e1, e2), greatest(e1, e2) ORDER BY n DESC) AS rn
       FROM spec WHERE e2 IS NOT NULL) SELECT least(e1, e2) AS a, greatest(e1, e2) AS b, type, greatest(1, floor(weight * 8))::BIGINT AS width FROM o WHERE rn = 1""",
+    "s26_geocode_cache": f"""WITH {ENT}, w AS (
+        SELECT lower(canonical_name) AS key, latitude AS lat, longitude AS lon, CASE WHEN latitude IS NOT NULL THEN 0.6::DOUBLE END AS confidence, 10::BIGINT AS seen
+        FROM ent WHERE type = 'real' UNION ALL
+        SELECT lower(canonical_name), latitude + 1, longitude, CASE WHEN latitude IS NOT NULL THEN 0.85::DOUBLE END, 20 FROM ent WHERE type = 'real' AND ord % 3 = 0),
+      c AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY seen DESC) = 1)
+      SELECT lower(e.canonical_name) AS key, CASE WHEN c.seen IS NULL THEN 'unknown' WHEN c.lat IS NULL AND c.seen < 15 THEN 'stale'
+        WHEN c.lat IS NULL THEN 'miss' ELSE 'hit' END AS state, {rnd('c.lat', 'c.lon').replace('AS c.', 'AS ')}, c.confidence, c.seen
+      FROM ent e LEFT JOIN c ON c.key = lower(e.canonical_name)""",
     "d12_geocode_rules": f"""WITH {_gaz}, u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY NOT us, rank) AS rn,
         first_value(lat) OVER (PARTITION BY name ORDER BY rank) AS lat_first FROM gaz)
       SELECT name, lat, lon, CASE WHEN us THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence, lat_first, 0.6::DOUBLE AS conf_first FROM u WHERE rn = 1""",

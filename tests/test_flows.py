@@ -67,6 +67,38 @@ def test_staged_run(spark, tmp_path):
     assert joined(tmp_path / "data" / "plots" / "constraints.dot").startswith("graph Constraints {")
     with pytest.raises(ValueError):
         flows.run_stages(spark, cfg, only=99)
+    known = {r["key"]: (r["lat"], r["seen"]) for r in load("geocode_cache").collect()}
+    assert known["avon"][0] == 40.9 and all(k not in known for k in ("egg", "west"))
+    assert load("acceptance").where("chain_id = 0").agg(F.sum("sweeps")).first()[0] == 5
+    # a second run looks up nothing: with an empty gazetteer it finds the same places
+    before = {tuple(r) for r in load("grounded").collect()}
+    gaz.write_text(json.dumps(dict(name="Nowhere", rank=0, lat=0.0, lon=0.0, display_name="US")))
+    flows.ground(flows.Run(spark, cfg, force=True))
+    assert {tuple(r) for r in load("grounded").collect()} == before
+    assert {r["key"]: (r["lat"], r["seen"]) for r in load("geocode_cache").collect()} == known
+
+
+def test_annotated_spans_with_clusters(spark, tmp_path):
+    span = "doc_id string, chunk long, pos long, label string, surface string, sentence_id string, char_start int, char_end int, source_text string"
+    rows = [("d", 0, 0, "LOC", "Lake Avon", "d_sent_0", 3, 12, "x"), ("d", 1, 0, "LOC", "Lake  Avon", "d_sent_1", 0, 10, "x"),
+            ("d", 1, 1, "PER", "Tom", "d_sent_1", 20, 23, "x"), ("d", 1, 2, "GPE", "Oldham", "d_sent_2", 0, 6, "x"),
+            ("d", 1, 3, "GPE", "Oldham", "d_sent_3", 0, 6, "x"), ("d", 2, 0, "LOC", "Latecome Hill", "d_sent_4", 0, 13, "x"),
+            ("d", 2, 1, "LOC", "Blocked Hill", "d_sent_5", 0, 12, "x"), ("d", 2, 2, "LOC", "Blocked Hill", "d_sent_6", 0, 12, "x")]
+    cluster = "doc_id string, chunk long, cluster int, pos long, mention string, sentence_id string, char_start int, char_end int"
+    members = [("d", 1, 0, 0, "it", "d_sent_1", 30, 32), ("d", 1, 0, 1, "the lake avon shore", "d_sent_1", 40, 59),
+               ("d", 1, 0, 2, "LAKE AVON", "d_sent_2", 10, 19), ("d", 1, 0, 3, "there", "d_sent_2", 30, 35), ("d", 1, 0, 4, "there", "d_sent_2", 30, 35),
+               ("d", 0, 7, 0, "oldham", "d_sent_0", 20, 26), ("d", 0, 7, 1, "that town", "d_sent_0", 30, 39),  # named later only
+               ("d", 2, 1, 0, "nothing known", "d_sent_4", 20, 33), ("d", 2, 2, 0, "Oldham", "d_sent_2", 0, 6), ("d", 2, 2, 1, "the town", "d_sent_3", 0, 6)]
+    data = tmp_path / "data"
+    spark.createDataFrame(rows, span).write.parquet(str(data / "spans"))
+    spark.createDataFrame(members, cluster).write.parquet(str(data / "span_clusters"))
+    flows.annotated(flows.Run(spark, {"data_dir": str(data), "ner": {"entity_blocklist": ["Blocked Hill"]}}))
+    ents = {r["canonical_name"]: (r["entity_id"], r["mention_count"], r["doc_count"]) for r in spark.read.parquet(str(data / "span_entities")).collect()}
+    # "it", "the lake avon shore" and one "there" join two spans; "the town" lies where Oldham is named already
+    assert ents == {"Lake Avon": ("e_0000", 5, 1), "Oldham": ("e_0001", 2, 1)}
+    new = {(r["canonical_name"], r["sentence_id"], r["char_start"]) for r in spark.read.parquet(str(data / "span_mentions")).collect()
+           if "coref" in r["source_text"]}
+    assert new == {("Lake Avon", "d_sent_1", 30), ("Lake Avon", "d_sent_1", 40), ("Lake Avon", "d_sent_2", 30)}
 
 
 def test_readers(spark, tmp_path):
