@@ -93,6 +93,10 @@ def score(spark: SparkSession, gold: str, preds: list[str], out_dir: str) -> lis
     lines = [r["line"] for r in scoring.markdown(totals).orderBy("model", "scheme").collect()]
     with open(os.path.join(out_dir, "scores.md"), "w", encoding="utf-8") as out:
         out.write("\n".join(head + lines) + "\n")
+    # one row per model and semantic type
+    by_type = scoring.markdown_per_type(types.where(F.col("scheme") == "lenient")).orderBy("model", "semantic_type").collect()
+    with open(os.path.join(out_dir, "scores_per_type.md"), "w", encoding="utf-8") as out:
+        out.write("\n".join(scoring.TYPE_HEAD + [r["line"] for r in by_type]) + "\n")
     writers.render_f1_chart(rows, os.path.join(out_dir, "scores.png"))
     return rows
 

@@ -12,31 +12,29 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..session import cut
 from .constraints import at_positions, param_columns
 from .ordering import with_position
 
-MIN_DRAWS = 4                               # fewer draws give no summary
+MIN_DRAWS = 4                               # fewer draws give nulls
 CHI2_95 = -2.0 * math.log(0.05)             # chi-square quantile, 2 degrees of freedom
 
 
 def moments(draws: DataFrame) -> DataFrame:
-    return draws.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"),
-        F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"),
-    ).where(F.col("n") >= MIN_DRAWS)
+    """Mean and population deviation per entity; null where there are fewer than ``MIN_DRAWS`` draws."""
+    enough = F.count(F.lit(1)) >= MIN_DRAWS
+    return draws.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), *[
+        F.when(enough, f(v)).alias(f"{name}_{v}") for name, f in (("mean", F.avg), ("std", F.stddev_pop)) for v in "xy"])
 
 
 def ellipse(draws: DataFrame) -> DataFrame:
-    """95 % credible ellipse from the 2x2 sample covariance, angle modulo 180 degrees."""
-    c = draws.groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("center_x"), F.avg("y").alias("center_y"),
-        F.var_samp("x").alias("a"), F.var_samp("y").alias("b"), F.covar_samp("x", "y").alias("c"),
-    ).where(F.col("n") >= MIN_DRAWS)
+    """95 % credible ellipse from the 2x2 sample covariance, angle modulo 180 degrees; nulls for few draws."""
+    enough = F.count(F.lit(1)) >= MIN_DRAWS
+    c = draws.groupBy("entity_id").agg(*[F.when(enough, v).alias(name) for name, v in (
+        ("center_x", F.avg("x")), ("center_y", F.avg("y")), ("a", F.var_samp("x")), ("b", F.var_samp("y")), ("c", F.covar_samp("x", "y")))])
     half = (F.col("a") - F.col("b")) / 2
     mid, spread = (F.col("a") + F.col("b")) / 2, F.sqrt(half * half + F.col("c") * F.col("c"))
     axis = lambda v: F.sqrt(F.lit(CHI2_95) * F.greatest(F.lit(0.0), v))
@@ -59,6 +57,46 @@ def density(draws: DataFrame, bins: int = 20) -> DataFrame:
     return _binned(draws, bins).groupBy("entity_id", "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
 
 
+def smoothed(draws: DataFrame, bins: int = 20, least: int = 10) -> DataFrame:
+    """(entity_id, cell_x, cell_y, mass): Gaussian kernel density over each entity's own range, as shares of its grid.
+
+    The kernel is applied to the counts per cell in two passes, along x and then along y, with the bandwidth of Scott's
+    rule on each axis. An axis without extent stays as it is. Entities with fewer than ``least`` draws have no density.
+    """
+    spread = draws.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("n_draws"), *[f(v).alias(f"{k}_{v}") for v in "xy" for k, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_samp))])
+    # standard deviation in cells, narrowed as the draws grow
+    width = lambda v: (F.pow(F.col("n_draws"), F.lit(-1.0 / 6)) * F.col(f"sd_{v}") * bins / (F.col(f"hi_{v}") - F.col(f"lo_{v}")))
+    scale = spread.where(F.col("n_draws") >= least).select("entity_id", *[
+        F.when(F.col(f"hi_{v}") > F.col(f"lo_{v}"), width(v)).alias(f"h_{v}") for v in "xy"])
+    grid = density(draws, bins).join(scale, "entity_id").withColumn("mass", F.col("n").cast("double"))
+
+    def along(rows: DataFrame, v: str) -> DataFrame:
+        other = "y" if v == "x" else "x"
+        moved = rows.withColumn("to", F.explode(F.sequence(*[F.lit(k).cast("long") for k in (0, bins - 1)])))
+        gap = (F.col("to") - F.col(f"cell_{v}")) / F.col(f"h_{v}")
+        share = F.when(F.col(f"h_{v}").isNull(), (F.col("to") == F.col(f"cell_{v}")).cast("double")).otherwise(F.exp(-0.5 * gap * gap))
+        return moved.groupBy("entity_id", "h_x", "h_y", F.col("to").alias(f"cell_{v}"), f"cell_{other}").agg(F.sum(F.col("mass") * share).alias("mass"))
+
+    both = along(along(grid, "x"), "y")
+    total = both.groupBy("entity_id").agg(F.sum("mass").alias("total"))
+    return both.join(total, "entity_id").select("entity_id", "cell_x", "cell_y", (F.col("mass") / F.col("total")).alias("mass"))
+
+
+def contour_levels(grid: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(entity_id, share, level, n_cells): cells of ``level`` mass or more hold at least ``share`` of an entity's density."""
+    # at most bins x bins rows of an entity; cells equal but for rounding stay together
+    order = Window.partitionBy("entity_id").orderBy(F.desc("m"))
+    ranked = grid.withColumn("m", F.round("mass", 9)).select("entity_id", "m", F.sum("m").over(order).alias("held"),
+                                                            F.count(F.lit(1)).over(order).alias("cells"))
+    found = None
+    for share in shares:
+        row = ranked.where(F.col("held") >= share - 1e-6).groupBy("entity_id").agg(
+            F.max("m").alias("level"), F.min("cells").alias("n_cells")).select("entity_id", F.lit(share).alias("share"), "level", "n_cells")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 def entropy(draws: DataFrame, bins: int = 20) -> DataFrame:
     n = F.col("n")
     return density(draws, bins).groupBy("entity_id").agg(
@@ -198,6 +236,24 @@ def evenly_spaced(draws: DataFrame, wanted: int = 50) -> DataFrame:
     return draws.where((at == F.col("sample_id")) & (j < m))
 
 
+def ensemble_lines(draws: DataFrame, constraints: DataFrame, fixed: DataFrame, first: int = 20) -> DataFrame:
+    """(sample_id, constraint_id, type, x1, y1, x2, y2): the first constraints between two entities, drawn in each sample.
+
+    Constraints count in the order of their ids, shorter ids first. A line whose end has no position is left out.
+    """
+    order = F.length("constraint_id"), F.col("constraint_id")
+    some = constraints.where(F.col("e2").isNotNull() & (F.col("e1") != F.col("e2"))).orderBy(*order).limit(first)
+    some = some.select("constraint_id", "type", "e1", "e2")
+    spot = lambda n: fixed.select(F.col("entity_id").alias(f"e{n}"), F.col("x").alias(f"f{n}x"), F.col("y").alias(f"f{n}y"))
+    mine = lambda n: draws.select("sample_id", F.col("entity_id").alias(f"e{n}"), F.col("x").alias(f"d{n}x"), F.col("y").alias(f"d{n}y"))
+    placed = some.join(spot(1), "e1", "left").join(spot(2), "e2", "left")
+    every = placed.withColumn("sample_id", F.explode(draws.agg(F.sort_array(F.collect_set("sample_id"))).scalar()))  # as many as are drawn
+    met = every.join(mine(1), ["sample_id", "e1"], "left").join(mine(2), ["sample_id", "e2"], "left")
+    at = lambda n, v: F.coalesce(f"d{n}{v}", f"f{n}{v}").alias(f"{v}{n}")
+    rows = met.select("sample_id", "constraint_id", "type", at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y"))
+    return rows.where(F.col("x1").isNotNull() & F.col("x2").isNotNull())
+
+
 SATISFIED = 0.1   # penalties below this count as satisfied
 
 

@@ -107,3 +107,15 @@ def markdown(scores: DataFrame) -> DataFrame:
     return scores.select("model", "scheme", F.concat(
         F.lit("| "), F.concat_ws(" | ", "model", "scheme", pct("precision"), pct("recall"), pct("f1"),
                                  n("tp"), n("fp"), n("fn")), F.lit(" |")).alias("line"))
+
+
+TYPE_HEAD = ["| model | type | precision | recall | F1 | TP | FP | FN |", "|---|---|---:|---:|---:|---:|---:|---:|"]
+
+
+def markdown_per_type(scores: DataFrame) -> DataFrame:
+    """Table lines of the report per semantic type, one row per (model, semantic_type)."""
+    pct = lambda c: F.format_string("%.3f", F.col(c))
+    n = lambda c: F.col(c).cast("string")
+    return scores.select("model", "semantic_type", F.concat(
+        F.lit("| "), F.concat_ws(" | ", "model", "semantic_type", pct("precision"), pct("recall"), pct("f1"),
+                                 n("tp"), n("fp"), n("fn")), F.lit(" |")).alias("line"))

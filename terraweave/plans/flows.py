@@ -311,7 +311,12 @@ def visualise(r: Run) -> None:
     lat, lon = geo.unproject(F.col("mean_x"), F.col("mean_y"), s.origin_lat, s.origin_lon)
     r.save("plots/overlay", r.load("posterior").withColumn("lat", lat).withColumn("lon", lon).withColumn(
         "uncertainty_km", F.hypot("std_x", "std_y")))
-    r.save("plots/ensemble", dg.evenly_spaced(draws, r.cfg.get("visualization", {}).get("ensemble_num_samples", 50)))
+    grid = cut(dg.smoothed(draws, r.cfg.get("visualization", {}).get("density_resolution", 20)))
+    r.save("plots/smoothed", grid)
+    r.save("plots/contours", dg.contour_levels(grid))
+    some = cut(dg.evenly_spaced(draws, r.cfg.get("visualization", {}).get("ensemble_num_samples", 50)))
+    r.save("plots/ensemble", some)
+    r.save("plots/ensemble_lines", dg.ensemble_lines(some, r.load("constraints"), r.load("fixed")))
     pairs = r.load("constraints").where(F.col("e2").isNotNull()).groupBy(
         F.least("e1", "e2").alias("a"), F.greatest("e1", "e2").alias("b")).agg(
         F.max_by(F.struct("type", "weight"), F.struct(F.length("constraint_id"), F.col("constraint_id"))).alias("l"))

@@ -12,6 +12,7 @@ from ..operators import (constraints as cn, diagnostics as dg, entities as en, e
                          joint, progress, relations as rl, sampling as sm, scoring, segment)
 from . import tables as tb
 from ..session import cut, shared_dir
+from ..sources import writers
 from ..sources.cache import CacheTable
 from .tables import table
 
@@ -363,6 +364,10 @@ def constraint_graph(spark, sf):
                        F.greatest(F.lit(1), F.floor(F.col("l.weight") * 8)).cast("long").alias("width"))
 
 
+def constraint_lines(spark, sf):
+    return writers.constraint_plot_lines(constraint_graph(spark, sf)).select("line")
+
+
 # -- grounding ---------------------------------------------------------------------
 
 def _gazetteer(spark, sf):
@@ -410,6 +415,14 @@ def density_grid(spark, sf):
     return dg.density(tb.draws(spark, sf))
 
 
+def smoothed_grid(spark, sf):
+    return dg.smoothed(tb.draws(spark, sf)).select("entity_id", "cell_x", "cell_y", F.round("mass", 6).alias("mass"))
+
+
+def contour_levels(spark, sf):
+    return dg.contour_levels(dg.smoothed(tb.draws(spark, sf))).select("entity_id", "share", F.round("level", 6).alias("level"), "n_cells")
+
+
 def gelman_rubin(spark, sf):
     return dg.r_hat(tb.draws(spark, sf)).select("entity_id", r4("r_hat_x").alias("r_hat_x"), r4("r_hat_y").alias("r_hat_y"))
 
@@ -444,6 +457,12 @@ def evenly_spaced(spark, sf):
     return d.select("sample_id", "entity_id", r4("x").alias("x"), r4("y").alias("y"))
 
 
+def ensemble_lines(spark, sf):
+    d = dg.evenly_spaced(tb.draws(spark, sf), 50)
+    lines = dg.ensemble_lines(d, tb.part_constraints(spark, sf), tb.nation_points(spark, sf), 20)
+    return lines.select("sample_id", "constraint_id", "type", *[r4(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 def map_overlay(spark, sf):
     m = dg.moments(tb.draws(spark, sf))
     lat, lon = geo.unproject(F.col("mean_x"), F.col("mean_y"), LAT0, LON0)
@@ -550,6 +569,10 @@ def score_markdown(spark, sf):
     return scoring.markdown(both)
 
 
+def type_markdown(spark, sf):
+    return scoring.markdown_per_type(scoring.per_type(_matched(spark, sf, "lenient"), ["model"]))
+
+
 # -- progress ----------------------------------------------------------------------------
 
 def progress_counts(spark, sf):
@@ -608,6 +631,7 @@ QUERIES = {
     "g05_penalties": penalties,
     "a23_total_energy": total_energy,
     "v01_constraint_graph": constraint_graph,
+    "v01_constraint_lines": constraint_lines,
     "d12_geocode_rules": geocode_rules,
     "s26_geocode_cache": geocode_cache,
     "i08_grounding_fold": grounding_fold,
@@ -615,6 +639,8 @@ QUERIES = {
     "a14_credible_ellipse": credible_ellipse,
     "a15_spatial_entropy": spatial_entropy,
     "v02_density_grid": density_grid,
+    "v02_smoothed_grid": smoothed_grid,
+    "v02_contour_levels": contour_levels,
     "a16_gelman_rubin": gelman_rubin,
     "a17_effective_sample_size": ess,
     "a18_constraint_satisfaction": constraint_satisfaction,
@@ -622,6 +648,7 @@ QUERIES = {
     "d11_thin_burnin": thin_burnin,
     "d10_evenly_spaced": evenly_spaced,
     "v03_map_overlay": map_overlay,
+    "v04_ensemble_lines": ensemble_lines,
     "a19_mode_count": mode_count,
     "j12_posterior_summary": posterior_summary,
     "i07_sample_energies": sample_energies,
@@ -633,6 +660,7 @@ QUERIES = {
     "a11_score_per_type": score_per_type,
     "a12_score_outcomes": score_outcomes,
     "s21_score_markdown": score_markdown,
+    "s21_type_markdown": type_markdown,
     "t04_progress_counts": progress_counts,
     "d08_recent_feed": recent_feed,
     "d09_rolling_eta": rolling_eta,

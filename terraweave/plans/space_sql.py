@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import lexicon as lx, names as nm
 from ..operators.constraints import INFERABLE, PARAMS
 from . import sql_parts as P
+from ..sources.writers import TYPE_COLOR
 from .tables import LINE_TYPES
 from .text_sql import _pick as pick
 
@@ -202,6 +203,16 @@ cells AS (SELECT entity_id, CASE WHEN x1 = x0 THEN 0 ELSE least(floor((x - x0) /
     CASE WHEN y1 = y0 THEN 0 ELSE least(floor((y - y0) / (y1 - y0) * 20), 19) END::BIGINT AS cell_y FROM draws JOIN span USING (entity_id)),
 grid AS (SELECT entity_id, cell_x, cell_y, count(*) AS n FROM cells GROUP BY 1, 2, 3)"""
 
+_kernel = lambda v: (f"CASE WHEN h_{v} IS NULL THEN (to_{v} = cell_{v})::INT::DOUBLE ELSE "
+                     f"exp(-0.5::DOUBLE * pow((to_{v} - cell_{v}) / h_{v}, 2)) END")
+SMOOTH = f"""{CELLS},
+scale AS (SELECT entity_id, CASE WHEN max(x) > min(x) THEN pow(count(*), -1.0::DOUBLE / 6) * stddev_samp(x) * 20 / (max(x) - min(x)) END AS h_x,
+    CASE WHEN max(y) > min(y) THEN pow(count(*), -1.0::DOUBLE / 6) * stddev_samp(y) * 20 / (max(y) - min(y)) END AS h_y
+  FROM draws GROUP BY 1 HAVING count(*) >= 10),
+spread AS (SELECT entity_id, to_x AS cell_x, to_y AS cell_y, sum(n * {_kernel('x')} * {_kernel('y')}) AS m
+  FROM grid JOIN scale USING (entity_id), range(20) a(to_x), range(20) b(to_y) GROUP BY ALL),
+smooth AS (SELECT entity_id, cell_x, cell_y, m / sum(m) OVER (PARTITION BY entity_id) AS mass FROM spread)"""
+
 _ncol = lambda p: f"{ {'d_near_km': 'p_size::DOUBLE', 'target_d_km': 'CASE WHEN p_size > 5 THEN p_size::DOUBLE END'}.get(p, 'NULL::DOUBLE')} AS {p}"
 PARTC = f"""
 pc AS (SELECT p_partkey, {pick(LINE_TYPES, 'p_size + p_partkey')} AS type,
@@ -249,10 +260,11 @@ ess AS (SELECT entity_id, n / greatest(1.0, 2 * sum(CASE WHEN ex IS NULL OR i <
     n / greatest(1.0, 2 * sum(CASE WHEN ey IS NULL OR i < ey THEN py ELSE 0.0 END) - 1) AS ess_y
   FROM pair JOIN stop USING (entity_id) GROUP BY entity_id, n)"""
 
-MOMENTS = """mom AS (SELECT entity_id, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, stddev_pop(x) AS std_x, stddev_pop(y) AS std_y
-  FROM draws GROUP BY 1 HAVING count(*) >= 4)"""
-ELLIPSE = """cov AS (SELECT entity_id, avg(x) AS center_x, avg(y) AS center_y, var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c
-  FROM draws GROUP BY 1 HAVING count(*) >= 4),
+_few = lambda *cols: ", ".join(f"CASE WHEN count(*) >= 4 THEN {v} END AS {name}" for name, v in cols)
+MOMENTS = f"""mom AS (SELECT entity_id, count(*) AS n, {_few(('mean_x', 'avg(x)'), ('mean_y', 'avg(y)'), ('std_x', 'stddev_pop(x)'),
+  ('std_y', 'stddev_pop(y)'))} FROM draws GROUP BY 1)"""
+ELLIPSE = f"""cov AS (SELECT entity_id, {_few(('center_x', 'avg(x)'), ('center_y', 'avg(y)'), ('a', 'var_samp(x)'), ('b', 'var_samp(y)'),
+  ('c', 'covar_samp(x, y)'))} FROM draws GROUP BY 1),
 ell AS (SELECT entity_id, sqrt(-2 * ln(0.05) * greatest(0.0, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c))) AS semi_major,
     sqrt(-2 * ln(0.05) * greatest(0.0, (a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c))) AS semi_minor,
     (degrees(atan2(2 * c, a - b)) / 2 + 180) % 180 AS angle_deg, center_x, center_y FROM cov)"""
@@ -547,6 +559,10 @@ SQL = {
     "a23_total_energy": f"WITH {ENERGY} SELECT type, count(*) AS n, round(sum(weight * pen), 2) AS energy FROM en GROUP BY 1",
     "v01_constraint_graph": f"""WITH {SPEC}, o AS (SELECT *, row_number() OVER (PARTITION BY least(e1, e2), greatest(e1, e2) ORDER BY n DESC) AS rn
       FROM spec WHERE e2 IS NOT NULL) SELECT least(e1, e2) AS a, greatest(e1, e2) AS b, type, greatest(1, floor(weight * 8))::BIGINT AS width FROM o WHERE rn = 1""",
+    "v01_constraint_lines": f"""WITH g AS (WITH {SPEC}, o AS (SELECT *, row_number() OVER (PARTITION BY least(e1, e2), greatest(e1, e2) ORDER BY n DESC) AS rn
+      FROM spec WHERE e2 IS NOT NULL) SELECT least(e1, e2) AS a, greatest(e1, e2) AS b, type, greatest(1, floor(weight * 8))::BIGINT AS width FROM o WHERE rn = 1)
+      SELECT 'graph Constraints {{' AS line UNION ALL SELECT '}}' UNION ALL
+      SELECT '  "' || a || '" -- "' || b || '" [label="' || type || '", color="' || {P.case('type', TYPE_COLOR)[:-3]} ELSE '#95a5a6' END || '", penwidth=' || width || '];' FROM g""",
     "s26_geocode_cache": f"""WITH {ENT}, w AS (
         SELECT lower(canonical_name) AS key, latitude AS lat, longitude AS lon, CASE WHEN latitude IS NOT NULL THEN 0.6::DOUBLE END AS confidence, 10::BIGINT AS seen
         FROM ent WHERE type = 'real' UNION ALL
@@ -587,6 +603,11 @@ SQL = {
     "a13_posterior_moments": f"WITH {DRAWS}, {MOMENTS} SELECT entity_id, n, {rnd('mean_x', 'mean_y', 'std_x', 'std_y')} FROM mom",
     "a14_credible_ellipse": f"WITH {DRAWS}, {ELLIPSE} SELECT entity_id, {rnd('semi_major', 'semi_minor', 'angle_deg', 'center_x', 'center_y')} FROM ell",
     "a15_spatial_entropy": f"WITH {CELLS}, {ENTROPY} SELECT entity_id, {rnd('spatial_entropy')} FROM ent",
+    "v02_smoothed_grid": f"WITH {SMOOTH} SELECT entity_id, cell_x, cell_y, round(mass, 6) AS mass FROM smooth",
+    "v02_contour_levels": f"""WITH {SMOOTH}, m AS (SELECT entity_id, round(mass, 9) AS m FROM smooth),
+      r AS (SELECT entity_id, m, sum(m) OVER (PARTITION BY entity_id ORDER BY m DESC) AS held, count(*) OVER (PARTITION BY entity_id ORDER BY m DESC) AS cells FROM m)
+      SELECT entity_id, share, round(max(m), 6) AS level, min(cells) AS n_cells FROM r, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) s(share)
+      WHERE held >= share - 1e-6 GROUP BY entity_id, share""",
     "v02_density_grid": f"WITH {CELLS} SELECT * FROM grid",
     "a16_gelman_rubin": f"WITH {RHAT} SELECT entity_id, {rnd('r_hat_x', 'r_hat_y')} FROM rhat",
     "a17_effective_sample_size": f"WITH {DRAWS}, {ESS} SELECT entity_id, {rnd('ess_x', 'ess_y')} FROM ess",
@@ -598,6 +619,14 @@ SQL = {
     "d10_evenly_spaced": f"""WITH {DRAWS}, c AS (SELECT max(sample_id) + 1 AS n, least(50, max(sample_id) + 1) AS m FROM draws),
       p AS (SELECT DISTINCT j * (n - 1) // greatest(1, m - 1) AS s FROM (SELECT unnest(range(0, m)) AS j, n, m FROM c))
       SELECT sample_id, entity_id, {rnd('x', 'y')} FROM draws WHERE sample_id IN (SELECT s FROM p)""",
+    "v04_ensemble_lines": f"""WITH {DRAWS}, {PARTC}, n AS (SELECT max(sample_id) + 1 AS n, least(50, max(sample_id) + 1) AS m FROM draws),
+      p AS (SELECT DISTINCT j * (n - 1) // greatest(1, m - 1) AS s FROM (SELECT unnest(range(0, m)) AS j, n, m FROM n)),
+      lead AS (SELECT 'c_' || CASE WHEN p_partkey < 10000 THEN lpad(p_partkey::VARCHAR, 4, '0') ELSE p_partkey::VARCHAR END AS constraint_id, type, e1, e2
+        FROM pc WHERE e2 IS NOT NULL AND e1 <> e2 ORDER BY length(constraint_id), constraint_id LIMIT 20),
+      r AS (SELECT p.s AS sample_id, c.constraint_id, c.type, coalesce(d1.x, f1.x) AS x1, coalesce(d1.y, f1.y) AS y1, coalesce(d2.x, f2.x) AS x2,
+          coalesce(d2.y, f2.y) AS y2 FROM lead c CROSS JOIN p LEFT JOIN draws d1 ON d1.sample_id = p.s AND d1.entity_id = c.e1
+        LEFT JOIN draws d2 ON d2.sample_id = p.s AND d2.entity_id = c.e2 LEFT JOIN fx f1 ON f1.entity_id = c.e1 LEFT JOIN fx f2 ON f2.entity_id = c.e2)
+      SELECT sample_id, constraint_id, type, {rnd('x1', 'y1', 'x2', 'y2')} FROM r WHERE x1 IS NOT NULL AND x2 IS NOT NULL""",
     "v03_map_overlay": f"""WITH {DRAWS}, {MOMENTS} SELECT entity_id, round(40.7128 + mean_y / {SCALE}, 4) AS lat,
       round(-74.006 + mean_x / ({SCALE} * {COS0}), 4) AS lon, round(sqrt(std_x * std_x + std_y * std_y), 4) AS uncertainty_km FROM mom""",
     "j12_posterior_summary": f"""WITH {RHAT}, {CELLS.replace(DRAWS + ',', '')}, {ENTROPY}, {MOMENTS}, {ELLIPSE}, {ESS}, {PARTC},
@@ -622,6 +651,9 @@ SQL = {
       SELECT a.model, count(*) FILTER (WHERE gc.g IS NULL AND np.n IS NULL) AS correct_empty_tp,
         count(*) FILTER (WHERE gc.g AND np.n IS NULL) AS missed_empty, count(*) FILTER (WHERE gc.g IS NULL AND np.n > 0) AS halluc_on_empty
       FROM ann a LEFT JOIN gc USING (doc_id, window_id) LEFT JOIN np USING (model, doc_id, window_id) GROUP BY 1""",
+    "s21_type_markdown": f"""WITH {match_sql(True)}, c AS (SELECT model, st AS semantic_type, {_cnt} FROM marks GROUP BY 1, 2), s AS (SELECT *, {_prf} FROM c)
+      SELECT model, semantic_type, '| ' || concat_ws(' | ', model, semantic_type, printf('%.3f', precision), printf('%.3f', recall), printf('%.3f', f1),
+        tp::VARCHAR, fp::VARCHAR, fn::VARCHAR) || ' |' AS line FROM s""",
     "s21_score_markdown": f"{_line(False, 'strict')} UNION ALL {_line(True, 'lenient')}",
     "t04_progress_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "d08_recent_feed": "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 8",
