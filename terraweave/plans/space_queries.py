@@ -477,7 +477,7 @@ def mode_count(spark, sf):
 def posterior_summary(spark, sf):
     d = tb.draws(spark, sf)
     names = d.select("entity_id", F.concat(F.lit("Point "), "entity_id").alias("name")).distinct()
-    return dg.posterior_summary(d, names, _scores(spark, sf), modes=False)
+    return dg.posterior_summary(d, names, _scores(spark, sf))
 
 
 # -- sampling ------------------------------------------------------------------------

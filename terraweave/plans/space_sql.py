@@ -270,6 +270,22 @@ ell AS (SELECT entity_id, sqrt(-2 * ln(0.05) * greatest(0.0, (a + b) / 2 + sqrt(
     (degrees(atan2(2 * c, a - b)) / 2 + 180) % 180 AS angle_deg, center_x, center_y FROM cov)"""
 ENTROPY = "ent AS (SELECT entity_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS spatial_entropy FROM grid GROUP BY 1)"
 
+# k-means for k = 1 to 5, five starts each; draws with the least digests start a run
+MODES = """seed AS (SELECT entity_id, s, c, arg_min({'x': x, 'y': y}, md5(concat_ws(':', s * 100 + c, chain_id, sample_id))) AS p
+               FROM draws, range(5) a(s), range(5) b(c) GROUP BY ALL),
+      run AS (SELECT entity_id, s, k, list(p ORDER BY c) AS cs FROM seed, range(1, 6) r(k) WHERE c < k GROUP BY ALL),
+      move AS (SELECT entity_id, s, k, cs, true AS going FROM run UNION ALL
+        SELECT entity_id, s, k, cs, len(cs) <> len(old) OR len(list_filter(range(1, len(cs) + 1), lambda i:
+                 greatest(abs(cs[i].x - old[i].x), abs(cs[i].y - old[i].y)) > 1e-9)) > 0
+        FROM (SELECT entity_id, s, k, list({'x': x, 'y': y} ORDER BY x, y) AS cs, any_value(list_sort(old)) AS old
+          FROM (SELECT entity_id, s, k, any_value(cs) AS old, avg(x) AS x, avg(y) AS y
+            FROM (SELECT m.*, d.x, d.y, list_sort(list_transform(cs, lambda q, i: {'d': (q.x - d.x) * (q.x - d.x) + (q.y - d.y) * (q.y - d.y), 'c': i}))[1].c AS c
+                  FROM move m JOIN draws d ON d.entity_id = m.entity_id WHERE going) GROUP BY entity_id, s, k, c) GROUP BY entity_id, s, k)),
+      sse AS (SELECT m.entity_id, s, k, count(*) AS n, sum(list_min(list_transform(cs, lambda q: (q.x - d.x) * (q.x - d.x) + (q.y - d.y) * (q.y - d.y)))) AS e
+              FROM move m JOIN draws d ON d.entity_id = m.entity_id WHERE NOT going GROUP BY ALL),
+      best AS (SELECT entity_id, k, any_value(n) AS n, min(e) AS e FROM sse GROUP BY ALL),
+      modes AS (SELECT entity_id, CASE WHEN any_value(n) < 10 THEN 1 ELSE arg_min(k, e / n + 2 * k * ln(n) / n) END::INTEGER AS num_modes FROM best GROUP BY 1)"""
+
 # -- registry and names -----------------------------------------------------------
 
 WORDS = rf"""
@@ -585,21 +601,7 @@ SQL = {
           FROM f JOIN e ON e.ord = f.ord + 1 LEFT JOIN gaz g ON g.name = e.canonical_name) WHERE rn = 1)
       SELECT e.ord, e.canonical_name, CASE WHEN lat IS NULL THEN 'fictional' ELSE 'real' END AS type, lat AS latitude, lon AS longitude, confidence
       FROM e JOIN f ON f.ord = e.ord""",
-    "a19_mode_count": f"""WITH RECURSIVE {DRAWS},
-      seed AS (SELECT entity_id, s, c, arg_min({{'x': x, 'y': y}}, md5(concat_ws(':', s * 100 + c, chain_id, sample_id))) AS p
-               FROM draws, range(5) a(s), range(5) b(c) GROUP BY ALL),
-      run AS (SELECT entity_id, s, k, list(p ORDER BY c) AS cs FROM seed, range(1, 6) r(k) WHERE c < k GROUP BY ALL),
-      move AS (SELECT entity_id, s, k, cs, true AS going FROM run UNION ALL
-        SELECT entity_id, s, k, cs, len(cs) <> len(old) OR len(list_filter(range(1, len(cs) + 1), lambda i:
-                 greatest(abs(cs[i].x - old[i].x), abs(cs[i].y - old[i].y)) > 1e-9)) > 0
-        FROM (SELECT entity_id, s, k, list({{'x': x, 'y': y}} ORDER BY x, y) AS cs, any_value(list_sort(old)) AS old
-          FROM (SELECT entity_id, s, k, any_value(cs) AS old, avg(x) AS x, avg(y) AS y
-            FROM (SELECT m.*, d.x, d.y, list_sort(list_transform(cs, lambda q, i: {{'d': (q.x - d.x) * (q.x - d.x) + (q.y - d.y) * (q.y - d.y), 'c': i}}))[1].c AS c
-                  FROM move m JOIN draws d ON d.entity_id = m.entity_id WHERE going) GROUP BY entity_id, s, k, c) GROUP BY entity_id, s, k)),
-      sse AS (SELECT m.entity_id, s, k, count(*) AS n, sum(list_min(list_transform(cs, lambda q: (q.x - d.x) * (q.x - d.x) + (q.y - d.y) * (q.y - d.y)))) AS e
-              FROM move m JOIN draws d ON d.entity_id = m.entity_id WHERE NOT going GROUP BY ALL),
-      best AS (SELECT entity_id, k, any_value(n) AS n, min(e) AS e FROM sse GROUP BY ALL)
-      SELECT entity_id, CASE WHEN any_value(n) < 10 THEN 1 ELSE arg_min(k, e / n + 2 * k * ln(n) / n) END::INTEGER AS num_modes FROM best GROUP BY 1""",
+    "a19_mode_count": f"WITH RECURSIVE {DRAWS}, {MODES} SELECT * FROM modes",
     "a13_posterior_moments": f"WITH {DRAWS}, {MOMENTS} SELECT entity_id, n, {rnd('mean_x', 'mean_y', 'std_x', 'std_y')} FROM mom",
     "a14_credible_ellipse": f"WITH {DRAWS}, {ELLIPSE} SELECT entity_id, {rnd('semi_major', 'semi_minor', 'angle_deg', 'center_x', 'center_y')} FROM ell",
     "a15_spatial_entropy": f"WITH {CELLS}, {ENTROPY} SELECT entity_id, {rnd('spatial_entropy')} FROM ent",
@@ -629,13 +631,13 @@ SQL = {
       SELECT sample_id, constraint_id, type, {rnd('x1', 'y1', 'x2', 'y2')} FROM r WHERE x1 IS NOT NULL AND x2 IS NOT NULL""",
     "v03_map_overlay": f"""WITH {DRAWS}, {MOMENTS} SELECT entity_id, round(40.7128 + mean_y / {SCALE}, 4) AS lat,
       round(-74.006 + mean_x / ({SCALE} * {COS0}), 4) AS lon, round(sqrt(std_x * std_x + std_y * std_y), 4) AS uncertainty_km FROM mom""",
-    "j12_posterior_summary": f"""WITH {RHAT}, {CELLS.replace(DRAWS + ',', '')}, {ENTROPY}, {MOMENTS}, {ELLIPSE}, {ESS}, {PARTC},
+    "j12_posterior_summary": f"""WITH RECURSIVE {RHAT}, {CELLS.replace(DRAWS + ',', '')}, {ENTROPY}, {MOMENTS}, {ELLIPSE}, {ESS}, {PARTC}, {MODES},
       sub AS (SELECT * FROM draws), {scores('', 'sc')}
       SELECT entity_id, 'Point ' || entity_id AS name, {rnd('mean_x', 'mean_y', 'std_x', 'std_y', 'semi_major', 'semi_minor')},
-        round(angle_deg, 2) AS angle_deg, {rnd('center_x', 'center_y', 'spatial_entropy', 'r_hat_x', 'r_hat_y')},
+        round(angle_deg, 2) AS angle_deg, {rnd('center_x', 'center_y', 'spatial_entropy', 'r_hat_x', 'r_hat_y')}, num_modes,
         round(ess_x, 1) AS ess_x, round(ess_y, 1) AS ess_y,
         (SELECT round(avg(score), 4) FROM sc) AS constraint_satisfaction_mean, (SELECT round(stddev_pop(score), 4) FROM sc) AS constraint_satisfaction_std
-      FROM mom JOIN ell USING (entity_id) JOIN ent USING (entity_id) JOIN rhat USING (entity_id) JOIN ess USING (entity_id)""",
+      FROM mom JOIN ell USING (entity_id) JOIN ent USING (entity_id) JOIN rhat USING (entity_id) JOIN ess USING (entity_id) JOIN modes USING (entity_id)""",
     "i07_sample_energies": f"""WITH {DRAWS}, {PARTC}, ids AS (SELECT DISTINCT sample_id FROM draws),
       r AS (SELECT s.sample_id, c.*, coalesce(d1.x, f1.x) AS x1, coalesce(d1.y, f1.y) AS y1, coalesce(d2.x, f2.x) AS x2, coalesce(d2.y, f2.y) AS y2
         FROM ids s CROSS JOIN pc c LEFT JOIN draws d1 ON d1.sample_id = s.sample_id AND d1.entity_id = c.e1
