@@ -45,6 +45,26 @@ def stream_recent(spark, sf):
     return inc.latest(spark, out).select("event_id", "event_type", "value")
 
 
+def stream_buffers(spark, sf):
+    """Last 8 purchases, 20 errors and 100 values of any event, as a run's rolling buffers."""
+    out, ckpt = _folders(spark)
+    rows = _events(spark, sf).select("event_id", "ts", "event_type", "value")
+    kind = F.when(F.col("event_type") == "purchase", F.array(F.lit("relation"), F.lit("duration"))).when(
+        F.col("event_type") == "error", F.array(F.lit("error"), F.lit("duration"))).otherwise(F.array(F.lit("duration")))
+    named = rows.withColumn("buffer", F.explode(kind))
+    inc.rolling_buffers(named, {"relation": 8, "error": 20, "duration": 100}, ["ts", "event_id"], out, ckpt).awaitTermination()
+    return inc.latest(spark, out).select("buffer", "event_id", "event_type", "value")
+
+
+def stream_follow(spark, sf):
+    """A consumer that follows the counters and ends once all events of the table are counted."""
+    out, ckpt = _folders(spark)
+    every = table(spark, sf, "events").count()
+    query = inc.running_counts(_events(spark, sf), "event_type", out, ckpt, every="500 milliseconds")
+    status = inc.follow(spark, query, out, lambda counts: counts.agg(F.sum("n")).first()[0] >= every, refresh=0.5, limit=3600.0)
+    return inc.latest(spark, out).withColumn("status", F.lit(status))
+
+
 def stream_triples(spark, sf):
     out, ckpt = _folders(spark)
     docs = inc.stream_of(spark, f"{sf}/documents*.parquet", table(spark, sf, "documents").schema)
@@ -88,6 +108,8 @@ QUERIES = {
     "t04_stream_counts": stream_counts,
     "t03_stream_first_seen": stream_first_seen,
     "t06_stream_recent": stream_recent,
+    "d08_stream_buffers": stream_buffers,
+    "t05_stream_follow": stream_follow,
     "t01_stream_triples": stream_triples,
     "s15_dot_lines": dot_lines,
     "s14_graphml_lines": graphml_lines,

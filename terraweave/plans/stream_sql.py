@@ -29,6 +29,11 @@ SQL = {
     "t04_stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "t03_stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "t06_stream_recent": "SELECT event_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "d08_stream_buffers": """WITH b AS (SELECT 'duration' AS buffer, * FROM events UNION ALL SELECT 'relation', * FROM events WHERE event_type = 'purchase'
+        UNION ALL SELECT 'error', * FROM events WHERE event_type = 'error'),
+      r AS (SELECT *, row_number() OVER (PARTITION BY buffer ORDER BY ts DESC, event_id DESC) AS i FROM b)
+      SELECT buffer, event_id, event_type, value FROM r WHERE i <= CASE buffer WHEN 'relation' THEN 8 WHEN 'error' THEN 20 ELSE 100 END""",
+    "t05_stream_follow": "SELECT event_type, count(*) AS n, 'complete' AS status FROM events GROUP BY 1",
     "t01_stream_triples": f"""WITH {P.windows(3, 3)}, {P.hits('wins', 'doc_id, window_id')}
       SELECT doc_id, window_id, ord, location_1, spatial_indicator, location_2 FROM trips""",
     "s12_jsonl_round_trip": f"""WITH {P.EDGES} SELECT sentence_id, location_1, indicator AS spatial_indicator, location_2, count(*) AS n
