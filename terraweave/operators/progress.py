@@ -50,3 +50,10 @@ def window_stats(records: DataFrame) -> DataFrame:
     return records.agg(
         F.count(F.lit(1)).alias("windows"), F.count_if(n > 0).alias("windows_with_relations"),
         F.coalesce(F.sum(n), F.lit(0)).alias("relations"), F.count_if(F.col("_error").isNotNull()).alias("errors"))
+
+
+def answer_log(answers: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Progress of a model's run per document: chunks, those that failed, attempts and relations as answered."""
+    return answers.groupBy(by).agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("_error").isNotNull()).alias("failed"),
+        F.sum(F.size("attempts")).cast("long").alias("attempts"), F.sum(F.size("relations")).cast("long").alias("relations"))

@@ -16,9 +16,9 @@ from ..functions import geo, lexicon as lx
 from ..functions.names import FICTIONAL
 from ..functions.text import drop_leading_the, slug
 from ..operators import (constraints as cn, diagnostics as dg, entities as en, extract, graph, grounding,
-                         joint as jt, relations as rl, sampling as sm, segment)
+                         joint as jt, progress, relations as rl, sampling as sm, segment)
 from ..operators.ordering import with_global_position
-from ..session import cut
+from ..session import cut, scratch
 from ..sources import readers, writers
 from ..sources.cache import CacheTable
 
@@ -150,6 +150,7 @@ def _model_answers(r: Run, chunks: DataFrame) -> DataFrame:
     asked.write.mode("append").parquet(f"{path}/run={run}")
     answers = r.load("joint_answers")
     r.save("failed_chunks", jt.dead_letters(answers, CHUNK))
+    r.save("answer_log", progress.answer_log(jt.latest(answers, CHUNK)))
     return jt.latest(answers.where(F.col("_error").isNull()), CHUNK)
 
 
@@ -337,4 +338,12 @@ def run_stages(spark: SparkSession, cfg: dict, only: int | None = None, force: b
     for i, (name, stage) in enumerate(STAGES, 1):
         if only in (None, i):
             log.info("stage %d: %s", i, name)
-            stage(r)
+            began, status = time.time(), "error"
+            try:
+                with scratch(spark):  # a stage reads what others saved and saves its own
+                    stage(r)
+                status = "complete"
+            finally:
+                row = [(i, name, status, int(began), round(time.time() - began, 2))]
+                spark.createDataFrame(row, "number int, stage string, status string, started long, seconds double").write.mode(
+                    "append").parquet(r.path("run_log"))

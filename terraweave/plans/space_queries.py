@@ -168,6 +168,10 @@ def joint_candidates(spark, sf):
                       "entity_2", "entity_2_type", "entity_2_class", "confidence", "distance_value", "distance_unit")
 
 
+def answer_log(spark, sf):
+    return progress.answer_log(_asked(spark, sf))
+
+
 def attempt_history(spark, sf):
     """Attempts of that model on each chunk; chunks that failed to the end are dead letters."""
     asked = _asked(spark, sf)
@@ -610,6 +614,7 @@ QUERIES = {
     "a06_entity_registry": entity_registry,
     "i11_joint_candidates": joint_candidates,
     "i12_attempt_history": attempt_history,
+    "s28_answer_log": answer_log,
     "j08_mention_positions": mention_positions,
     "i10_span_registry": span_registry,
     "i10_clustered_registry": clustered_registry,

@@ -459,6 +459,12 @@ SQL = {
     "i12_attempt_history": f"""WITH {P.chunks()}, n AS (SELECT doc_id, chunk, length(sentence) AS n FROM chunks),
       a AS (SELECT *, CASE WHEN n % 17 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END AS k FROM n)
       SELECT doc_id, chunk, k::BIGINT AS n_attempts, round(0.05 + 0.05 * k::DOUBLE, 2) AS temperature, k > 1 AS strict, n % 17 = 0 AS failed FROM a""",
+    "s28_answer_log": f"""WITH {JOINT}, c AS (SELECT doc_id, chunk, length(sentence) AS n FROM chunks),
+      t AS (SELECT doc_id, chunk, count(*) AS k FROM trips GROUP BY 1, 2)
+      SELECT c.doc_id, count(*) AS chunks, count(*) FILTER (WHERE n % 17 = 0) AS failed,
+        sum(CASE WHEN n % 17 = 0 THEN 3 WHEN n % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS attempts,
+        sum(CASE WHEN n % 17 = 0 THEN 0 ELSE coalesce(k, 0) END)::BIGINT AS relations
+      FROM c LEFT JOIN t ON t.doc_id = c.doc_id AND t.chunk = c.chunk GROUP BY 1""",
     "d04_relation_candidates": f"""WITH {JOINT} SELECT r.doc_id, r.chunk, r.ord, relation_type, a.canon AS entity_1, b.canon AS entity_2, confidence
       FROM jr r JOIN jn x ON x.doc_id = r.doc_id AND x.chunk = r.chunk AND x.pos = r.ord * 2
       JOIN jf a ON a.doc_id = r.doc_id AND a.chunk = r.chunk AND a.norm = x.norm

@@ -6,6 +6,8 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_scratch()
 
 
+_scopes: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that ``cut`` writes inside and removes them at the end.
+
+    For work that has written its results by then: a frame that still reads such a table cannot be used afterwards.
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
@@ -68,6 +95,8 @@ def cut(df: DataFrame) -> DataFrame:
     small states are broadcast and large ones are not.
     """
     path = os.path.join(shared_dir(df.sparkSession), "lineage", uuid.uuid4().hex)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terraweave import cli
 from terraweave.plans import flows
+from terraweave.session import shared_dir
 from terraweave.sources import readers, writers
 from terraweave.streaming import incremental as inc
 
@@ -15,6 +16,11 @@ TEXT = ("*** START OF THE PROJECT GUTENBERG EBOOK T ***\n" + " ".join(
     + "\n*** END OF THE PROJECT GUTENBERG EBOOK T ***\n")
 
 
+def scratch_tables(spark):
+    folder = os.path.join(shared_dir(spark), "lineage")
+    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+
+
 def joined(path):
     parts = sorted(f for f in os.listdir(path) if f.startswith("part-"))
     return "".join(open(os.path.join(path, f), encoding="utf-8").read() for f in parts)
@@ -47,6 +53,7 @@ def test_text_to_graph(spark, tmp_path):
 
 
 def test_staged_run(spark, tmp_path):
+    left = scratch_tables(spark)
     raw = tmp_path / "raw"
     raw.mkdir()
     (raw / "the_text.txt").write_text(TEXT, encoding="utf-8")
@@ -61,6 +68,7 @@ def test_staged_run(spark, tmp_path):
     ents = {r["canonical_name"]: r["type"] for r in load("grounded").collect()}
     assert ents["Avon"] == "real"
     assert load("latent").count() >= 1 and load("constraints").count() >= 1
+    assert scratch_tables(spark) == left  # nothing that a stage cut stays behind
     post = load("posterior").collect()
     assert len(post) == load("latent").count()
     assert all(r["semi_major"] >= r["semi_minor"] >= 0 for r in post)
@@ -70,6 +78,8 @@ def test_staged_run(spark, tmp_path):
     known = {r["key"]: (r["lat"], r["seen"]) for r in load("geocode_cache").collect()}
     assert known["avon"][0] == 40.9 and all(k not in known for k in ("egg", "west"))
     assert load("acceptance").where("chain_id = 0").agg(F.sum("sweeps")).first()[0] == 5
+    log = load("run_log").orderBy("number").collect()
+    assert [r["stage"] for r in log] == [name for name, _ in flows.STAGES] and {r["status"] for r in log} == {"complete"}
     # a second run looks up nothing: with an empty gazetteer it finds the same places
     before = {tuple(r) for r in load("grounded").collect()}
     gaz.write_text(json.dumps(dict(name="Nowhere", rank=0, lat=0.0, lon=0.0, display_name="US")))

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from terraweave.functions import geo
 from terraweave.operators import constraints as cn, diagnostics as dg, entities as en, grounding, relations as rl, sampling as sm
 from terraweave.plans import flows, space_queries
+from terraweave.session import shared_dir
 
 
 def value(spark, column):
@@ -182,7 +184,10 @@ def test_walk_equals_plain_rounds(spark, most):
     people = spark.createDataFrame([(e, e) for e in latent], "entity_id string, name string")
     kept: dict = {}
     want = plain_walk(cons, latent, fixed, s, heavy, kept)
+    folder = os.path.join(shared_dir(spark), "lineage")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     got = {(r["chain_id"], r["sample_id"] // 3, r["entity_id"]): (r["x"], r["y"]) for r in sm.walk(frame, people, points, s).draws.collect()}
+    assert set(os.listdir(folder)) == before  # the walk removes its own tables, only the rounds stay
     assert got.keys() == want.keys() and len(kept) == 6
     for k, spot in want.items():
         assert got[k] == pytest.approx(spot, abs=2e-4)
