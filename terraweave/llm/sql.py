@@ -39,12 +39,12 @@ SQL = {
               OR 10 * n_dup_lines > 3 * n_lines OR 2 * length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) > length(t) AS bad FROM m)
       SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
       FROM f""",
-    "op4_line_dedup": f"""WITH s AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-      l AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s),
+    "op4_line_dedup": f"""WITH s AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+      l AS (SELECT doc_id, source, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s),
       b AS (SELECT *, trim(line, {_BLANKS}) AS bare FROM l),
-      n AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),
+      n AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INTEGER) AS total FROM documents GROUP BY 1),
       k AS (SELECT b.source, bare FROM b JOIN n ON b.source IS NOT DISTINCT FROM n.source WHERE bare <> ''
-            GROUP BY b.source, bare HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * any_value(total)),
+            GROUP BY b.source, bare HAVING count(DISTINCT text) >= 5 AND count(DISTINCT text) > 0.1 * any_value(total)),
       g AS (SELECT b.*, k.bare IS NOT NULL AS gone FROM b LEFT JOIN k ON b.source IS NOT DISTINCT FROM k.source AND b.bare = k.bare),
       o AS (SELECT doc_id, source, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS t FROM g GROUP BY doc_id, source)
