@@ -102,3 +102,19 @@ def test_near_copies_and_quotations_are_kept(spark):
     assert got[9] == f"{story}\nprinted on day 2" and got[21] == f"{story}\nprinted on day 1"
     assert got[30] == got[0]
     assert {r.page_id: r.text for r in html_extract.main_text(df, page_share=0.3, min_pages=4).collect()}[3] == f"{own(3)}\n{quoted}"
+
+
+def test_stray_quotes_lose_no_text():
+    page = "<article><p title='it's'>kept text</p><p>next's</p><a href=x'y>a</a><p class = \"q>r\">after</p><p id=\"open>last</p></article>"
+    assert [t for _, t in blocks(page)] == ["kept text", "next's", "a", "after", "last"]
+    assert [t for _, t in blocks("1 < 2 <b>and</b> 3 > 2 </ x>y<3")] == ["1 < 2 and 3 > 2 y<3"]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a b='x ", "<a b=\"x> ", "<!-- ", "<p title=", "<style>", "</", "<svg a='", "<b c='d' "])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    page = "<article><p>text</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    assert blocks(page)[0][1] == "text"
+    assert time.process_time() - began < 4
