@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -99,12 +98,3 @@ def cut(df: DataFrame) -> DataFrame:
         _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now.
-
-    It does so once the driver's collector has seen that no frame refers to them, which by itself can take half an hour.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
