@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import geo
 from ..session import cut
-from .constraints import at_positions, param_columns
+from .draw_cells import per_sample, with_defaults
 from .ordering import with_position
 
 MIN_DRAWS = 4                               # fewer draws give nulls
@@ -261,10 +260,8 @@ def satisfaction_per_sample(constraints: DataFrame, fixed: DataFrame, draws: Dat
                             evaluable_only: bool = False) -> DataFrame:
     """Fraction of satisfied constraints in every sample.
 
-    Constraints meet the draws by equality on their end points, never as a full
-    product: ends on latent entities multiply by the samples, those on fixed
-    entities are looked up once. Equal constraints are merged with a count
-    first. A missing second end falls on the first; a constraint whose first
+    Equal constraints are merged with a count first; blocks of samples then meet groups of
+    constraints (``draw_cells``). A missing second end falls on the first; a constraint whose first
     end has no position, or that names one entity only (coast relations aside),
     leaves the count.
     """
@@ -272,47 +269,22 @@ def satisfaction_per_sample(constraints: DataFrame, fixed: DataFrame, draws: Dat
     used = constraints.where(F.col("e2").isNotNull() | (F.col("type") == "on_coast"))
     if evaluable_only:
         used = used.where(F.col("type").isin(INFERABLE))
-    merged = used.groupBy("type", "e1", "e2", *PARAMS).agg(F.count(F.lit(1)).alias("times"))
+    # scored by the near term alone; types without geometry hold wherever the first end is
+    kind = F.when(F.col("type").isin("co_occurrence", "across"), "near").when(F.col("type").isin(
+        "north_of", "south_of", "east_of", "west_of", "near", "far", "distance_approx"), F.col("type")).otherwise("other")
+    merged = used.withColumn("type", kind).select("type", "e1", "e2", *with_defaults(F.col("type"))).groupBy(
+        "type", "e1", "e2", *PARAMS).agg(F.count(F.lit(1)).alias("weight"))
     spot = lambda n: fixed.select(F.col("entity_id").alias(f"e{n}"), F.col("x").alias(f"fx{n}"), F.col("y").alias(f"fy{n}"))
-    pos = lambda n: draws.select("sample_id", F.col("entity_id").alias(f"e{n}"), F.col("x").alias(f"dx{n}"), F.col("y").alias(f"dy{n}"))
-    base = merged.join(spot(1), "e1", "left").join(spot(2), "e2", "left")
-    f1, f2 = F.col("fx1").isNotNull(), F.col("fx2").isNotNull()
-
-    def scored(rows, x1, y1, x2, y2, keys):
-        a, b = F.coalesce(x2, x1), F.coalesce(y2, y1)
-        pen = geo.penalty(F.col("type"), x1, y1, a, b, param_columns(), for_energy=False)
-        return rows.groupBy(*keys).agg(
-            F.sum(F.when(pen < SATISFIED, F.col("times")).otherwise(0)).alias("ok"), F.sum("times").alias("all"))
-
-    c = F.col
-    none = F.lit(None).cast("double")
-    moving1 = base.where(~f1).join(pos(1), "e1")
-    both = scored(moving1.where(~f2).join(pos(2), ["sample_id", "e2"], "left"),
-                  c("dx1"), c("dy1"), c("dx2"), c("dy2"), ["sample_id"])
-    first = scored(moving1.where(f2), c("dx1"), c("dy1"), c("fx2"), c("fy2"), ["sample_id"])
-    # first end fixed, second latent: the sample decides; absent there -> same point
-    second = base.where(f1 & ~f2)
-    met = second.join(pos(2), "e2")
-    second_in = scored(met, c("fx1"), c("fy1"), c("dx2"), c("dy2"), ["sample_id"])
-    # as many samples as draw the second end see it; the rest see the first end twice
-    at_rest = second.withColumn("_pen", geo.penalty(
-        c("type"), c("fx1"), c("fy1"), c("fx1"), c("fy1"), param_columns(), for_energy=False))
-    missing = at_rest.agg(F.struct(
-        F.coalesce(F.sum(F.when(c("_pen") < SATISFIED, c("times")).otherwise(0)), F.lit(0)).alias("ok"),
-        F.coalesce(F.sum("times"), F.lit(0)).alias("all"))).scalar()
-    seen = at_rest.join(pos(2), "e2").groupBy("sample_id").agg(
-        F.sum(F.when(c("_pen") < SATISFIED, c("times")).otherwise(0)).alias("s_ok"), F.sum("times").alias("s_all"))
-    still = scored(base.where(f1 & f2), c("fx1"), c("fy1"), c("fx2"), c("fy2"), []).select(F.struct(
-        F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("all", F.lit(0)).alias("all"))).scalar()
-    per = both.unionByName(first).unionByName(second_in).groupBy("sample_id").agg(
+    terms = cut(merged.join(spot(1), "e1", "left").join(spot(2), "e2", "left").withColumn("d1", F.col("fx1").isNull()).withColumn(
+        "d2", F.col("fx2").isNull() & F.col("e2").isNotNull()).where(F.col("e1").isNotNull()))
+
+    def fold(value, there, void, weight):
+        return [weight @ ((value < SATISFIED) & there), weight @ there]
+
+    per = per_sample(terms, draws, True, fold, {"ok": "long", "all": "long"}).groupBy("sample_id").agg(
         F.sum("ok").alias("ok"), F.sum("all").alias("all"))
-    samples = draws.select("sample_id").distinct()
-    z = lambda n: F.coalesce(F.col(n), F.lit(0))
-    joined = samples.join(per, "sample_id", "left").join(seen, "sample_id", "left").withColumn(
-        "_m", missing).withColumn("_f", still)
-    ok = z("ok") + z("_f.ok") + z("_m.ok") - z("s_ok")
-    every = z("all") + z("_f.all") + z("_m.all") - z("s_all")
-    return joined.select("sample_id", F.when(every > 0, ok / every).otherwise(F.lit(1.0)).alias("score"))
+    joined = draws.select("sample_id").distinct().join(per, "sample_id", "left")
+    return joined.select("sample_id", F.when(F.col("all") > 0, F.col("ok") / F.col("all")).otherwise(F.lit(1.0)).alias("score"))
 
 
 def satisfaction(scores: DataFrame) -> DataFrame:
@@ -389,8 +361,8 @@ def posterior_summary(draws: DataFrame, names: DataFrame, scores: DataFrame, mod
         moments(draws).join(ellipse(draws), "entity_id").join(entropy(draws), "entity_id")
         .join(r_hat(draws), "entity_id", "left").join(effective_sample_size(draws), "entity_id", "left")
         .join(names, "entity_id", "left")
-        .withColumn("constraint_satisfaction_mean", scores.agg(F.avg("score")).scalar())
-        .withColumn("constraint_satisfaction_std", scores.agg(F.stddev_pop("score")).scalar())
+        .withColumn("_s", satisfaction(scores).select(F.struct("constraint_satisfaction_mean", "constraint_satisfaction_std")).scalar())
+        .select("*", "_s.*").drop("_s")
     )
     if modes:
         out = out.join(mode_count(draws), "entity_id", "left")
