@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
@@ -297,37 +298,100 @@ def satisfaction(scores: DataFrame) -> DataFrame:
 SETTLED = 1e-9   # a centre that moves less has only been summed in another order
 STEPS = 6        # of a job
 
+
+POINTS = 1 << 21  # draws of an entity that one task clusters
+PIECE = 1 << 15   # points whose distances are taken at once
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, cs: np.ndarray) -> tuple[np.ndarray, float]:
+    """The first nearest centre of each point, and the sum of the squared distances."""
+    label, total = np.zeros(len(x), np.int8), 0.0
+    for lo in range(0, len(x), PIECE):
+        px, py, own = x[lo:lo + PIECE], y[lo:lo + PIECE], label[lo:lo + PIECE]
+        best = None
+        for j, (cx, cy) in enumerate(cs):
+            d, e = cx - px, cy - py
+            d *= d
+            e *= e
+            d += e
+            if best is None:
+                best = d
+                continue
+            own[d < best] = j
+            np.minimum(best, d, out=best)
+        total += float(best.sum())
+    return label, total
+
+
+def _settle(x: np.ndarray, y: np.ndarray, cs: np.ndarray) -> float:
+    """Squared distances that are left when no centre moves any more; centres without points drop out."""
+    while True:
+        label, _ = _nearest(x, y, cs)
+        n = np.bincount(label, minlength=len(cs))
+        at = np.stack([np.bincount(label, weights=v, minlength=len(cs))[n > 0] / n[n > 0] for v in (x, y)], axis=1)
+        at, old = at[np.lexsort((at[:, 1], at[:, 0]))], cs[np.lexsort((cs[:, 1], cs[:, 0]))]
+        cs = at
+        if len(at) == len(old) and np.abs(at - old).max() <= SETTLED:
+            return _nearest(x, y, cs)[1]
+
+
 def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 5) -> DataFrame:
     """Number of modes per entity: k-means for k = 1..max_k, least ``sse/n + 2k ln(n)/n``.
 
-    All entities, all k and all starts move together: a round is one join of the
-    draws with the centres of their entity (at most ``starts * max_k*(max_k+1)/2``
-    of them) and one partially aggregated group-by. Starting centres are the draws
-    with the least MD5 digest of a number, their chain and their sample. Rounds end
-    when no centre moves.
+    Starting centres are the draws with the least MD5 digest of a number, their chain and their sample. Rounds end when no
+    centre moves. An entity of at most ``POINTS`` draws meets the centres of one start per task and stays there for all
+    rounds. Larger ones, and those with unset coordinates, move together: a round is one join of the draws with the centres
+    of their entity (at most ``starts * max_k*(max_k+1)/2`` of them) and one partially aggregated group-by.
     """
     points = draws.select("entity_id", "x", "y")
     named = [c for c in ("chain_id", "sample_id") if c in draws.columns] or ["x", "y"]
     h = lambda s: F.struct(F.md5(F.concat_ws(":", F.lit(str(s)), *[F.col(c).cast("string") for c in named])), "x", "y")
-    picks = []
-    for s in range(starts):
-        for k in range(1, max_k + 1):
-            for c in range(k):
-                picks.append(F.min_by(F.struct("x", "y"), h(s * 100 + c)).alias(f"p{s}_{k}_{c}"))
-    seeds = draws.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), *picks)
-    run = lambda s, k: F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"), F.array(
-        *[F.col(f"p{s}_{k}_{c}") for c in range(k)]).alias("cs"))
-    centres = seeds.select("entity_id", F.inline(F.array(
-        *[run(s, k) for s in range(starts) for k in range(1, max_k + 1)])))
+    picks = [F.min_by(F.struct("x", "y"), h(s * 100 + c)).alias(f"p{s}_{c}") for s in range(starts) for c in range(max_k)]
+    odd = lambda v: F.col(v).isNull() | F.isnan(v)
+    pts = cut(points)
+    seeds = cut(draws.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(odd("x") | odd("y")).alias("odd"), *picks))
+    run = ["entity_id", "s", "k"]
+    one = lambda s, k: F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"), F.array(*[F.col(f"p{s}_{c}") for c in range(k)]).alias("cs"))
+    runs = lambda rows: rows.select("entity_id", F.inline(F.array(*[one(s, k) for s in range(starts) for k in range(1, max_k + 1)])))
+    small = F.col("entity_id").isNotNull() & (F.col("n") <= POINTS) & ~F.col("odd")
+    sse = _settled_runs(pts, seeds.where(small), runs, starts)
+    rest = seeds.where(~small)
+    if not rest.isEmpty():
+        sse = sse.unionByName(_settled_rounds(pts.join(rest.select("entity_id"), "entity_id", "left_semi"), runs(rest), run))
+    best = sse.groupBy("entity_id", "k").agg(F.min("sse").alias("sse"), F.first("n").alias("n"))
+    bic = F.col("sse") / F.col("n") + F.col("k") * F.log("n") * 2 / F.col("n")
+    out = best.groupBy("entity_id").agg(F.min_by("k", F.struct(bic.alias("b"), F.col("k").alias("k"))).alias("k"),
+                                        F.first("n").alias("n"))
+    return out.select("entity_id", F.when(F.col("n") < max_k * 2, 1).otherwise(F.col("k")).cast("int").alias("num_modes"))
+
+
+def _settled_runs(pts: DataFrame, seeds: DataFrame, runs, starts: int) -> DataFrame:
+    """(entity_id, s, k, sse, n) of entities whose draws fit a task; a task has all runs of one start."""
+    of_start = pts.join(seeds.select("entity_id"), "entity_id", "left_semi").withColumn(
+        "s", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    kind = pts.schema["entity_id"].dataType.simpleString()
+
+    def meet(held: pa.Table, spots: pa.Table) -> pa.Table:
+        x, y = (spots[c].to_numpy() for c in "xy")
+        centres = [np.array([(c["x"], c["y"]) for c in cs]) for cs in held["cs"].to_pylist()]
+        return pa.table({"entity_id": held["entity_id"], "s": held["s"], "k": held["k"],
+                         "sse": pa.array([_settle(x, y, cs) for cs in centres], pa.float64()),
+                         "n": pa.array([len(x)] * len(centres), pa.int64())})
+
+    tasks = 4 * pts.sparkSession.sparkContext.defaultParallelism  # few rows, long work: not to be merged by size
+    of_start = of_start.select(F.col("entity_id").alias("of"), F.col("s").alias("at"), "x", "y").repartition(tasks, "of", "at")
+    return cut(runs(seeds).repartition(tasks, "entity_id", "s").groupBy("entity_id", "s").cogroup(
+        of_start.groupBy("of", "at")).applyInArrow(meet, f"entity_id {kind}, s int, k int, sse double, n long"))
+
+
+def _settled_rounds(pts: DataFrame, centres: DataFrame, run: list[str]) -> DataFrame:
+    """The same for entities of any size: all runs of all of them go round by round."""
 
     def nearest(rows):
         d2 = lambda p: (p["x"] - F.col("x")) * (p["x"] - F.col("x")) + (p["y"] - F.col("y")) * (p["y"] - F.col("y"))
         best = F.array_min(F.transform("cs", lambda p, i: F.struct(d2(p).alias("d"), i.alias("c"))))
         return rows.select("entity_id", "s", "k", "x", "y", "cs", best.alias("b"))
 
-    pts = cut(points)
-    run = ["entity_id", "s", "k"]
-
     def step(at):
         moved = nearest(pts.join(at, "entity_id")).groupBy(*run, F.col("b.c").alias("c")).agg(
             F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("p"), F.first("cs").alias("old"))
@@ -345,13 +409,8 @@ def mode_count(draws: DataFrame, max_k: int = 5, starts: int = 5) -> DataFrame:
         settled.append(after.where("not far").drop("far"))
         going = after.where("far").drop("far")
     centres = reduce(DataFrame.unionByName, settled) if settled else going
-    sse = nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k").agg(
+    return nearest(pts.join(centres, "entity_id")).groupBy("entity_id", "s", "k").agg(
         F.sum("b.d").alias("sse"), F.count(F.lit(1)).alias("n"))
-    best = sse.groupBy("entity_id", "k").agg(F.min("sse").alias("sse"), F.first("n").alias("n"))
-    bic = F.col("sse") / F.col("n") + F.col("k") * F.log("n") * 2 / F.col("n")
-    out = best.groupBy("entity_id").agg(F.min_by("k", F.struct(bic.alias("b"), F.col("k").alias("k"))).alias("k"),
-                                        F.first("n").alias("n"))
-    return out.select("entity_id", F.when(F.col("n") < max_k * 2, 1).otherwise(F.col("k")).cast("int").alias("num_modes"))
 
 
 def posterior_summary(draws: DataFrame, names: DataFrame, scores: DataFrame, modes: bool = True) -> DataFrame:

@@ -72,3 +72,18 @@ def test_positions_are_not_multiplied_by_constraints(spark, case):
     _, _, _, table, draws, points = case
     plan = dg.satisfaction_per_sample(table, points, draws)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (sample_id" not in plan and "CoGroup" in plan
+
+
+def test_modes_inside_a_task_and_in_rounds(spark, monkeypatch):
+    """Entities that fit a task stay there; larger ones go in rounds over all, to the same result."""
+    rng = random.Random(2)
+    rows = [(f"e{e}", rng.gauss(30 * (i % (e + 1)), 0.2), rng.gauss(0, 0.2)) for e in range(3) for i in range(60)]
+    draws = spark.createDataFrame([*rows, ("e3", 1.0, 1.0), ("e3", 2.0, None)], "entity_id string, x double, y double")
+    inside, rounds = [], dg._settled_rounds
+    monkeypatch.setattr(dg, "_settled_rounds", lambda pts, *rest: inside.append(
+        sorted(r[0] for r in pts.select("entity_id").distinct().collect())) or rounds(pts, *rest))
+    got = {r["entity_id"]: r["num_modes"] for r in dg.mode_count(draws, max_k=3, starts=2).collect()}
+    assert inside == [["e3"]] and [got[f"e{e}"] for e in range(3)] == [1, 2, 3]
+    monkeypatch.setattr(dg, "POINTS", 10)
+    assert {r["entity_id"]: r["num_modes"] for r in dg.mode_count(draws, max_k=3, starts=2).collect()} == got
+    assert inside[1] == ["e0", "e1", "e2", "e3"]
