@@ -38,13 +38,13 @@ def quality(entities: DataFrame, always: list[str] | None = None) -> DataFrame:
 def commit(relations: DataFrame, mapping: DataFrame, good: DataFrame, order: list[str]) -> DataFrame:
     """Resolve both ends through ``mapping(name, canonical)``, keep good ends, drop
     self relations, deduplicate."""
-    m = lambda n: mapping.select(F.col("name").alias(f"entity_{n}"), F.col("canonical").alias(f"_c{n}"))
-    names = good.select("canonical_name").distinct()
-    ok = lambda n: names.select(F.col("canonical_name").alias(f"_c{n}"), F.lit(True).alias(f"_ok{n}"))
+    # names meet the good entities first, so each end of the relations is shuffled once, and hashed, not sorted
+    names = good.select(F.col("canonical_name").alias("canonical"), F.lit(True).alias("_ok")).distinct()
+    known = mapping.select("name", "canonical").join(names, "canonical", "left")
+    m = lambda n: known.select(F.col("name").alias(f"entity_{n}"), F.col("canonical").alias(f"_c{n}"), F.col("_ok").alias(f"_ok{n}"))
     out = (
-        relations.join(m(1), "entity_1").join(m(2), "entity_2", "left")
+        relations.join(m(1).where("_ok1").hint("shuffle_hash"), "entity_1").join(m(2).hint("shuffle_hash"), "entity_2", "left")
         .where(F.col("entity_2").isNull() | F.col("_c2").isNotNull())
-        .join(ok(1), "_c1").join(ok(2), "_c2", "left")
         .where(F.col("_c2").isNull() | F.col("_ok2"))
         .where(F.col("_c2").isNull() | (F.col("_c1") != F.col("_c2")))
         .withColumn("entity_1", F.col("_c1")).withColumn("entity_2", F.col("_c2"))
