@@ -73,6 +73,14 @@ def registry(found: DataFrame, fictional: list[str] = FICTIONAL) -> DataFrame:
         F.col("f.ner_label").alias("ner_label"), "mention_count", "doc_count")
 
 
+def chunk_names(relations: DataFrame) -> DataFrame:
+    """(doc_id, chunk, norm, canon) of ``chunk_entities``, without a search for mentions; needs no sentences."""
+    ends = relations.select("doc_id", "chunk", F.posexplode(F.array("entity_1", "entity_2")).alias("side", "raw"), "ord").where(
+        F.col("raw").isNotNull()).withColumn("canon", canonical("raw"))
+    return ends.groupBy("doc_id", "chunk", fold("canon").alias("norm")).agg(
+        F.min_by("canon", F.col("ord") * 2 + F.col("side")).alias("canon"))
+
+
 def remap(relations: DataFrame, found: DataFrame) -> DataFrame:
     """Relation endpoints take the spelling their chunk registered first."""
     names = found.select("doc_id", "chunk", "norm", "canon")
