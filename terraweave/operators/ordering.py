@@ -16,12 +16,21 @@ from ..session import cut
 BLOCK = 65_536
 
 
+NO_BLOCK = -(2 ** 63)  # of rows without an order; before all blocks, as nulls sort
+
+
 def _block(order: str, block: int) -> Column:
-    return F.floor(F.col(order) / F.lit(block)).cast("long")
+    return F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("long"), F.lit(NO_BLOCK))
 
 
-def _meet(rows: DataFrame, summaries: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with the summary of their block; null keys and null blocks meet, too."""
+def _meet(rows: DataFrame, summaries: DataFrame, by: list[str], whole: bool = False) -> DataFrame:
+    """Rows with the summary of their block; null keys and null blocks meet, too.
+
+    Without keys rows lie by their block already, so a join on it alone does not shuffle them again; ``whole`` keeps
+    blocks that may be null.
+    """
+    if by == ["_blk"] and not whole:
+        return rows.join(summaries, "_blk")
     side = summaries.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in summaries.columns if c not in by])
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     on = same[0]
@@ -67,7 +76,7 @@ def with_previous(df: DataFrame, keys: list[str], order: str, value: str,
     carried = tails.select(
         *by, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_carry"))
     return (
-        _meet(local, carried, by)
+        _meet(local, carried, by, coarse is not None)
         .withColumn(name, F.when(F.col("_head"), F.col("_carry")).otherwise(F.col("_lag")))
         .drop("_lag", "_head", "_carry", "_blk")
     )

@@ -24,3 +24,21 @@ def test_specs_are_derived_once(spark):
 
 def test_texts_are_read_once_for_candidates(spark):
     assert not [f for f in sq.relation_candidates(spark, SF).inputFiles() if "documents" in f]
+
+
+def test_numbering_without_keys_shuffles_rows_once(spark):
+    from terraweave.operators.ordering import with_position
+    rows = spark.range(10).selectExpr("id", "nullif(id * 40000, 0) as at")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = with_position(rows, [], "at")
+        assert plan(placed).count("Exchange hashpartitioning") <= 3  # rows, counts of the blocks, their sums
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [r["pos"] for r in placed.orderBy("id").collect()] == list(range(10))  # the one without an order comes first
+
+
+def test_sampler_model_carries_only_what_is_evaluated(spark):
+    kept, _, _ = sq._model(spark, SF)
+    assert "source_relation_id" not in kept.columns and not kept.where("type = 'within'").head(1)
