@@ -65,16 +65,17 @@ def fold(c: Column | str) -> Column:
 def strip_licence(c: Column | str) -> Column:
     """Keep what lies between the licence header and footer, if present."""
     body = F.regexp_replace(col(c), LICENCE_HEADER, "")
-    return strip(F.regexp_replace(body, LICENCE_FOOTER, ""))
+    marked = F.contains(col(c), F.lit("***"))  # either marker holds three stars; few texts do
+    return strip(F.when(marked, F.regexp_replace(body, LICENCE_FOOTER, "")).otherwise(col(c)))
 
 
 def tidy(c: Column | str, ellipsis: bool = True) -> Column:
     """Line ends, control characters, blank lines and typographic punctuation."""
-    out = F.regexp_replace(col(c), r"\r\n?", "\n")
+    out = F.replace(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     out = F.regexp_replace(out, CONTROL, "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.translate(out, "’‘“”–", "''\"\"-")
-    out = F.replace(out, F.lit("—"), F.lit("--"))
+    for mark, plain in zip("’‘“”–—", ("'", "'", '"', '"', "-", "--")):  # byte searches, where translate looks up every character
+        out = F.replace(out, F.lit(mark), F.lit(plain))
     if ellipsis:
         out = F.replace(out, F.lit("…"), F.lit("..."))
     return out
@@ -167,7 +168,10 @@ def occurrences(text: Column, needle: Column) -> Column:
     Splitting at a zero-width look-ahead cuts the text right before each
     occurrence, so the running length of the pieces is the list of starts; the
     scan is linear in the text. A cut at position 0 produces no empty piece.
+    Most texts hold a needle once or not at all, which two plain searches tell without a pattern.
     """
+    first = F.instr(text, needle)
+    again = F.position(needle, text, first + 1)
     quoted = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     pieces = F.split(text, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")), -1)
     ends = F.aggregate(
@@ -179,7 +183,9 @@ def occurrences(text: Column, needle: Column) -> Column:
         ),
         lambda acc: acc["cuts"],
     )
-    return F.when(F.startswith(text, needle), ends).otherwise(F.slice(ends, 2, F.size(ends)))
+    every = F.when(F.startswith(text, needle), ends).otherwise(F.slice(ends, 2, F.size(ends)))
+    return F.when(needle == "", every).when(first == 0, F.array().cast("array<int>")).when(
+        again == 0, F.array(first - 1)).otherwise(every)
 
 
 def safe_tag(c: Column | str) -> Column:

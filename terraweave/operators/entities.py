@@ -17,16 +17,16 @@ from .ordering import with_global_position
 
 
 def find_mentions(name: Column, sents: Column, doc_id: Column) -> Column:
-    """All occurrences of ``name`` in the sentences of its own chunk, case-insensitive."""
+    """All occurrences of ``name`` in the sentences of its own chunk, case-insensitive; ``sents`` has them in lower case, too."""
     low = F.lower(name)
 
     def in_sentence(s):
-        return F.transform(occurrences(F.lower(s["text"]), low), lambda at: F.struct(
+        return F.transform(occurrences(s["low"], low), lambda at: F.struct(
             F.concat(doc_id.cast("string"), F.lit("_sent_"), s["idx"].cast("string")).alias("sentence_id"),
             at.alias("char_start"), (at + F.length(name)).alias("char_end"),
             snippet(s["text"], at, at + F.length(name)).alias("source_text")))
 
-    return F.flatten(F.transform(sents, in_sentence))
+    return F.flatten(F.transform(F.filter(sents, lambda s: F.contains(s["low"], low)), in_sentence))
 
 
 def chunk_entities(relations: DataFrame) -> DataFrame:
@@ -37,7 +37,9 @@ def chunk_entities(relations: DataFrame) -> DataFrame:
     searched while the chunk's sentences are still in the row, so the shuffle
     moves spans, not text.
     """
-    raw = relations.select("doc_id", "chunk", "ord", "sents", F.inline(F.array(*[F.struct(
+    lowered = relations.withColumn("sents", F.transform("sents", lambda s: F.struct(
+        s["idx"].alias("idx"), s["text"].alias("text"), F.lower(s["text"]).alias("low"))))  # once, not for each name
+    raw = lowered.select("doc_id", "chunk", "ord", "sents", F.inline(F.array(*[F.struct(
         F.lit(side).alias("side"), F.col(f"entity_{n}").alias("raw"),
         F.col(f"entity_{n}_type").alias("ner_label"), F.col(f"entity_{n}_class").alias("hint"),
     ) for side, n in ((0, 1), (1, 2))]))).where(F.col("raw").isNotNull())

@@ -162,3 +162,14 @@ def test_annotated_spans_feed_registry_and_coreference(spark):
     flipped = clusters.withColumn("pos", -F.col("pos"))
     new = en.propagate_coref(flipped, ents, known, "ord").collect()
     assert [(r["mention"], r["sentence_id"]) for r in new] == [("It", "d_sent_1")]
+
+
+def test_scan_finds_what_the_cue_pattern_finds():
+    import regex
+    text = ("the cat in the house, a dog in front of the house; Anna to the left of an oak  near Rome north of in the the in a "
+            "inside town underneath up on top of on it by by by the in front of")
+    for bare in (False, True):
+        plain = regex.compile("(?i)(?<!\\p{L})" + extract.cue_pattern(bare).removeprefix("(?i)"))
+        fast = regex.compile(extract.scan_pattern(bare))
+        for body in (text, text.upper(), text.replace(" ", "  "), text[::-1]):
+            assert [m.groups() for m in fast.finditer(body)] == [m.groups() for m in plain.finditer(body)]

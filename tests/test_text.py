@@ -96,3 +96,9 @@ def test_entity_classes(spark):
     assert joint("West Egg", "real") == "fictional" and joint("X", " Real") == "real"
     assert joint("Kansas City", "") == "real" and joint("Foo", "") == "uncertain"
     assert one(spark, "Lake Foo", nm.entity_class_wide) == "real"
+
+
+def test_mentions_are_searched_without_a_pattern_where_one_search_will_do(spark):
+    df = spark.createDataFrame([("", "a"), ("xax", "a"), ("aa", "a"), ("aaa", "aa"), (None, "a")], "t string, n string")
+    got = [r["o"] or [] for r in df.select(tx.occurrences(F.col("t"), F.col("n")).alias("o")).collect()]
+    assert got == [[], [1], [0, 1], [0, 1], []]
