@@ -42,3 +42,13 @@ def test_numbering_without_keys_shuffles_rows_once(spark):
 def test_sampler_model_carries_only_what_is_evaluated(spark):
     kept, _, _ = sq._model(spark, SF)
     assert "source_relation_id" not in kept.columns and not kept.where("type = 'within'").head(1)
+
+
+def test_model_gets_no_more_than_its_text(spark):
+    asked = sq._asked(spark, SF)
+    assert set(asked.columns) == {"doc_id", "chunk", "relations", "attempts", "_error"}
+    assert [f for f in asked.inputFiles() if "documents" in f]  # nothing is written in between
+
+
+def test_both_schemes_read_the_same_answers(spark):
+    assert len({f.rsplit("/", 2)[-2] for f in sq.score_markdown(spark, SF).inputFiles()}) == 1
