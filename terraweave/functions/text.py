@@ -185,7 +185,7 @@ def occurrences(text: Column, needle: Column) -> Column:
     )
     every = F.when(F.startswith(text, needle), ends).otherwise(F.slice(ends, 2, F.size(ends)))
     return F.when(needle == "", every).when(first == 0, F.array().cast("array<int>")).when(
-        again == 0, F.array(first - 1)).otherwise(every)
+        (first > 0) & (again == 0), F.array(first - 1)).otherwise(every)  # a search from nowhere gives 0
 
 
 def safe_tag(c: Column | str) -> Column:
