@@ -104,6 +104,59 @@ def test_near_copies_and_quotations_are_kept(spark):
     assert {r.page_id: r.text for r in html_extract.main_text(df, page_share=0.3, min_pages=4).collect()}[3] == f"{own(3)}\n{quoted}"
 
 
+def plain_texts(data, run=6):
+    """Main texts by counting all token strings of every host's distinct pages."""
+    from collections import Counter, defaultdict
+    hosts = defaultdict(set)
+    for _, url, html in data:
+        hosts[url.split("/")[2]].add(html)
+    common = {}
+    for host, different in hosts.items():
+        counts = Counter()
+        for html in different:
+            tokens = " ".join(t for _, t in blocks(html)).lower().split()
+            counts.update({tuple(tokens[i:i + run]) for i in range(len(tokens) - run + 1)})
+        common[host] = {s for s, n in counts.items() if n >= 5 and n > len(different) / 2}
+    out = {}
+    for page, url, html in data:
+        found = blocks(html)
+        tokens = " ".join(t for _, t in found).lower().split()
+        inside = set()
+        for i in range(len(tokens) - run + 1):
+            if tuple(tokens[i:i + run]) in common[url.split("/")[2]]:
+                inside.update(range(i, i + run))
+        kind = MAIN if any(k == MAIN for k, _ in found) else OPEN
+        at, own = 0, []
+        for k, text in found:
+            n = len(text.split())
+            if k == kind:
+                own.append((text, n, len(inside & set(range(at, at + n)))))
+            at += n
+        whole = kind == MAIN and sum(c for *_, c in own) > sum(n for _, n, _ in own) / 2
+        out[page] = "\n".join(t for t, n, c in own if whole or c < 0.8 * n)
+    return out
+
+
+def test_host_strings_decide_inside_articles(spark):
+    import random
+
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("aeiou") for _ in range(n))
+    note = "Follow us on all of the other places where this site writes"
+    part = [f"<article><h1>{said(5)}</h1><p>{said(30)}</p><p>{note}</p><p>{said(20)}</p></article>" for _ in range(7)]
+    part += [f"<article><p>{said(30)}</p></article><p>{note}</p>", f"<p>{said(20)}</p><div>{note}</div>"]
+    story = said(60)
+    data = [(i, f"http://h.org/{i}", PAGE.format(p)) for i, p in enumerate(part)]
+    data += [(20 + i, f"http://copies.org/{i}", PAGE.format(f"<article><p>{story}</p><p>day {i}</p></article>")) for i in range(8)]
+    data += [(40 + i, "http://few.org/", PAGE.format(f"<article><p>{said(30)}</p><p>{note}</p></article>")) for i in range(4)]
+    data += [(60 + i, "http://equal.org/", data[0][2]) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.main_text(
+        spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == plain_texts(data)
+    assert all(note not in got[i] and len(got[i].split()) > 19 for i in range(9))
+    assert all(story in got[i] for i in range(20, 28)) and all(note in got[i] for i in (*range(40, 44), *range(60, 69)))
+
+
 def test_stray_quotes_lose_no_text():
     page = "<article><p title='it's'>kept text</p><p>next's</p><a href=x'y>a</a><p class = \"q>r\">after</p><p id=\"open>last</p></article>"
     assert [t for _, t in blocks(page)] == ["kept text", "next's", "a", "after", "last"]
