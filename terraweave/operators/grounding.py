@@ -62,6 +62,8 @@ def ground(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None =
     so the state that no longer changes is the result of the sequential fold; in
     practice a few rounds suffice because a centre moves little. Every round is
     a handful of shuffles on (block, entity) keys and is cut from its lineage.
+    Tables of a round grow with the entities and there are many rounds, so their
+    joins are merges: a broadcast would pass through the driver each time.
 
     ``cache(key, lat, lon, confidence)`` answers by lower-case name; a row with a
     null latitude is a remembered miss. ``gazetteer(name, rank, lat, lon, display_name)``.
@@ -84,7 +86,7 @@ def ground(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None =
         .when(F.col("_known"), F.struct(
             F.col("k_lat").alias("lat"), F.col("k_lon").alias("lon"), F.col("k_conf").alias("confidence")))
     )
-    base = base.select(order, "canonical_name", settled.alias("s"))
+    base = cut(base.select(order, "canonical_name", settled.alias("s")))  # every round reads it
     fixed = base.where(F.col("s").isNotNull()).select(order, "s.*")
     open_ = base.where(F.col("s").isNull()).select(order, "canonical_name")
     options = cut(open_.join(gazetteer.withColumnRenamed("name", "canonical_name"), "canonical_name").select(
@@ -93,16 +95,16 @@ def ground(entities: DataFrame, gazetteer: DataFrame, cache: DataFrame | None =
     chosen = cut(fixed.unionByName(disambiguate(options, [order], bias)))
     while True:
         weights = chosen.where(F.col("lat").isNotNull()).withColumn("one", F.lit(1.0))
-        missing = open_.join(weights.select(order), order, "left_anti").select(
+        missing = open_.join(weights.select(order).hint("merge"), order, "left_anti").select(
             order, F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("one"))
         sums = with_running_sum(weights.select(order, "lat", "lon", "one").unionByName(missing), [], order,
                                 {"lat": "s_lat", "lon": "s_lon", "one": "s_n"})
         centers = sums.select(order, (F.col("s_lat") / F.nullif("s_n", F.lit(0.0))).alias("c_lat"),
                               (F.col("s_lon") / F.nullif("s_n", F.lit(0.0))).alias("c_lon"))
-        nxt = disambiguate(options.join(centers, order), [order], bias, (F.col("c_lat"), F.col("c_lon")))
+        nxt = disambiguate(options.join(centers.hint("merge"), order), [order], bias, (F.col("c_lat"), F.col("c_lon")))
         before = chosen.select(order, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
         moved = ~F.col("lat").eqNullSafe(F.col("p_lat")) | ~F.col("lon").eqNullSafe(F.col("p_lon"))
-        nxt = cut(fixed.unionByName(nxt).join(before, order).withColumn("_moved", moved).drop("p_lat", "p_lon"))
+        nxt = cut(fixed.unionByName(nxt).join(before.hint("merge"), order).withColumn("_moved", moved).drop("p_lat", "p_lon"))
         chosen = nxt.drop("_moved")
         if nxt.where("_moved").isEmpty():
             break

@@ -26,11 +26,11 @@ def _block(order: str, block: int) -> Column:
 def _meet(rows: DataFrame, summaries: DataFrame, by: list[str], whole: bool = False) -> DataFrame:
     """Rows with the summary of their block; null keys and null blocks meet, too.
 
-    Without keys rows lie by their block already, so a join on it alone does not shuffle them again; ``whole`` keeps
-    blocks that may be null.
+    Without keys rows lie by their block already, so a merge on it alone does not shuffle them again, and nothing passes
+    through the driver; ``whole`` keeps blocks that may be null.
     """
     if by == ["_blk"] and not whole:
-        return rows.join(summaries, "_blk")
+        return rows.join(summaries.hint("merge"), "_blk")
     side = summaries.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in summaries.columns if c not in by])
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     on = same[0]

@@ -278,6 +278,21 @@ def test_geo_and_anchor_edges(spark):
     assert a == {("West Egg", "New York"): 0.8, ("East Egg", "West Egg"): 0.7}
 
 
+def test_grounding_rounds_broadcast_nothing(spark, monkeypatch):
+    cuts, plans = grounding.cut, []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cuts(df)
+
+    monkeypatch.setattr(grounding, "cut", seen)
+    ents = spark.range(40).selectExpr("id AS ord", "concat('p', id) AS canonical_name", "'uncertain' AS type")
+    gaz = spark.range(80).selectExpr("concat('p', id % 40) AS name", "int(id / 40) AS rank", "double(id) AS lat", "double(id % 7) AS lon", "'x' AS display_name")
+    assert grounding.ground(ents, gaz).where("type = 'real'").count() == 40
+    rounds = [p for p in plans if "_moved" in p]
+    assert rounds and not any("Broadcast" in p for p in rounds)
+
+
 def test_grounding_equals_the_sequential_fold(spark):
     rng = random.Random(5)
     names = [f"place {i:02d}" for i in range(14)] + ["Normandy", "Nowhere"]
