@@ -206,3 +206,26 @@ def test_an_edited_copy_beside_an_exact_one(spark):
                 want[d, i] = max(want.get((d, i), 0), score / (2 * len(a)))
     assert sum(d % 2 for d, _ in want if d < 1000) > 15
     assert {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(df, bench).collect()} == want
+
+
+def test_fragments_find_shared_keys_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from terraweave.llm.shared_keys import _shared
+
+    rng = np.random.default_rng(4)
+    few = [(np.arange(5) + 10 * i, rng.integers(0, 40, 30).astype("<u4"), rng.choice([0, 1, 2, 3, 4, 65535], 30).astype("<u2"))
+           for i in range(4)]
+    rows = [(int(k), None if o == 65535 else int(table[o])) for table, keys, owner in few for k, o in zip(keys, owner)]
+    times = {k: sum(1 for other, _ in rows if other == k) for k, _ in rows}
+    ids, doc, low = _shared(few)
+    assert sorted(zip(low.tolist(), ids[doc].tolist())) == sorted((k, i) for k, i in rows if i is not None and times[k] > 1)
+    n = 1 << 16
+    many = [(np.arange(300) + 300 * i, rng.integers(0, 1 << 32, n).astype("<u4"), rng.integers(0, 300, n).astype("<u2")) for i in range(32)]
+    tracemalloc.start()
+    _shared(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * n * 32
