@@ -302,10 +302,10 @@ def _scores(spark: SparkSession, rows: DataFrame, model: Model) -> DataFrame:
     docs = found.where(F.col("kind") == DOC).groupBy(F.col("a").alias("uid")).agg(
         *[F.sum(c).alias(c) for c in (*hist, "x", "y", "z", "n", "m")], F.sum("b").alias("rows"))
     alphas = spark.read.parquet(f"{model.folder}/alphas")
-    unseen = (found.where(F.col("kind") == UNSEEN).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-              .join(alphas, F.col("b") == F.col("history"))
+    # few of a document's unseen pairs share a history, so counting them first would only shuffle them twice
+    unseen = (found.where(F.col("kind") == UNSEEN).select("a", "b").join(alphas, F.col("b") == F.col("history"))
               .groupBy(F.col("a").alias("uid"))
-              .agg(F.sum(F.col("n") * (F.log10("alpha") + F.log10(F.col("total") + 1))).alias("backed")))
+              .agg(F.sum(F.log10("alpha") + F.log10(F.col("total") + 1)).alias("backed")))
     pair_part = sum((F.lit(float(np.log10(d * r))) * F.col(f"h{r}") for r, d in enumerate(model.pairs.factors, 1)),
                     F.col("x")) - F.col("y") + F.coalesce("backed", F.lit(0.0))
     each = lambda c: c / F.col("rows")  # noqa: E731  rows that repeat id and text were summed

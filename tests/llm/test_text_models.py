@@ -158,6 +158,12 @@ def test_katz_equals_brute_force(docs):
     assert alphas.where("alpha <= 0 or alpha is null").count() == 0
 
 
+def test_unseen_pairs_are_shuffled_once_to_their_weights(docs):
+    scores, _ = katz.learn_and_score(docs, F.col("doc_id") % 3 != 1)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not re.search(r"hashpartitioning\(a#\d+L?, b#", plan)
+
+
 def test_katz_of_nothing(docs):
     assert katz.learn_and_score(docs.limit(0), F.lit(True))[0].count() == 0
     scores = katz.learn_and_score(docs, F.lit(False))[0].collect()
