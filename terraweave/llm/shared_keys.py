@@ -43,6 +43,19 @@ def _fragment(keys: np.ndarray, fragments: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
 
 
+def _by_bucket(ids: np.ndarray, values: tuple[np.ndarray, ...], buckets: int, names: list[str]) -> pa.RecordBatch:
+    """(bucket, ids, values): a row for each bucket of ids, with the numbers of its ids in packed arrays."""
+    bucket = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    packed = []
+    for v in (ids, *values):
+        v = v[order].astype("<i8" if v.dtype.kind == "i" else "<u8")
+        packed.append(pa.array([v[cuts[b]:cuts[b + 1]].tobytes() for b in used], pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *packed], names)
+
+
 def _shared(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all documents, index of the document, key) of the keys that several rows of a fragment have, by key.
 
@@ -91,12 +104,7 @@ def count_shared(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
 
     def dealt(ids: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
         """Rows of numbers per document, packed by the bucket that adds them up."""
-        bucket = (ids.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(fragments + 1))
-        used = np.flatnonzero(np.diff(cuts))
-        packed = [[v[order][cuts[b]:cuts[b + 1]].astype("<i8").tobytes() for b in used] for v in (ids, *values)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], PACKED)
+        return _by_bucket(ids, values, fragments, PACKED)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -161,7 +169,11 @@ def codes(keys: np.ndarray, fragments: int) -> np.ndarray:
 
 def shared_lists(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid", text: str = "text",
                  size: int = CHUNK_BYTES) -> DataFrame:
-    """(uid, codes): packed codes of those keys of a document that (nearly) surely other rows have, too; several rows."""
+    """(uid, codes): packed codes of those keys of a document that (nearly) surely other rows have, too; one row each.
+
+    Fragments send what they found packed by buckets of documents, not a row for each document: their number grows with
+    the texts, too.
+    """
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text, size):
             ids = batch.column(batch.schema.get_field_index(uid)).to_numpy(zero_copy_only=False).astype("<i8")
@@ -184,29 +196,19 @@ def shared_lists(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
             yield _packed(*map(list, zip(*rows)))
 
     def listed(ids: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-        """``ids`` sorted, with the code of each."""
-        cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-        ends = [*cuts[1:].tolist(), len(ids)]
-        raw = found.astype("<u8").tobytes()
-        return pa.RecordBatch.from_arrays([
-            pa.array(ids[cuts], pa.int64()),
-            pa.array([raw[8 * lo:8 * hi] for lo, hi in zip(cuts.tolist(), ends)], pa.binary())], ["uid", "codes"])
+        return _by_bucket(ids, (found,), fragments, ["bucket", "uids", "codes"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(frag: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             table, doc, low = _shared(held)
-            ids = table[doc]
-            order = np.argsort(ids, kind="stable")
-            return listed(ids[order], low[order].astype(np.uint64) | (np.uint64(frag) << np.uint64(32)))
+            return listed(table[doc], low.astype(np.uint64) | (np.uint64(frag) << np.uint64(32)))
 
         held, current = [], None
         for batch in batches:
             for f, d, k, o in zip(*(c.to_pylist() for c in batch.columns)):
                 table = np.frombuffer(d, "<i8")
                 if f < 0:
-                    ids, found = table[np.frombuffer(o, "<u2")], np.frombuffer(k, "<u8")
-                    order = np.argsort(ids, kind="stable")
-                    yield listed(ids[order], found[order])
+                    yield listed(table[np.frombuffer(o, "<u2")], np.frombuffer(k, "<u8"))
                     continue
                 if f != current and held:
                     yield solve(current, held)
@@ -216,9 +218,33 @@ def shared_lists(docs: DataFrame, keys_of: Keys, fragments: int, uid: str = "uid
         if held:
             yield solve(current, held)
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            ids, found = map(np.concatenate, zip(*held))
+            order = np.argsort(ids, kind="stable")
+            ids, raw = ids[order], found[order].tobytes()
+            cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ends = [*cuts[1:].tolist(), len(ids)]
+            return pa.RecordBatch.from_arrays([
+                pa.array(ids[cuts], pa.int64()),
+                pa.array([raw[8 * lo:8 * hi] for lo, hi in zip(cuts.tolist(), ends)], pa.binary())], ["uid", "codes"])
+
+        held, current = [], None
+        for batch in batches:
+            for b, d, k in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != current and held:
+                    yield close()
+                    held = []
+                current = b
+                held.append((np.frombuffer(d, "<i8"), np.frombuffer(k, "<u8")))
+        if held:
+            yield close()
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         docs.select(uid, text).mapInArrow(send, ROW)
         .repartition(max(parts, fragments), "frag").sortWithinPartitions("frag")
-        .mapInArrow(meet, "uid long, codes binary")
+        .mapInArrow(meet, "bucket int, uids binary, codes binary")
+        .repartition(max(parts, fragments), "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(gather, "uid long, codes binary")
     )

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from terraweave.llm import shared_keys
+from terraweave.llm.common import bounded_batches
 from terraweave.llm.shared_keys import _fragment as fragment_of
 from terraweave.llm.store import column_values
 from terraweave.llm.suffix_arrays import CELLS, permuted_prefixes, sorted_suffixes
@@ -50,7 +51,10 @@ def _encoded(texts: list[str | None]) -> list[bytes]:
 
 
 def anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places in the joined bytes, part indexes, keys) of the anchors of all strings of ``length`` bytes."""
+    """(places in the joined bytes, part indexes, keys) of the anchors of all strings of ``length`` bytes.
+
+    Least hashes crowd at the low end of their range, which fragments of keys divide; so they are mixed once more.
+    """
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     n, reach = int(sizes.sum()), length - PIECE + 1
     none = np.zeros(0, np.int64)
@@ -65,7 +69,7 @@ def anchors(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     least[left < length] = 0  # no string starts here
     greatest = slide(np.concatenate([np.zeros(reach - 1, np.uint64), least]), reach, np.maximum)
     place = np.flatnonzero((greatest == key) & (key != NONE))
-    return place, np.repeat(np.arange(len(parts)), sizes)[place], key[place]
+    return place, np.repeat(np.arange(len(parts)), sizes)[place], mix(key[place], np.uint64(1))
 
 
 def _anchor_keys(length: int):
@@ -250,7 +254,7 @@ def _solve(held: list[tuple[np.ndarray, ...]], length: int) -> tuple[np.ndarray,
 def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -> DataFrame:
     """(uid, spans): packed (start, end) pairs of bytes that documents lose; several rows per document.
 
-    ``rows``: uid, rank, text; ``lists``: uid and ``codes`` (array of packed codes).
+    ``rows``: uid, rank, text; ``lists``: uid and its packed ``codes``.
     """
     reach = length - PIECE  # a string starts at most so far before its anchor
     wide = -(-(length + reach) // 8) * 8
@@ -265,7 +269,7 @@ def find_spans(rows: DataFrame, lists: DataFrame, fragments: int, length: int) -
             bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
             for i, packed in enumerate(column_values(batch, "codes")):
                 own = slice(bounds[i], bounds[i + 1])
-                wanted[own] = np.isin(code[own], np.frombuffer(b"".join(packed), "<u8"))
+                wanted[own] = np.isin(code[own], np.frombuffer(packed, "<u8"))
             place, owner, keys = place[wanted], owner[wanted], keys[wanted]
             if not len(place):
                 continue
@@ -345,8 +349,9 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     later = cut(digest.join(least, "digest").where("rank > _least").select("uid"))
     fragments = shared_keys.fragments_for(rows, "text", 14.0)
     lists = shared_keys.shared_lists(rows, _anchor_keys(length), fragments, size=CHUNK)
-    wanted = cut(lists).join(later, "uid", "left_anti").groupBy("uid").agg(F.collect_list("codes").alias("codes"))
-    spans = cut(find_spans(rows, wanted, fragments, length))
+    with bounded_batches(docs.sparkSession):
+        wanted = cut(lists).join(later, "uid", "left_anti")
+        spans = cut(find_spans(rows, wanted, fragments, length))
     own = spans.groupBy("uid").agg(F.collect_list("spans").alias("spans"))
     flags = later.withColumn("_later", F.lit(True)).join(own, "uid", "full")
     return rows.join(flags, "uid", "left").select(

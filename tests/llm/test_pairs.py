@@ -229,3 +229,28 @@ def test_fragments_find_shared_keys_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 * n * 32
+
+
+def test_anchor_keys_are_dealt_evenly_to_fragments():
+    import numpy as np
+
+    from terraweave.llm.shared_keys import _fragment
+
+    keys = suffix_dedup.anchors([np.random.default_rng(5).bytes(1 << 18)], 50)[2]
+    held = np.bincount(_fragment(keys, 16).astype(int), minlength=16)
+    assert held.max() < 2 * held.min()
+
+
+def test_shared_keys_are_listed_in_one_row_per_document(spark):
+    import numpy as np
+
+    from terraweave.llm.shared_keys import codes, shared_lists
+    from terraweave.llm.tokens import shingles
+
+    one = " ".join(f"w{i}" for i in range(60))
+    texts = [one, one + " x", "alone in the world", one + " y z", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").repartition(3)
+    got = {r.uid: r.codes for r in shared_lists(rows, lambda t: shingles(t, 5), 7).collect()}
+    assert shared_lists(rows, lambda t: shingles(t, 5), 7).count() == len(got) == 3
+    want = np.unique(codes(shingles([one], 5)[0], 7))
+    assert all(np.array_equal(np.unique(np.frombuffer(got[i], "<u8")), want) for i in (0, 1, 3))
