@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from terraweave.llm.common import new_folder
+from terraweave.llm.common import bounded_batches, new_folder
 from terraweave.llm.shared_keys import _fragment as fragment_of
 from terraweave.llm.store import column_values
 from terraweave.llm.tokens import chunks, mix, words
@@ -36,7 +36,7 @@ from terraweave.llm.tokens import chunks, mix, words
 TOP = 5  # greatest count that is discounted
 HOT_SHARE = 0.001
 FRAGMENT_TOKENS = 8 << 20
-RANGE_TOKENS = 1 << 18  # tokens of a fragment that are worked on at once
+RANGE_TOKENS = 1 << 16  # tokens of a fragment that are worked on, or rows that are given, at once
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 DOC, HISTORY, UNSEEN, PAIR = range(4)  # kinds of rows that fragments give
 FOUND = ("kind int, a long, b long, " + "".join(f"h{r} long, " for r in range(1, TOP + 2))
@@ -169,17 +169,18 @@ def _fragments(rows: DataFrame, unigrams: Unigrams, hot: dict[int, int], fragmen
             yield tuple(map(np.concatenate, zip(*out)))
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        owners, sums = np.zeros(0, np.int64), np.zeros((TOP + 7, 0))
+        owners = np.unique(np.concatenate([h[0][np.unique(h[5])] for h in held]))
+        sums = np.zeros((TOP + 7, len(owners)))
         for tokens in ranges(held):
             own, values = yield from solve_range(*tokens)
-            every = np.union1d(owners, own)
-            folded = np.zeros((len(sums), len(every)))
-            folded[:, np.searchsorted(every, owners)] = sums
-            folded[:, np.searchsorted(every, own)] += values
-            owners, sums = every, folded
-        *hist, x, y, z, n, m, ends = sums
+            at = np.searchsorted(owners, own)
+            for total, value in zip(sums, values):
+                total[at] += value
         whole = lambda values: np.rint(values).astype(np.int64)
-        yield rows_of(DOC, a=owners, hist=[whole(h) for h in hist], x=x, y=y, z=z, n=whole(n), m=whole(m), b=whole(ends))
+        for lo in range(0, len(owners), RANGE_TOKENS):
+            *hist, x, y, z, n, m, ends = sums[:, lo:lo + RANGE_TOKENS]
+            yield rows_of(DOC, a=owners[lo:lo + RANGE_TOKENS], hist=[whole(h) for h in hist], x=x, y=y, z=z, n=whole(n), m=whole(m),
+                          b=whole(ends))
 
     def solve_range(word: np.ndarray, history: np.ndarray, uid: np.ndarray, train: np.ndarray) -> Generator[
             pa.RecordBatch, None, tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +255,8 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                        F.coalesce(train, F.lit(True)).alias("train"))
     rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
-    count_words(rows.where("train")).write.parquet(f"{folder}/unigrams")
+    with bounded_batches(spark):
+        count_words(rows.where("train")).write.parquet(f"{folder}/unigrams")
     counted = spark.read.parquet(f"{folder}/unigrams")
     seen = [F.count_if(F.col("n") == r) for r in range(1, TOP + 2)]
     tokens, types, *by_count = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), *seen).first()
@@ -265,7 +267,8 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_text = rows.select("uid", "train", "text")
     fragments = max(parts, 1 + int((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 6.0 / FRAGMENT_TOKENS))
-    _write_kinds(_fragments(rows_text, unigrams, hot, fragments), f"{folder}/fragments")
+    with bounded_batches(spark):
+        _write_kinds(_fragments(rows_text, unigrams, hot, fragments), f"{folder}/fragments")
     model = _finish(spark, folder, unigrams)
     return _scores(spark, rows, model), model
 

@@ -254,3 +254,23 @@ def test_shared_keys_are_listed_in_one_row_per_document(spark):
     assert shared_lists(rows, lambda t: shingles(t, 5), 7).count() == len(got) == 3
     want = np.unique(codes(shingles([one], 5)[0], 7))
     assert all(np.array_equal(np.unique(np.frombuffer(got[i], "<u8")), want) for i in (0, 1, 3))
+
+
+def test_batches_to_workers_are_of_bounded_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from terraweave.llm.common import BATCH_BYTES, bounded_batches
+    from terraweave.session import cut
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).cast("binary").alias("packed"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with bounded_batches(spark):
+        got = cut(rows.mapInArrow(sizes, "n long"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert got.agg(F.sum("n")).first()[0] >= 64 << 18
+    assert got.agg(F.max("n")).first()[0] <= BATCH_BYTES + (2 << 18)
