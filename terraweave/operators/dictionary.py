@@ -4,13 +4,17 @@ Keys are dealt into blocks and texts into groups, both of bounded size. A cell
 builds the automaton of one block and runs it over the whole texts of one group;
 it gives one row per text or per key, not one per match, so what is exchanged is
 linear in texts and keys even if a short key occurs everywhere. Texts are copied
-once per block of keys, keys once per group of texts.
+once per block of keys, keys once per group of texts; ``first_within`` does
+without that for short texts, of which there are many more than words.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.arrays import elements
+from ..session import cut
 
 BLOCK_CHARS = 4 << 20   # of the keys of a block, on average
 GROUP_CHARS = 16 << 20  # of the texts of a group, on average
@@ -63,16 +67,21 @@ def _least_text(keys: pa.Table, texts: pa.Table) -> tuple[list, list]:
     return list(first.values()), list(first)
 
 
-def _cells(keys: DataFrame, texts: DataFrame, pick, ordered: str) -> DataFrame:
-    """(text, key, canonical, ord) of what ``pick`` finds in each cell; ``ordered`` names the side with canonical and ord."""
+def _cells(keys: DataFrame, texts: DataFrame, pick, ordered: str, marks=None) -> DataFrame:
+    """(text, key, canonical, ord) of what ``pick`` finds in each cell; ``ordered`` names the side with canonical and ord.
+
+    ``marks`` gives the marks of a string, some of every key and all of them in each text around that key: blocks are then
+    made by a key's first mark, and a text goes to the blocks of its own marks only.
+    """
     measure = lambda df, c: df.agg(F.coalesce(F.sum(F.length(c)), F.lit(0)), F.count(F.lit(1))).first()
     (key_chars, _), (text_chars, rows) = measure(keys, "key"), measure(texts, "text")
     blocks = 1 + key_chars // BLOCK_CHARS
     groups = max(1 + text_chars // GROUP_CHARS, min(texts.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS), 1)
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = keys.withColumn("_block", part("key", blocks)).withColumn("_group", every(groups))
-    right = texts.withColumn("_group", part("text", groups)).withColumn("_block", every(blocks))
+    left = keys.withColumn("_block", part("key" if marks is None else F.get(marks("key"), 0), blocks)).withColumn("_group", every(groups))
+    right = texts.withColumn("_group", part("text", groups)).withColumn("_block", every(blocks) if marks is None else F.explode(elements(
+        F.array_distinct(F.transform(marks("text"), lambda m: part(m, blocks))))))
     kind = (keys if ordered == "key" else texts).schema["ord"].dataType.simpleString()
 
     def run(at, k: pa.Table, t: pa.Table) -> pa.Table:
@@ -92,6 +101,30 @@ def first_inside(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy("text").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
 
 
+def _gaps(c: str) -> Column:
+    """Each blank of a string with the character on either side."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(. .))"), 1)
+
+
+def first_within(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same rows as ``first_inside``, for many short texts of few different words; both tables are read several times.
+
+    A key without a blank lies inside one word of a text, so it is looked for in the distinct words. A key with blanks meets
+    the texts that have the same characters around a blank.
+    """
+    blank = F.contains("key", F.lit(" "))
+    words = texts.select("text", F.explode(elements(F.array_distinct(F.split("text", " ")))).alias("word"))
+    lone = cut(first_inside(cut(words.select(F.col("word").alias("text")).distinct()), keys.where(~blank)))
+    found = words.join(lone.withColumnRenamed("text", "word"), "word").select("text", "canonical", "ord")
+    wide = keys.where(blank).select("key", "canonical", "ord")
+    gapped = wide.where(F.size(_gaps("key")) > 0)
+    found = found.unionByName(_cells(gapped, texts.select("text"), _least_key, "key", _gaps).select("text", "canonical", "ord"))
+    edged = wide.where(F.size(_gaps("key")) == 0)  # their only blanks are at an end
+    if not edged.isEmpty():
+        found = found.unionByName(first_inside(texts, edged))
+    return found.groupBy("text").agg(F.min_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord"))
+
+
 def first_around(names: DataFrame, keys: DataFrame) -> DataFrame:
     """(text, canonical, ord): the first of ``keys`` that has each of ``names`` (text, distinct) inside."""
     found = _cells(names.select(F.col("text").alias("key")), keys.select(F.col("key").alias("text"), "canonical", "ord"), _least_text, "text")

@@ -6,13 +6,13 @@ separate tables, so nothing ever gathers all mentions of a frequent entity.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import elements
 from ..functions.names import FICTIONAL, entity_class
 from ..functions.text import canonical, fold, occurrences, snippet
-from ..session import cut
-from .dictionary import first_around, first_inside
+from ..session import cut, scratch
+from .dictionary import first_around, first_inside, first_within
 from .ordering import with_global_position
 
 
@@ -210,26 +210,82 @@ def span_registry(spans: DataFrame, labels: tuple = ("GPE", "LOC", "FAC"), min_m
         nm.entity_class_wide(F.col("canonical_name"), more).alias("type"), "ner_label", "mention_count")
 
 
-def cluster_owners(clusters: DataFrame, named: DataFrame) -> DataFrame:
-    """(doc_id, chunk, cluster, canonical_name): the entity each coreference cluster belongs to.
+SLICES, SLICE_ROWS = 4, 1_000_000  # most slices of a large table's shuffle, and the rows from which a slice pays
+
+
+def _in_slices(keep, rows: DataFrame, by: list, plan) -> DataFrame:
+    """The tables of ``plan`` over slices of ``by``, one after the other: only one slice's shuffle is on disk at a time.
+
+    ``rows`` is a written table, read once per slice; ``plan`` gets a function that keeps a table's rows of a slice, given the
+    same columns there.
+    """
+    n = min(SLICES, 1 + rows.count() // SLICE_ROWS)
+    if n == 1:
+        return keep(plan(lambda df, cols=by: df), "zstd")
+    out = None
+    for i in range(n):
+        part = keep(plan(lambda df, cols=by: df.where(F.pmod(F.xxhash64(F.lit("slice"), *cols), F.lit(n)) == i)), "zstd")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _low() -> Column:
+    from ..functions.text import strip
+    return F.lower(strip("mention"))
+
+
+def _readings(members: DataFrame, named: DataFrame) -> DataFrame:
+    """(low, readings): the names a member's text in lower case may stand for, each with its place.
+
+    A reading is (rank, doc_id, chunk, canonical_name); names equal to the text have positive ranks, those inside it negative
+    ones, and of the readings known at some place the greatest counts. A text has the spellings of two names at most.
+    """
+    first = F.struct("doc_id", "chunk", "pos", "canonical_name")
+    seen = named.where(F.col("canonical_name").isNotNull()).groupBy("canonical_name").agg(F.min(first).alias("first")).select("first.*")
+    names = cut(with_global_position(cut(seen), ["doc_id", "chunk", "pos", "canonical_name"], "rank").select(
+        (F.col("rank") + 1).alias("rank"), "doc_id", "chunk", "canonical_name", F.lower("canonical_name").alias("key")))
+    total = names.agg(F.max("rank")).scalar()
+    keys = cut(names.groupBy("key").agg(F.min("rank").alias("ord")).select("key", F.col("key").alias("canonical"), "ord"))
+    texts = cut(members.select(_low().alias("text")).where(F.col("text").isNotNull()).distinct())
+    inside = cut(first_within(texts, keys.where(F.length("key") >= 4)).select(
+        F.col("text").alias("low"), F.col("canonical").alias("key"), F.lit(False).alias("equal")))
+    equal = keys.select("key").join(texts.withColumnRenamed("text", "key"), "key").select(
+        F.col("key").alias("low"), "key", F.lit(True).alias("equal"))
+    rank = F.when(F.col("equal"), F.col("rank")).otherwise(F.col("rank") - total - 1)
+    return equal.unionByName(inside).join(names, "key").groupBy("low").agg(F.collect_list(
+        F.struct(rank.alias("rank"), "doc_id", "chunk", "canonical_name")).alias("readings"))
+
+
+def owned_members(clusters: DataFrame, named: DataFrame, repeats: bool = False) -> DataFrame:
+    """Members of the coreference clusters that belong to an entity, with its ``canonical_name``; without ``repeats`` not those
+    that repeat the name.
 
     ``named`` has the entity spans with ``canonical_name``. A cluster knows the entities named up to its own chunk, in the
     order of their first span. Its first member decides that is such a name, up to case, or that holds a name of four
     characters or more; of several the one named first counts. Names equal up to case mean the last of them.
+
+    A member's row is shuffled to its readings and to its cluster, each time from a written table and with nothing else left
+    on disk but ``named``.
     """
-    from ..functions.text import strip
-    names = cut(named.groupBy("canonical_name").agg(F.min(F.struct("doc_id", "chunk", "pos", "canonical_name")).alias("first")).select(
-        "canonical_name", F.lower("canonical_name").alias("key"), "first"))
-    keys = names.groupBy("key").agg(F.min("first").alias("ord"), F.min_by("canonical_name", "first").alias("canonical"))
-    members = cut(clusters.select("doc_id", "chunk", "cluster", "pos", F.lower(strip("mention")).alias("low")))
-    texts = members.select(F.col("low").alias("text")).where(F.col("text").isNotNull()).distinct()
-    inside = first_inside(texts, keys.where(F.length("key") >= 4)).select(
-        F.col("text").alias("low"), F.lower("canonical").alias("key"), F.lit(1).alias("level"))
-    exact = keys.select(F.col("key").alias("low"), "key", F.lit(0).alias("level"))
-    met = members.join(exact.unionByName(inside), "low").join(names, "key").where(
-        F.struct("first.doc_id", "first.chunk") <= F.struct("doc_id", "chunk"))
-    of_member = met.groupBy("doc_id", "chunk", "cluster", "pos", "level").agg(F.max_by("canonical_name", "first").alias("canonical_name"))
-    return of_member.groupBy("doc_id", "chunk", "cluster").agg(F.min_by("canonical_name", F.struct("pos", "level")).alias("canonical_name"))
+    spark = named.sparkSession
+    whole = ["doc_id", "chunk", "cluster"]
+    owned = F.col("canonical_name").isNotNull() if repeats else _low() != F.lower("canonical_name")
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_read:
+            members = cut(clusters.dropna(subset=whole).select(*whole, "pos", "mention", "sentence_id", "char_start", "char_end"), "zstd")
+            with scratch(spark) as keep_readings:
+                readings = keep_readings(_readings(members, named), "zstd")
+            best = F.array_max(F.filter("readings", lambda r: F.struct(r["doc_id"], r["chunk"]) <= F.struct("doc_id", "chunk")))
+            read = _in_slices(keep_read, members, [_low()], lambda of: of(members).join(of(readings, ["low"]), _low() == F.col("low"), "left").select(
+                *members.columns, best["rank"].alias("rank"), best["canonical_name"].alias("canonical_name")))
+        order = F.when(F.col("rank").isNotNull(), F.struct("pos", F.col("rank") < 0, -F.col("rank")))
+        return _in_slices(keep, read, whole, lambda of: of(read).withColumn("canonical_name", F.min_by("canonical_name", order).over(
+            Window.partitionBy(*whole))).drop("rank").where(owned))
+
+
+def cluster_owners(clusters: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, chunk, cluster, canonical_name): the entity each coreference cluster belongs to; see ``owned_members``."""
+    return owned_members(clusters, named, True).select("doc_id", "chunk", "cluster", "canonical_name").distinct()
 
 
 def clustered_registry(spans: DataFrame, clusters: DataFrame, labels: tuple = ("GPE", "LOC", "FAC"), min_mentions: int = 2,
@@ -242,21 +298,22 @@ def clustered_registry(spans: DataFrame, clusters: DataFrame, labels: tuple = ("
     then filtered by name and mention count, classified, and numbered in the order of their first span.
     """
     from ..functions import names as nm
-    from ..functions.text import strip, surface
+    from ..functions.text import surface
     more = sorted(set(FICTIONAL) | set(fictional or []))
-    named = cut(spans.where(F.col("label").isin(*labels)).withColumn("canonical_name", surface("surface")))
     spot = ["canonical_name", "sentence_id", "char_start", "char_end"]
-    fresh = clusters.join(cluster_owners(clusters, named), ["doc_id", "chunk", "cluster"]).where(
-        F.lower(strip("mention")) != F.lower("canonical_name")).join(named.select(*spot).distinct(), spot, "left_anti")
-    first = F.struct("doc_id", "chunk", "cluster", "pos")
-    fresh = fresh.groupBy(*spot).agg(F.min_by("mention", first).alias("mention"), F.min("doc_id").alias("doc_id")).withColumn(
-        "source_text", F.concat(F.lit("[coref→"), F.col("canonical_name"), F.lit("] ..."), F.col("mention"), F.lit("...")))
-    keep = ["doc_id", *spot, "source_text"]
-    mentions = cut(named.select(*keep).unionByName(fresh.select(*keep)))
-    counts = mentions.groupBy("canonical_name").agg(F.count(F.lit(1)).alias("mention_count"))
-    docs = mentions.select("canonical_name", "doc_id").distinct().groupBy("canonical_name").agg(F.count(F.lit(1)).alias("doc_count"))
+    named = cut(spans.where(F.col("label").isin(*labels)).select(
+        surface("surface").alias("canonical_name"), "doc_id", "chunk", "pos", "label", "sentence_id", "char_start", "char_end", "source_text"), "zstd")
+    with scratch(named.sparkSession) as keep:
+        owned = owned_members(clusters, named)
+        first = F.struct("doc_id", "chunk", "cluster", "pos")
+        fresh = _in_slices(keep, owned, spot, lambda of: of(owned).join(of(named.select(*spot)), spot, "left_anti").groupBy(*spot).agg(
+            F.min_by("mention", first).alias("mention"), F.min("doc_id").alias("doc_id")))
     at = F.struct("doc_id", "chunk", "pos")
+    n = lambda rows: rows.groupBy("canonical_name").agg(F.count(F.lit(1)).alias("n"))
     merged = named.groupBy("canonical_name").agg(F.min_by("label", at).alias("ner_label"), F.min(at).alias("f"))
+    counts = n(named).unionByName(n(fresh)).groupBy("canonical_name").agg(F.sum("n").alias("mention_count"))
+    docs = n(named.select("canonical_name", "doc_id").unionByName(fresh.select("canonical_name", "doc_id")).distinct()).withColumnRenamed(
+        "n", "doc_count")
     kept = merged.join(counts, "canonical_name").join(docs, "canonical_name").where(nm.plausible(
         F.col("canonical_name"), F.col("mention_count"), min_mentions, sorted(set(nm.BLOCKED) | set(blocked or [])), more))
     flat = cut(kept.select("canonical_name", "mention_count", "doc_count", "ner_label", "f.*"))
@@ -264,4 +321,7 @@ def clustered_registry(spans: DataFrame, clusters: DataFrame, labels: tuple = ("
     entities = cut(placed.select(
         F.format_string("e_%04d", "_n").alias("entity_id"), "canonical_name",
         nm.entity_class_wide(F.col("canonical_name"), more).alias("type"), "ner_label", "mention_count", "doc_count"))
+    keep_columns = ["doc_id", *spot, "source_text"]
+    mentions = named.select(*keep_columns).unionByName(fresh.withColumn("source_text", F.concat(
+        F.lit("[coref→"), F.col("canonical_name"), F.lit("] ..."), F.col("mention"), F.lit("..."))).select(*keep_columns))
     return entities, mentions.join(entities.select("canonical_name"), "canonical_name", "left_semi")
